@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from quillstream import lexicon
 from quillstream.functions.text import normalize_text_u, text_or_empty
@@ -17,12 +18,12 @@ _NATIVE_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"
 _OTHER_ENTITY = "&(?!(?:lt|gt|quot|#39|copy|middot|nbsp|amp);|[^A-Za-z#]|$)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_rare(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _join_url(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([
         None if b is None or r is None else urljoin(b, r) for b, r in zip(base, ref)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from quillstream.functions.arrays import bind
 from quillstream.functions.text import clean_list, is_blank, normalize_text
 from quillstream.schemas import LIST_FIELDS, PAPER_EVENT
 
@@ -15,8 +16,15 @@ _RAW_OPTIONS = {**_JSON_OPTIONS, "columnNameOfCorruptRecord": _CORRUPT}
 
 
 def raw_fields(value: Column) -> Column:
-    """Every field as text: strings unquoted, anything else as its JSON text."""
-    return F.from_json(value, _RAW_SCHEMA, _RAW_OPTIONS)
+    """Every field as text: strings unquoted, anything else as its JSON text.
+
+    Null for a root array, which holds no fields.
+    """
+    return F.from_json(F.when(~F.startswith(F.ltrim(value), F.lit("[")), value), _RAW_SCHEMA, _RAW_OPTIONS)
+
+
+def _looks_nested(text: Column) -> Column:
+    return F.coalesce(F.substring(text, 1, 1).isin("{", "["), F.lit(False))
 
 
 def _variant_kind(value: Column, path: str) -> Column:
@@ -30,11 +38,8 @@ def text_field(value: Column, raw: Column, name: str) -> Column:
     second parse runs on those rows alone.
     """
     field = raw[name]
-    nested = _variant_kind(value, f"$.{name}").rlike("^(OBJECT|ARRAY)")
-    return F.when(field.isNull(), "").when(
-        field.rlike(r"^\s*[\[{]"),
-        F.when(F.coalesce(nested, F.lit(False)), "").otherwise(field),
-    ).otherwise(field)
+    nested = F.coalesce(_variant_kind(value, f"$.{name}").rlike("^(OBJECT|ARRAY)"), F.lit(False))
+    return F.when(field.isNull() | (_looks_nested(field) & nested), "").otherwise(field)
 
 
 def int_field(value: Column, raw: Column, name: str) -> Column:
@@ -50,38 +55,36 @@ def int_field(value: Column, raw: Column, name: str) -> Column:
     return F.when(field.isNull(), 0).when(boolean, 1).otherwise(F.coalesce(narrowed, F.lit(0)))
 
 
-def list_field(value: Column, raw: Column, name: str) -> Column:
+def list_field(raw: Column, name: str) -> Column:
     """Cleaned list; anything but an array gives []. Nested items are dropped."""
     field = raw[name]
-    items = F.from_json(field, "array<string>", _JSON_OPTIONS)
-    typed = F.try_variant_get(F.try_parse_json(field), "$", "array<variant>")
-    scalars = F.transform(
-        F.filter(typed, lambda v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)")),
-        lambda v: F.try_variant_get(v, "$", "string"),
-    )
-    suspicious = F.exists(items, lambda x: x.rlike(r"^\s*[\[{]"))
-    chosen = F.when(F.coalesce(suspicious, F.lit(False)), scalars).otherwise(items)
-    return clean_list(F.when(field.rlike(r"^\s*\["), chosen))
+
+    def scalars(items: Column) -> Column:
+        typed = F.try_variant_get(F.try_parse_json(field), "$", "array<variant>")
+        kept = F.filter(typed, lambda v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)"))
+        texts = F.transform(kept, lambda v: F.try_variant_get(v, "$", "string"))
+        return F.when(F.exists(items, _looks_nested), texts).otherwise(items)
+
+    items = bind(F.from_json(field, "array<string>", _JSON_OPTIONS), scalars)
+    return clean_list(F.when(F.startswith(field, F.lit("[")), items))
 
 
 def malformed(value: Column, raw: Column) -> Column:
     """True for text no JSON reader accepts. Blank text and other JSON roots are not malformed."""
     suspect = raw.isNull() | raw[_CORRUPT].isNotNull()
-    return ~is_blank(value) & F.coalesce(suspect, F.lit(True)) & F.try_parse_json(value).isNull()
+    return suspect & ~is_blank(value) & F.try_parse_json(value).isNull()
 
 
 def event_columns(value: Column, raw: Column) -> list[Column]:
     """The typed record as columns, given the parsed ``raw`` struct."""
-    root_is_object = ~F.coalesce(value, F.lit("")).rlike(r"^\s*\[")
-    source = F.when(root_is_object, raw)
     columns = []
     for field in PAPER_EVENT.fields:
         if field.name in LIST_FIELDS:
-            column = list_field(value, source, field.name)
+            column = list_field(raw, field.name)
         elif field.name == "year":
-            column = int_field(value, source, field.name)
+            column = int_field(value, raw, field.name)
         else:
-            column = text_field(value, source, field.name)
+            column = text_field(value, raw, field.name)
             if field.name in ("title", "abstract"):
                 column = normalize_text(column)
         columns.append(column.alias(field.name))

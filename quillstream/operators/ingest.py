@@ -16,10 +16,11 @@ EVENT_COLUMNS = [f.name for f in PAPER_EVENT.fields]
 def parse_events(messages: DataFrame, value: str = "value") -> DataFrame:
     """Typed record columns plus ``reason``, set for text that is not JSON.
 
-    All other columns of ``messages`` are kept.
+    All other columns of ``messages`` are kept. The parse sits behind a generator
+    so that later filters are not pushed below it, which would parse twice.
     """
     text = F.col(value)
-    raw = messages.withColumn("_raw", wire.raw_fields(text))
+    raw = messages.select("*", F.explode(F.array(wire.raw_fields(text))).alias("_raw"))
     reason = F.when(wire.malformed(text, F.col("_raw")), "malformed").alias("reason")
     return raw.select(*messages.columns, *wire.event_columns(text, F.col("_raw")), reason)
 

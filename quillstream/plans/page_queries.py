@@ -126,11 +126,12 @@ def _clean_sql(expr):
 
 _ORIGIN = "regexp_extract(url, '^https?://[^/?#]+')"
 _HREFS = """regexp_extract_all(html, '(?is)<a[^>]*href=["'']([^"'']+)', 1)"""
-_LINKS = f"""links AS (SELECT page_id, url, CAST(u.pos AS INT) AS pos, u.href AS href FROM
-    (SELECT page_id, url, {_HREFS} AS h FROM pages), unnest(h, range(len(h))) AS u(href, pos))"""
+_LINKS = f"""links AS (SELECT page_id, url, CAST(unnest(range(len(h))) AS INT) AS pos, unnest(h) AS href FROM
+    (SELECT page_id, url, {_HREFS} AS h FROM pages))"""
 # Splitting at every <li> leaves the lead-in first and each block without its mark.
-_PARTS = """parts AS (SELECT page_id, url, CAST(u.pos - 1 AS INT) AS pos, concat('<li>', u.part) AS block FROM
-    (SELECT page_id, url, string_split(html, '<li>') AS p FROM pages), unnest(p, range(len(p))) AS u(part, pos) WHERE u.pos > 0)"""
+_PARTS = """parts AS (SELECT page_id, url, CAST(pos - 1 AS INT) AS pos, concat('<li>', part) AS block FROM
+    (SELECT page_id, url, unnest(p) AS part, unnest(range(len(p))) AS pos FROM
+        (SELECT page_id, url, string_split(html, '<li>') AS p FROM pages)) WHERE pos > 0)"""
 
 ORACLE = {
     "pages_scan": "SELECT page_id, url, length(html) AS n_chars FROM pages",

@@ -107,34 +107,41 @@ QUERIES = {
     "cycle_counts": _cycle,
 }
 
-_NORM_U = f"trim(regexp_replace({{0}}, '[{WIDE_SPACE}]+', ' ', 'g'))"
-# The control characters a JVM trim strips, and the JVM's ASCII whitespace.
-_NORM = r"regexp_replace(regexp_replace({0}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g')"
+def _norm_u(expr):
+    return f"trim(regexp_replace({expr}, '[{WIDE_SPACE}]+', ' ', 'g'))"
+
+
+def _norm(expr):
+    """The control characters a JVM trim strips, then the JVM's ASCII whitespace."""
+    trimmed = rf"regexp_replace({expr}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+    return rf"regexp_replace({trimmed}, '[ \t\n\x0b\f\r]+', ' ', 'g')"
+
+
 _KW = with_sql(TEXT_SQL, KEYWORDS_SQL.format(source="papers_t", key="source_id", text="concat(title, ' ', abstract)"))
 
 
 def _unique_sql(items, key):
     """First spelling of each lower-cased item, in order, as joined text."""
-    return f"""per AS (SELECT {key} AS key, u.item AS raw, u.pos AS pos FROM src, unnest({items}, range(len({items}))) AS u(item, pos)),
-        kept AS (SELECT key, item, min(pos) AS pos FROM (SELECT key, pos, {_NORM_U.format('raw')} AS item FROM per) WHERE item <> ''
+    return f"""per AS (SELECT {key} AS key, unnest({items}) AS raw, unnest(range(len({items}))) AS pos FROM src),
+        kept AS (SELECT key, item, min(pos) AS pos FROM (SELECT key, pos, {_norm_u('raw')} AS item FROM per) WHERE item <> ''
             GROUP BY key, item),
         firsts AS (SELECT key, arg_min(item, pos) AS item, min(pos) AS pos FROM kept GROUP BY key, lower(item)),
         lists AS (SELECT key, string_agg(item, '|' ORDER BY pos) AS joined FROM firsts GROUP BY key)"""
 
 
 ORACLE = {
-    "normalize_text": f"SELECT doc_id, {_NORM.format('text')} AS clean FROM documents",
-    "normalize_text_u": f"SELECT doc_id, {_NORM_U.format('text')} AS clean FROM documents",
-    "clean_list": f"""WITH per AS (SELECT doc_id, u.item AS raw, u.pos AS pos FROM
-            (SELECT doc_id, regexp_split_to_array(text, '[.,]') AS parts FROM documents), unnest(parts, range(len(parts))) AS u(item, pos)),
-        kept AS (SELECT doc_id, item, min(pos) AS pos FROM (SELECT doc_id, pos, {_NORM.format('raw')} AS item FROM per)
+    "normalize_text": f"SELECT doc_id, {_norm('text')} AS clean FROM documents",
+    "normalize_text_u": f"SELECT doc_id, {_norm_u('text')} AS clean FROM documents",
+    "clean_list": f"""WITH per AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS pos FROM
+            (SELECT doc_id, regexp_split_to_array(text, '[.,]') AS parts FROM documents)),
+        kept AS (SELECT doc_id, item, min(pos) AS pos FROM (SELECT doc_id, pos, {_norm('raw')} AS item FROM per)
             WHERE item <> '' GROUP BY doc_id, item)
         SELECT doc_id, coalesce(joined, '') AS items FROM documents LEFT JOIN
             (SELECT doc_id, string_agg(item, '|' ORDER BY pos) AS joined FROM kept GROUP BY doc_id) USING (doc_id)""",
     "unique_clean": "WITH src AS (SELECT doc_id, regexp_split_to_array(text, '[., ]') AS parts FROM documents), "
         + _unique_sql("parts", "doc_id")
         + " SELECT doc_id, coalesce(joined, '') AS items FROM documents LEFT JOIN lists ON doc_id = key",
-    "parse_authors": f"""WITH src AS (SELECT doc_id, string_split(regexp_replace({_NORM_U.format('text')}, '\\s+and\\s+', ', ', 'g'), ',')
+    "parse_authors": f"""WITH src AS (SELECT doc_id, string_split(regexp_replace({_norm_u('text')}, '\\s+and\\s+', ', ', 'g'), ',')
         AS parts FROM documents), """ + _unique_sql("parts", "doc_id")
         + " SELECT doc_id, coalesce(joined, '') AS authors FROM documents LEFT JOIN lists ON doc_id = key",
     "stable_id": with_sql(TEXT_SQL) + """SELECT id, concat('cvpr-', year, '-',
@@ -151,14 +158,14 @@ ORACLE = {
         '[-_/]+', ' ', 'g'), '[^a-z0-9{WIDE_SPACE}]+', ' ', 'g') AS n FROM documents)
         SELECT doc_id, phrase FROM norm JOIN (VALUES {', '.join(f"('{p}')" for p in TEXT_PHRASES)}) AS p(phrase)
         ON contains(n, phrase)""",
-    "normalize_papers": "WITH " + TEXT_SQL + f""", base AS (SELECT id, year, {_NORM_U.format('title')} AS title,
-            {_NORM_U.format('abstract')} AS abstract, split_part(source_id, '-', 1) AS place, abstract AS whole FROM papers_t),
+    "normalize_papers": "WITH " + TEXT_SQL + f""", base AS (SELECT id, year, {_norm_u('title')} AS title,
+            {_norm_u('abstract')} AS abstract, split_part(source_id, '-', 1) AS place, abstract AS whole FROM papers_t),
         src AS (SELECT id, string_split(whole, '.') AS parts FROM base), """ + _unique_sql("parts", "id") + ", "
         + KEYWORDS_SQL.format(source="base", key="id", text="concat(title, ' ', abstract)") + f""",
         kw AS (SELECT source_id AS id, string_agg(term, '|' ORDER BY rank) AS found FROM keyword_rows GROUP BY 1)
         SELECT id, concat('cvpr-', year, '-', substring(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80),
             '-', substring(sha1(concat(year, ':', title)), 1, 10)) AS source_id, year, title, abstract,
-            coalesce(joined, '') AS authors, concat({_NORM_U.format('place')}, '|Library') AS institutions,
+            coalesce(joined, '') AS authors, concat({_norm_u('place')}, '|Library') AS institutions,
             CASE WHEN id % 3 = 0 THEN 'archive|text corpus' ELSE coalesce(found, '') END AS keywords,
             '' AS paper_url, '' AS pdf_url, '{NOW}' AS crawled_at
         FROM base LEFT JOIN lists ON id = key LEFT JOIN kw USING (id)""",
