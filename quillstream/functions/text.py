@@ -39,7 +39,11 @@ def is_blank(c: Column) -> Column:
 def clean_list(values: Column) -> Column:
     """Stream rule: normalise, drop blanks, exact distinct keeping order."""
     items = F.coalesce(values, F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(F.transform(items, normalize_text), lambda x: (x != "") & ~is_blank(x)))
+    # After trimming, an ASCII first character settles it without the pattern.
+    return F.array_distinct(F.filter(
+        F.transform(items, normalize_text),
+        lambda x: (x != "") & (F.ascii(x).between(0x21, 0x7E) | ~is_blank(x)),
+    ))
 
 
 def unique_clean(values: Column) -> Column:

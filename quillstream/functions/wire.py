@@ -11,14 +11,17 @@ from quillstream.schemas import LIST_FIELDS, PAPER_EVENT
 # Strict JSON: no single quotes, no NaN.
 _JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
 _CORRUPT = "_corrupt"
-_RAW_SCHEMA = ", ".join(f"`{f.name}` string" for f in PAPER_EVENT.fields) + f", `{_CORRUPT}` string"
+_RAW_SCHEMA = ", ".join(
+    f"`{f.name}` {'array<string>' if f.name in LIST_FIELDS else 'string'}" for f in PAPER_EVENT.fields
+) + f", `{_CORRUPT}` string"
 _RAW_OPTIONS = {**_JSON_OPTIONS, "columnNameOfCorruptRecord": _CORRUPT}
 
 
 def raw_fields(value: Column) -> Column:
-    """Every field as text: strings unquoted, anything else as its JSON text.
+    """Scalars as text (anything nested as its JSON text) and lists of such texts.
 
-    Null for a root array, which holds no fields.
+    Null for a root array, which holds no fields. The corrupt column is set when
+    the text is no JSON or a list field holds something else.
     """
     return F.from_json(F.when(~F.startswith(F.ltrim(value), F.lit("[")), value), _RAW_SCHEMA, _RAW_OPTIONS)
 
@@ -55,18 +58,27 @@ def int_field(value: Column, raw: Column, name: str) -> Column:
     return F.when(field.isNull(), 0).when(boolean, 1).otherwise(F.coalesce(narrowed, F.lit(0)))
 
 
-def list_field(raw: Column, name: str) -> Column:
-    """Cleaned list; anything but an array gives []. Nested items are dropped."""
-    field = raw[name]
+def list_field(value: Column, raw: Column, name: str) -> Column:
+    """Cleaned list; anything but an array gives []. Nested items are dropped.
+
+    Only rows with the corrupt mark, or with an item that looks nested, are
+    parsed a second time.
+    """
+
+    def field_text() -> Column:
+        return F.from_json(value, f"`{name}` string", _JSON_OPTIONS)[name]
+
+    def recovered() -> Column:
+        return bind(field_text(), lambda t: F.from_json(F.when(F.startswith(t, F.lit("[")), t), "array<string>", _JSON_OPTIONS))
 
     def scalars(items: Column) -> Column:
-        typed = F.try_variant_get(F.try_parse_json(field), "$", "array<variant>")
+        typed = F.try_variant_get(F.try_parse_json(field_text()), "$", "array<variant>")
         kept = F.filter(typed, lambda v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)"))
         texts = F.transform(kept, lambda v: F.try_variant_get(v, "$", "string"))
         return F.when(F.exists(items, _looks_nested), texts).otherwise(items)
 
-    items = bind(F.from_json(field, "array<string>", _JSON_OPTIONS), scalars)
-    return clean_list(F.when(F.startswith(field, F.lit("[")), items))
+    items = F.when(raw[_CORRUPT].isNull(), raw[name]).otherwise(F.when(raw.isNotNull(), recovered()))
+    return clean_list(bind(items, scalars))
 
 
 def malformed(value: Column, raw: Column) -> Column:
@@ -80,7 +92,7 @@ def event_columns(value: Column, raw: Column) -> list[Column]:
     columns = []
     for field in PAPER_EVENT.fields:
         if field.name in LIST_FIELDS:
-            column = list_field(raw, field.name)
+            column = list_field(value, raw, field.name)
         elif field.name == "year":
             column = int_field(value, raw, field.name)
         else:

@@ -10,6 +10,7 @@ from quillstream.functions.text import fold_key, is_blank
 from quillstream.operators.perkey import any_differs, first_per_key, last_per_key
 from quillstream.schemas import LIST_FIELDS, PAPER_EVENT, PAPER_PAYLOAD
 
+YEARLY = "yearly"
 EVENT_COLUMNS = [f.name for f in PAPER_EVENT.fields]
 
 
@@ -94,6 +95,27 @@ def value_deltas(firsts: DataFrame, field: str, collation: str | None = None) ->
     )
 
 
+def all_dimension_rows(events: DataFrame, key: str = "source_id") -> DataFrame:
+    """Distinct ``(dimension, key, value)`` of all list columns, in one shuffle."""
+    tagged = F.flatten(F.array(*[_tagged(name, F.col(name)) for name in LIST_FIELDS]))
+    rows = events.select(key, F.explode(tagged).alias("_t"))
+    return rows.select(F.col("_t.tag").alias("dimension"), key, F.col("_t.value").alias("value")).where(
+        ~is_blank(F.col("value"))).distinct()
+
+
+def all_deltas(firsts: DataFrame) -> DataFrame:
+    """Increments of the four counters as ``(counter, value, paper_count)``, in one shuffle."""
+    year = F.array(F.col("year").cast("string"))
+    tagged = F.flatten(F.array(_tagged(YEARLY, year), *[_tagged(name, F.col(name)) for name in LIST_FIELDS]))
+    rows = firsts.select(F.explode(tagged).alias("_t"))
+    listed = rows.select(F.col("_t.tag").alias("counter"), F.col("_t.value").alias("value")).where(~is_blank(F.col("value")))
+    return listed.groupBy("counter", "value").agg(F.count("*").alias("paper_count"))
+
+
+def _tagged(name: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(name).alias("tag"), v.alias("value")))
+
+
 def merge_counters(stored: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     """Stored counters plus increments: a union summed per key, no join."""
     return (

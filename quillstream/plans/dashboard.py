@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillstream import lexicon
 from quillstream.operators import search, stats
+from quillstream.operators.ingest import YEARLY
+from quillstream.schemas import LIST_FIELDS
+from quillstream.streaming.tables import BatchTables
 
 
 def dashboard(tables: dict[str, DataFrame], q: str = "", year: int = 0, limit: int = lexicon.DASHBOARD_SEARCH_LIMIT,
@@ -30,6 +33,12 @@ def dashboard(tables: dict[str, DataFrame], q: str = "", year: int = 0, limit: i
     }
 
 
-def counter_points(counters: DataFrame, key: str = "value") -> DataFrame:
-    """Counter table as ranking points."""
-    return counters.select(F.col(key).alias("name"), F.col("paper_count").alias("value"))
+def stored_tables(tables: BatchTables) -> dict[str, DataFrame]:
+    """The ingest tables under the names ``dashboard`` reads."""
+    frames = {"papers": tables.papers()}
+    yearly = tables.counter(YEARLY)
+    frames["stats_yearly"] = yearly.select(F.col("value").cast("int").alias("year"), F.col("paper_count").alias("count"))
+    for name in LIST_FIELDS:
+        frames[name] = tables.dimension(name)
+        frames[f"stats_{name}"] = tables.counter(name).select(F.col("value").alias("name"), F.col("paper_count").alias("value"))
+    return frames

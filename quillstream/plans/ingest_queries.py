@@ -121,13 +121,7 @@ def _rebuild_from_messages(spark, folder):
 # Stored tables and streams ---------------------------------------------------
 
 def _counter_rows(tables):
-    """The four counters as one frame."""
-    out = None
-    for name in ("yearly", *LIST_FIELDS):
-        rows = tables.counters(f"stats_{name}")
-        rows = rows.select(F.lit(name).alias("counter"), F.col(rows.columns[0]).cast("string").alias("name"), "paper_count")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return tables.all_counters().select("counter", F.col("value").alias("name"), "paper_count")
 
 
 def _ingest_atomic(spark, folder):

@@ -45,6 +45,7 @@ PAPER_DELTA = T.StructType([
 ])
 
 DIMENSION = T.StructType([
+    T.StructField("dimension", T.StringType()),
     T.StructField("source_id", T.StringType()),
     T.StructField("value", T.StringType()),
 ])
@@ -55,12 +56,8 @@ LEDGER = T.StructType([
     T.StructField("first_seen_at", T.TimestampType()),
 ])
 
-YEAR_DELTA = T.StructType([
-    T.StructField("year", T.IntegerType()),
-    T.StructField("paper_count", T.LongType()),
-])
-
-VALUE_DELTA = T.StructType([
+COUNTER_DELTA = T.StructType([
+    T.StructField("counter", T.StringType()),
     T.StructField("value", T.StringType()),
     T.StructField("paper_count", T.LongType()),
 ])

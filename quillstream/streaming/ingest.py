@@ -49,12 +49,10 @@ def batch_frames(events: DataFrame, ledger: DataFrame, now: Column, strict_insta
     new = unseen(firsts, ledger)
     frames = {
         "papers": papers,
+        "dimensions": ops.all_dimension_rows(events),
         "ledger": new.select("source_id", F.col("seq").alias("first_seq"), now.alias("first_seen_at")),
-        "stats_yearly": ops.year_deltas(new),
+        "counters": ops.all_deltas(new),
     }
-    for field in LIST_FIELDS:
-        frames[field] = ops.dimension_rows(events, field)
-        frames[f"stats_{field}"] = ops.value_deltas(new, field)
     return frames, firsts
 
 

@@ -18,17 +18,15 @@ from quillstream.schemas import PAPER_PAYLOAD
 
 TABLES = {
     "papers": schemas.PAPER_DELTA,
-    "authors": schemas.DIMENSION,
-    "institutions": schemas.DIMENSION,
-    "keywords": schemas.DIMENSION,
+    "dimensions": schemas.DIMENSION,
     "ledger": schemas.LEDGER,
-    "stats_yearly": schemas.YEAR_DELTA,
-    "stats_authors": schemas.VALUE_DELTA,
-    "stats_institutions": schemas.VALUE_DELTA,
-    "stats_keywords": schemas.VALUE_DELTA,
+    "counters": schemas.COUNTER_DELTA,
     "quarantine": schemas.QUARANTINE,
 }
 
+# Tables whose readers want one kind of row: each kind is a folder of its own.
+_SPLIT_BY = {"dimensions": "dimension", "counters": "counter"}
+
 _COMMITS = "commits"
 _COMMIT_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
@@ -46,7 +44,10 @@ class BatchTables:
         self.tables = TABLES if tables is None else tables
         for name, schema in {**self.tables, _COMMITS: _COMMIT_SCHEMA}.items():
             # An empty part gives every table a readable schema before the first batch.
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self._path(name)}/batch_id=-1")
+            split = _SPLIT_BY.get(name)
+            empty = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != split])
+            folder = f"{self._path(name)}/batch_id=-1" + (f"/{split}=none" if split else "")
+            empty.coalesce(1).write.mode("ignore").parquet(folder)
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -82,7 +83,10 @@ class BatchTables:
     def _write(self, batch_id: int, frames: dict[str, DataFrame]) -> None:
         for name, frame in frames.items():
             columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.tables[name].fields]
-            frame.select(*columns).write.mode("overwrite").parquet(f"{self._path(name)}/batch_id={batch_id}")
+            writer = frame.select(*columns).write.mode("overwrite")
+            if name in _SPLIT_BY:
+                writer = writer.partitionBy(_SPLIT_BY[name])
+            writer.parquet(f"{self._path(name)}/batch_id={batch_id}")
 
     def _commit(self, batch_id: int, commits: DataFrame) -> None:
         # One file, so it appears in one rename.
@@ -121,15 +125,19 @@ class BatchTables:
         return folded.select("id", "source_id", *[F.col("_new")[c].alias(c) for c in PAPER_PAYLOAD], "created_at", "updated_at")
 
     def dimension(self, name: str) -> DataFrame:
-        return self.read(name).select("source_id", "value").distinct()
+        return self.read("dimensions").where(F.col("dimension") == name).select("source_id", "value").distinct()
 
     def ledger(self) -> DataFrame:
         return self.read("ledger").groupBy("source_id").agg(
             F.min("first_seq").alias("first_seq"), F.min("first_seen_at").alias("first_seen_at"))
 
-    def counters(self, name: str) -> DataFrame:
-        key = self.tables[name].fields[0].name
-        return self.read(name).groupBy(key).agg(F.sum("paper_count").alias("paper_count"))
+    def all_counters(self) -> DataFrame:
+        return self.read("counters").groupBy("counter", "value").agg(F.sum("paper_count").alias("paper_count"))
+
+    def counter(self, name: str) -> DataFrame:
+        """One counter as ``(value, paper_count)``."""
+        deltas = self.read("counters").where(F.col("counter") == name)
+        return deltas.groupBy("value").agg(F.sum("paper_count").alias("paper_count"))
 
     def quarantine(self) -> DataFrame:
         return self.read("quarantine").select("seq", "value", "reason")
@@ -145,11 +153,13 @@ class BatchTables:
             "source_id", *PAPER_PAYLOAD, F.col("id").alias("first_seq"), "created_at",
             F.col("updated_at").alias("loaded_at"),
         ).join(self.read("papers").groupBy("source_id").agg(F.max("last_seq").alias("last_seq")), "source_id")
-        frames = {"papers": papers, "ledger": self.ledger(), "quarantine": self.quarantine()}
-        for name in ("authors", "institutions", "keywords"):
-            frames[name] = self.dimension(name)
-        for name in ("stats_yearly", "stats_authors", "stats_institutions", "stats_keywords"):
-            frames[name] = self.counters(name)
+        frames = {
+            "papers": papers,
+            "dimensions": self.read("dimensions").select("dimension", "source_id", "value").distinct(),
+            "ledger": self.ledger(),
+            "counters": self.all_counters(),
+            "quarantine": self.quarantine(),
+        }
         target._write(0, frames)
         target._commit(0, self._commits().groupBy("source").agg(F.max("source_batch").alias("source_batch")))
         return target
