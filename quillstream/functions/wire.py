@@ -18,16 +18,20 @@ _RAW_OPTIONS = {**_JSON_OPTIONS, "columnNameOfCorruptRecord": _CORRUPT}
 
 
 def raw_fields(value: Column) -> Column:
-    """Scalars as text (anything nested as its JSON text) and lists of such texts.
+    """``fields``: scalars as text (anything nested as its JSON text) and lists of
+    such texts; null for a root array, which holds no fields. ``nested``: whether
+    a list might hold lists or objects.
 
-    Null for a root array, which holds no fields. The corrupt column is set when
-    the text is no JSON or a list field holds something else.
+    The corrupt field is set when the text is no JSON or a list field holds
+    something else.
     """
-    return F.from_json(F.when(~F.startswith(F.ltrim(value), F.lit("[")), value), _RAW_SCHEMA, _RAW_OPTIONS)
+    fields = F.from_json(F.when(~F.startswith(F.ltrim(value), F.lit("[")), value), _RAW_SCHEMA, _RAW_OPTIONS)
+    nested = F.coalesce(value.rlike(r"[\[,]\s*[\[{]"), F.lit(False))
+    return F.struct(fields.alias("fields"), nested.alias("nested"))
 
 
 def _looks_nested(text: Column) -> Column:
-    return F.coalesce(F.substring(text, 1, 1).isin("{", "["), F.lit(False))
+    return F.coalesce(F.startswith(text, F.lit("{")) | F.startswith(text, F.lit("[")), F.lit(False))
 
 
 def _variant_kind(value: Column, path: str) -> Column:
@@ -40,14 +44,14 @@ def text_field(value: Column, raw: Column, name: str) -> Column:
     Only a text that looks like an object or array needs the type test, so the
     second parse runs on those rows alone.
     """
-    field = raw[name]
+    field = raw["fields"][name]
     nested = F.coalesce(_variant_kind(value, f"$.{name}").rlike("^(OBJECT|ARRAY)"), F.lit(False))
     return F.when(field.isNull() | (_looks_nested(field) & nested), "").otherwise(field)
 
 
 def int_field(value: Column, raw: Column, name: str) -> Column:
     """Whole number of a JSON number, numeric text or boolean; else 0."""
-    field = F.btrim(raw[name])
+    field = F.btrim(raw["fields"][name])
     wide = F.coalesce(
         field.try_cast("bigint"),
         F.when(field.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), field.try_cast("double").try_cast("bigint")),
@@ -61,8 +65,8 @@ def int_field(value: Column, raw: Column, name: str) -> Column:
 def list_field(value: Column, raw: Column, name: str) -> Column:
     """Cleaned list; anything but an array gives []. Nested items are dropped.
 
-    Only rows with the corrupt mark, or with an item that looks nested, are
-    parsed a second time.
+    Only rows with the corrupt mark, or with items that look nested, are parsed
+    a second time.
     """
 
     def field_text() -> Column:
@@ -77,13 +81,15 @@ def list_field(value: Column, raw: Column, name: str) -> Column:
         texts = F.transform(kept, lambda v: F.try_variant_get(v, "$", "string"))
         return F.when(F.exists(items, _looks_nested), texts).otherwise(items)
 
-    items = F.when(raw[_CORRUPT].isNull(), raw[name]).otherwise(F.when(raw.isNotNull(), recovered()))
-    return clean_list(bind(items, scalars))
+    fields = raw["fields"]
+    sound = fields[_CORRUPT].isNull()
+    items = F.when(sound, fields[name]).otherwise(F.when(fields.isNotNull(), recovered()))
+    return clean_list(F.when(sound & ~raw["nested"], fields[name]).otherwise(bind(items, scalars)))
 
 
 def malformed(value: Column, raw: Column) -> Column:
     """True for text no JSON reader accepts. Blank text and other JSON roots are not malformed."""
-    suspect = raw.isNull() | raw[_CORRUPT].isNotNull()
+    suspect = raw["fields"].isNull() | raw["fields"][_CORRUPT].isNotNull()
     return suspect & ~is_blank(value) & F.try_parse_json(value).isNull()
 
 

@@ -142,7 +142,7 @@ def message_rows(events: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    return message_rows(read_table(pin_session(spark), folder, "events"))
+    return message_rows(spread(read_table(pin_session(spark), folder, "events"), "event_id"))
 
 
 # What the messages above hold once parsed; lists as '|'-joined text.

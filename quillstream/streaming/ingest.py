@@ -84,6 +84,11 @@ def start_ingest(messages: DataFrame, tables: BatchTables, checkpoint: str, trig
     """
 
     def write(frame: DataFrame, batch_id: int) -> None:
+        # A topic with few partitions would parse on as few cores; a batch is
+        # bounded by the source's rate limit, so re-spreading it is cheap.
+        cores = frame.sparkSession.sparkContext.defaultParallelism
+        if frame.rdd.getNumPartitions() < cores:
+            frame = frame.repartition(cores, "seq")
         load_batch(tables, frame, checkpoint, batch_id, clock(batch_id) if clock else None, **options)
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
