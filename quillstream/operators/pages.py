@@ -123,6 +123,6 @@ def detail_fields(pages: DataFrame, layout: DetailLayout = DetailLayout()) -> Da
     )
 
 
-def link_rows(pages: DataFrame, pattern: str = lexicon.HREF) -> DataFrame:
+def link_rows(pages: DataFrame, pattern: str = lexicon.HREF, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per link of each page, in page order."""
-    return pages.select("page_id", F.posexplode(page_links(F.col("html"), pattern)).alias("pos", "href"))
+    return pages.select(*keep, F.posexplode(page_links(F.col("html"), pattern)).alias("pos", "href"))

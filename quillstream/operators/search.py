@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstream import lexicon
 
 ACCENT_FOLD = "UNICODE_CI_AI"
 
+# Beyond this many rows a page is located by histogram instead of a top-k, whose
+# single merge would hold every row up to the page.
+DEEP_PAGE = 10_000
+_BUCKETS = 65536
+
 
 def like_pattern(q: str) -> str:
     """``%q%`` with the backslash escaping wildcards and itself; before any other
@@ -42,13 +47,45 @@ def search_total(papers: DataFrame, q: str = "", year: int = 0, **options) -> Da
 
 
 def search_page(papers: DataFrame, q: str = "", year: int = 0, limit: int = lexicon.SEARCH_LIMIT, offset: int = 0,
-                **options) -> DataFrame:
-    """One page, newest year and id first. Planned as a top-(offset + limit)."""
+                deep_page: int = DEEP_PAGE, **options) -> DataFrame:
+    """One page, newest year and id first.
+
+    Near pages are a top-(offset + limit), far ones are located first.
+    """
     _check_paging(limit, offset)
-    found = papers.where(matches(q, year, **options)).orderBy(F.desc("year"), F.desc("id"))
+    found = papers.where(matches(q, year, **options))
+    if offset + limit > deep_page:
+        return _deep_page(found, limit, offset)
+    found = found.orderBy(F.desc("year"), F.desc("id"))
     return found.offset(offset).limit(limit) if offset else found.limit(limit)
 
 
+def _deep_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
+    """The same page from a histogram of (year, id range): only the ranges that
+    overlap the page are ranked, the rows before it are merely counted."""
+    low = found.agg(F.min("id").alias("v")).scalar()
+    span = found.agg((F.max("id") - F.min("id") + 1).alias("v")).scalar()
+    share = (F.col("id") - low).cast("double") * F.lit(_BUCKETS) / span
+    bucketed = found.withColumn("_bucket", F.coalesce(F.floor(share), F.lit(-1)))
+    sizes = bucketed.groupBy(F.col("year").alias("_year"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_size"))
+    # Years are few; their totals give each year its start, so that the running
+    # sum inside a year covers at most _BUCKETS rows.
+    totals = sizes.groupBy(F.col("_year").alias("_y")).agg(F.sum("_size").alias("_total"))
+    newer = Window.orderBy(F.desc("_y")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_y", F.coalesce(F.sum("_total").over(newer), F.lit(0)).alias("_start"))
+    higher = Window.partitionBy("_year").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("_inside", F.coalesce(F.sum("_size").over(higher), F.lit(0)))
+    placed = placed.join(starts, F.col("_year").eqNullSafe(F.col("_y"))).withColumn("_before", F.col("_start") + F.col("_inside"))
+    overlap = placed.where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_size") > offset))
+    # Each overlapping range holds a row of the page: at most ``limit`` rows.
+    here = bucketed["year"].eqNullSafe(F.col("_year")) & (bucketed["_bucket"] == F.col("_b"))
+    chosen = overlap.select("_year", "_b", "_before")
+    near = bucketed.join(F.broadcast(chosen) if limit <= DEEP_PAGE else chosen, here)
+    rank = F.row_number().over(Window.partitionBy("_year", "_b").orderBy(F.desc("id"))) + F.col("_before")
+    page = near.withColumn("_rank", rank).where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit))
+    return page.orderBy(F.desc("year"), F.desc("id")).select(*found.columns)
+
+
 def search_after(papers: DataFrame, after_year: int, after_id: int, q: str = "", year: int = 0,
                  limit: int = lexicon.SEARCH_LIMIT, **options) -> DataFrame:
     """The page that follows ``(after_year, after_id)``: its cost does not grow with depth."""

@@ -156,12 +156,16 @@ MESSAGES_SQL = EVENTS_SQL + """, parsed AS (SELECT seq, source_id, year,
 
 
 def change_log(spark: SparkSession, folder: str) -> DataFrame:
+    return change_rows(read_table(pin_session(spark), folder, "events"))
+
+
+def change_rows(events: DataFrame) -> DataFrame:
     """Events as row changes: signups insert, errors delete, the rest update.
 
-    Orders table changes are mixed in under another table name, short rows
-    where ``k % 29 = 3``.
+    Every eleventh ``k`` changes another table; rows are too short where
+    ``k % 29 = 3``.
     """
-    e = event_rows(read_table(pin_session(spark), folder, "events"))
+    e = event_rows(events)
     op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("update")
     table = F.when(F.col("k") % 11 == 0, "audit").otherwise("papers")
 

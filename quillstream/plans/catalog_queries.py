@@ -127,6 +127,7 @@ QUERIES = {
     "search_year": _found(year=2022),
     "search_q_year": _page("THE", 2021, 12, 0),
     "search_page": _page("la", 0, 12, 24),
+    "search_deep_page": lambda s, d: search.search_page(papers_text(s, d), "la", 0, 15, 90, deep_page=50),
     "search_past_end": _page("la", 2023, 20, 10_000_000),
     "search_after": lambda s, d: search.search_after(papers_text(s, d), 2024, 400, "la", limit=12),
     "search_total": lambda s, d: search.search_total(papers_text(s, d), "the", 2024),
@@ -204,6 +205,8 @@ ORACLE = {
         ORDER BY year DESC, id DESC LIMIT 12""",
     "search_page": _T + """SELECT * FROM papers_t WHERE title ILIKE '%la%' OR abstract ILIKE '%la%'
         ORDER BY year DESC, id DESC LIMIT 12 OFFSET 24""",
+    "search_deep_page": _T + """SELECT * FROM papers_t WHERE title ILIKE '%la%' OR abstract ILIKE '%la%'
+        ORDER BY year DESC, id DESC LIMIT 15 OFFSET 90""",
     "search_past_end": _T + """SELECT * FROM papers_t WHERE (title ILIKE '%la%' OR abstract ILIKE '%la%') AND year = 2023
         ORDER BY year DESC, id DESC LIMIT 20 OFFSET 10000000""",
     "search_after": _T + """SELECT * FROM papers_t WHERE (title ILIKE '%la%' OR abstract ILIKE '%la%')

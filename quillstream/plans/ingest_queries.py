@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillstream.operators import changes, ingest as ops
 from quillstream.operators.perkey import insert_absent
 from quillstream.operators.stats import rebuild_counters
-from quillstream.plans.adapters import (CHANGES_SQL, EVENTS, EVENTS_SQL, MESSAGES_SQL, NOW, TEXT_SQL, change_log, event_rows,
+from quillstream.plans.adapters import (CHANGES_SQL, EVENTS, EVENTS_SQL, MESSAGES_SQL, NOW, TEXT_SQL, change_log, change_rows, event_rows,
                                         message_rows, messages, now_column, papers_text, with_sql)
 from quillstream.schemas import LIST_FIELDS
 from quillstream.session import pin_session, shared_dir
@@ -176,7 +176,7 @@ def _stream_source(spark, folder):
     stream = message_rows(_event_stream(spark, folder))
     query, tables = state.start_upserts(stream, spark, f"{root}/tables", f"{root}/checkpoint")
     query.awaitTermination()
-    return tables.read("state").select("seq", F.md5(F.col("value").cast("binary")).alias("digest"))
+    return tables.read("state").select("seq", F.col("value").endswith("}").alias("complete"))
 
 
 def _finish(spark, root, changes_stream):
@@ -218,6 +218,12 @@ def _change_events(spark, folder):
     return rows.select("seq", "event")
 
 
+def _stream_changes(spark, folder):
+    """The same notifications from the change log as a stream."""
+    log = change_rows(_event_stream(spark, folder))
+    return _finish(spark, shared_dir(spark, "changes"), feed.log_events(log, "library", "papers", now_column())).read("state").select("seq", "event")
+
+
 def _timed(spark, folder):
     docs = papers_text(spark, folder)
     updated = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 1) * cast(floor(id / 7) as int)")
@@ -272,6 +278,7 @@ QUERIES = {
     "stream_upsert": _stream_upsert,
     "change_feed": _change_feed,
     "change_events": _change_events,
+    "stream_changes": _stream_changes,
     "updated_after": _updated_after,
     "updated_after_pair": _updated_after_pair,
     "poll_cursor": _poll_cursor,
@@ -304,6 +311,11 @@ _TIMED = "WITH " + TEXT_SQL + """, timed AS (SELECT id, source_id, year, title,
 _PAIR = f"""SELECT * FROM timed WHERE (updated_at > TIMESTAMP '{_AFTER}') OR (updated_at = TIMESTAMP '{_AFTER}' AND id > 282)
     ORDER BY updated_at, id LIMIT 50"""
 
+_CHANGE_EVENTS = "WITH " + CHANGES_SQL + """SELECT seq, concat('{"type":"paper.updated","payload":{"id":', id, ',"source_id":"', source_id,
+        '","year":', year, ',"title":"', title, '","abstract":"', replace(abstract, '"', '\\"'), '","paper_url":"', paper_url,
+        '","pdf_url":"","created_at":"', strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z'), '","updated_at":"',
+        strftime(updated_at, '%Y-%m-%dT%H:%M:%S.000Z'), '"}}') AS event FROM changed"""
+
 ORACLE = {
     "parse_events": _M + _EVENT_SELECT + "parsed",
     "valid_events": _M + _EVENT_SELECT + "good",
@@ -339,6 +351,7 @@ ORACLE = {
     "ingest_atomic": _ALL_COUNTERS,
     "stream_replay": _ALL_COUNTERS,
     "stream_folded": _ALL_COUNTERS,
+    "stream_source": _E + "SELECT seq, k % 23 <> 5 AS complete FROM ev",
     "stream_ingest": _M + f"""SELECT source_id, min(seq) AS id, arg_max(year, seq) AS year, arg_max(title, seq) AS title,
         arg_max(abstract, seq) AS abstract, arg_max(paper_url, seq) AS paper_url, '' AS pdf_url, arg_max(crawled_at, seq) AS crawled_at,
         TIMESTAMP '{NOW}' AS created_at, TIMESTAMP '{NOW}' AS updated_at FROM good GROUP BY 1""",
@@ -351,11 +364,10 @@ ORACLE = {
         FROM ev GROUP BY 1""",
     "change_feed": "WITH " + CHANGES_SQL + """SELECT seq, id, source_id, year, title, abstract, paper_url, pdf_url, created_at, updated_at
         FROM changed""",
-    "change_events": "WITH " + CHANGES_SQL + """SELECT seq, concat('{"type":"paper.updated","payload":{"id":', id, ',"source_id":"', source_id,
-        '","year":', year, ',"title":"', title, '","abstract":"', replace(abstract, '"', '\\"'), '","paper_url":"', paper_url,
-        '","pdf_url":"","created_at":"', strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z'), '","updated_at":"',
-        strftime(updated_at, '%Y-%m-%dT%H:%M:%S.000Z'), '"}}') AS event FROM changed""",
+    "change_events": _CHANGE_EVENTS,
+    "stream_changes": _CHANGE_EVENTS,
     "updated_after": _TIMED + f"SELECT * FROM timed WHERE updated_at > TIMESTAMP '{_AFTER}' ORDER BY updated_at, id LIMIT 50",
     "updated_after_pair": _TIMED + _PAIR,
-    "poll_cursor": _TIMED + f"SELECT max(updated_at) AS updated_at, arg_max(id, (updated_at, id)) AS id FROM ({_PAIR})",
+    "poll_cursor": _TIMED + f"""SELECT coalesce(max(updated_at), TIMESTAMP '{_AFTER}') AS updated_at,
+        coalesce(arg_max(id, (updated_at, id)), 282) AS id FROM ({_PAIR})""",
 }

@@ -47,7 +47,7 @@ def _blocks(spark, folder):
 
 
 def _links_resolved(spark, folder):
-    rows = ops.link_rows(_spread_pages(spark, folder)).join(stored_pages(spark, folder).select("page_id", "url"), "page_id")
+    rows = ops.link_rows(_spread_pages(spark, folder), keep=("page_id", "url"))
     return rows.select("page_id", "pos", markup.resolve_url(F.col("url"), F.col("href")).alias("link"))
 
 

@@ -104,9 +104,11 @@ class BatchTables:
     # Folded views -----------------------------------------------------------
 
     def papers(self) -> DataFrame:
-        """Newest version of each record.
+        """Newest version of each record."""
+        return self._folded_papers().drop("last_seq")
 
-        ``id`` orders records by first arrival, ``created_at`` is the load time
+    def _folded_papers(self) -> DataFrame:
+        """``id`` orders records by first arrival, ``created_at`` is the load time
         of the first version and ``updated_at`` that of the last version that
         changed a value. The window holds at most one row per batch and record.
         """
@@ -118,11 +120,12 @@ class BatchTables:
         newest = F.struct(*PAPER_PAYLOAD)
         folded = versions.groupBy("source_id").agg(
             F.min("first_seq").alias("id"),
+            F.max("last_seq").alias("last_seq"),
             F.max_by(newest, "last_seq").alias("_new"),
             F.min("created_at").alias("created_at"),
             F.max(F.when(F.col("_changed"), F.col("loaded_at"))).alias("updated_at"),
         )
-        return folded.select("id", "source_id", *[F.col("_new")[c].alias(c) for c in PAPER_PAYLOAD], "created_at", "updated_at")
+        return folded.select("id", "source_id", *[F.col("_new")[c].alias(c) for c in PAPER_PAYLOAD], "created_at", "updated_at", "last_seq")
 
     def dimension(self, name: str) -> DataFrame:
         return self.read("dimensions").where(F.col("dimension") == name).select("source_id", "value").distinct()
@@ -149,10 +152,7 @@ class BatchTables:
         root: replays of older batches are still recognised.
         """
         target = BatchTables(self.spark, root, self.tables)
-        papers = self.papers().select(
-            "source_id", *PAPER_PAYLOAD, F.col("id").alias("first_seq"), "created_at",
-            F.col("updated_at").alias("loaded_at"),
-        ).join(self.read("papers").groupBy("source_id").agg(F.max("last_seq").alias("last_seq")), "source_id")
+        papers = self._folded_papers().withColumnRenamed("id", "first_seq").withColumnRenamed("updated_at", "loaded_at")
         frames = {
             "papers": papers,
             "dimensions": self.read("dimensions").select("dimension", "source_id", "value").distinct(),

@@ -105,3 +105,12 @@ def test_page_meta(spark):
 
 def test_request_int():
     assert [search.request_int(v, 20) for v in (None, "", "x", "7", "-3", "1.5")] == [20, 20, 20, 7, -3, 20]
+
+
+def test_deep_pages_equal_near_ones(spark):
+    rows = [(i * 7919 % 100_003, 2000 + i % 4 if i % 50 else None) for i in range(900)] + [(None, 2001)]
+    df = spark.createDataFrame(rows, "id bigint, year int").withColumns({"title": F.lit("t"), "abstract": F.lit("a")})
+    near = [tuple(r) for r in search.search_page(df, limit=901).collect()]
+    for offset, limit in ((0, 5), (224, 3), (440, 30), (895, 20), (2000, 5)):
+        deep = search.search_page(df, limit=limit, offset=offset, deep_page=0)
+        assert [tuple(r) for r in deep.collect()] == near[offset:offset + limit]
