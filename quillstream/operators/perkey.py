@@ -42,11 +42,7 @@ def first_n_per_group(df: DataFrame, group: str, order: list[str], n: int) -> Da
         rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
         return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
-    lead = order[0]
-    low = df.agg(F.min(lead).alias("v")).scalar()
-    span = df.agg((F.max(lead) - F.min(lead) + 1).alias("v")).scalar()
-    share = (F.col(lead) - low).cast("double") * F.lit(_BUCKETS) / span
-    bucketed = df.withColumn("_bucket", F.coalesce(F.floor(share), F.lit(-1)))
+    bucketed = with_range_bucket(df, order[0])
     sizes = bucketed.groupBy(group, "_bucket").agg(F.count("*").alias("_size"))
     upto = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = sizes.withColumn("_before", F.sum("_size").over(upto) - F.col("_size"))
@@ -64,6 +60,17 @@ def first_n_per_group(df: DataFrame, group: str, order: list[str], n: int) -> Da
     return below.unionByName(boundary)
 
 
+def with_range_bucket(df: DataFrame, column: str) -> DataFrame:
+    """Add ``_bucket``: a whole-number column cut into equal ranges, in its order.
+
+    The bounds come from one scalar subquery; nulls get the lowest bucket.
+    """
+    ends = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("v")).scalar()
+    low, high = ends["low"].cast("double"), ends["high"].cast("double")
+    share = (F.col(column).cast("double") - low) * F.lit(_BUCKETS) / (high - low + 1)
+    return df.withColumn("_bucket", F.coalesce(F.floor(share), F.lit(-1)))
+
+
 def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Existing rows plus the new keys not among them; nothing is ever removed.
 

@@ -7,13 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstream import lexicon
+from quillstream.operators.perkey import with_range_bucket
 
 ACCENT_FOLD = "UNICODE_CI_AI"
 
 # Beyond this many rows a page is located by histogram instead of a top-k, whose
 # single merge would hold every row up to the page.
 DEEP_PAGE = 10_000
-_BUCKETS = 65536
 
 
 def like_pattern(q: str) -> str:
@@ -63,13 +63,10 @@ def search_page(papers: DataFrame, q: str = "", year: int = 0, limit: int = lexi
 def _deep_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
     """The same page from a histogram of (year, id range): only the ranges that
     overlap the page are ranked, the rows before it are merely counted."""
-    low = found.agg(F.min("id").alias("v")).scalar()
-    span = found.agg((F.max("id") - F.min("id") + 1).alias("v")).scalar()
-    share = (F.col("id") - low).cast("double") * F.lit(_BUCKETS) / span
-    bucketed = found.withColumn("_bucket", F.coalesce(F.floor(share), F.lit(-1)))
+    bucketed = with_range_bucket(found, "id")
     sizes = bucketed.groupBy(F.col("year").alias("_year"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_size"))
     # Years are few; their totals give each year its start, so that the running
-    # sum inside a year covers at most _BUCKETS rows.
+    # sum inside a year covers its ranges only.
     totals = sizes.groupBy(F.col("_year").alias("_y")).agg(F.sum("_size").alias("_total"))
     newer = Window.orderBy(F.desc("_y")).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_y", F.coalesce(F.sum("_total").over(newer), F.lit(0)).alias("_start"))
