@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # one task whole.
 GROUP_LIMIT_BOUND = 1000
 _BUCKETS = 65536
+_LEVELS = 2
 
 
 def _pick(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
@@ -42,33 +43,39 @@ def first_n_per_group(df: DataFrame, group: str, order: list[str], n: int) -> Da
         rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
         return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
-    bucketed = with_range_bucket(df, order[0])
-    sizes = bucketed.groupBy(group, "_bucket").agg(F.count("*").alias("_size"))
+    lead = order[0]
+    ends = df.agg(F.struct(F.min(lead).alias("low"), F.max(lead).alias("high")).alias("v")).scalar()
+    rows = df.select("*", F.lit(n).cast("bigint").alias("_left"), ends["low"].alias("_low"), ends["high"].alias("_high"))
     upto = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = sizes.withColumn("_before", F.sum("_size").over(upto) - F.col("_size"))
-    # One row per group: the bucket that crosses n, or the last one.
-    edge = (
-        running.where(F.col("_before") < n)
-        .groupBy(F.col(group).alias("_group"))
-        .agg(F.max("_bucket").alias("_edge"), F.max_by("_before", "_bucket").alias("_taken"))
-    )
-    placed = bucketed.join(edge, F.col(group).eqNullSafe(F.col("_group")))
-    below = placed.where(F.col("_bucket") < F.col("_edge")).select(*df.columns)
+    kept = []
+    for _ in range(_LEVELS):
+        # The second level cuts the boundary range by its own ends, so outliers
+        # that squeeze most rows into one range do no harm.
+        bucketed = rows.withColumn("_bucket", range_bucket(lead))
+        sizes = bucketed.groupBy(group, "_bucket").agg(
+            F.count("*").alias("_size"), F.max("_left").alias("_n"), F.min(lead).alias("_from"), F.max(lead).alias("_to"))
+        running = sizes.withColumn("_before", F.sum("_size").over(upto) - F.col("_size"))
+        # One row per group: the range that crosses n, or the last one.
+        crossing = F.struct("_bucket", (F.col("_n") - F.col("_before")).alias("rest"), "_from", "_to")
+        edge = running.where(F.col("_before") < F.col("_n")).groupBy(F.col(group).alias("_group")).agg(
+            F.max_by(crossing, "_bucket").alias("_edge"))
+        placed = bucketed.join(edge, F.col(group).eqNullSafe(F.col("_group")))
+        kept.append(placed.where(F.col("_bucket") < F.col("_edge._bucket")).select(*df.columns))
+        rows = placed.where(F.col("_bucket") == F.col("_edge._bucket")).select(
+            *df.columns, F.col("_edge.rest").alias("_left"), F.col("_edge._from").alias("_low"), F.col("_edge._to").alias("_high"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    boundary = placed.where(F.col("_bucket") == F.col("_edge")).withColumn("_rank", rank)
-    boundary = boundary.where(F.col("_rank") <= F.lit(n) - F.col("_taken")).select(*df.columns)
-    return below.unionByName(boundary)
-
+    out = rows.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left")).select(*df.columns)
+    for below in kept:
+        out = out.unionByName(below)
+    return out
 
-def with_range_bucket(df: DataFrame, column: str) -> DataFrame:
-    """Add ``_bucket``: a whole-number column cut into equal ranges, in its order.
 
-    The bounds come from one scalar subquery; nulls get the lowest bucket.
-    """
-    ends = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("v")).scalar()
-    low, high = ends["low"].cast("double"), ends["high"].cast("double")
+def range_bucket(column: str) -> Column:
+    """Equal ranges of a whole-number column between ``_low`` and ``_high``, in its
+    order; nulls come first."""
+    low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
     share = (F.col(column).cast("double") - low) * F.lit(_BUCKETS) / (high - low + 1)
-    return df.withColumn("_bucket", F.coalesce(F.floor(share), F.lit(-1)))
+    return F.coalesce(F.floor(share), F.lit(-1))
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

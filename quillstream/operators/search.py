@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstream import lexicon
-from quillstream.operators.perkey import with_range_bucket
+from quillstream.operators.perkey import range_bucket
 
 ACCENT_FOLD = "UNICODE_CI_AI"
 
@@ -61,25 +63,29 @@ def search_page(papers: DataFrame, q: str = "", year: int = 0, limit: int = lexi
 
 
 def _deep_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
-    """The same page from a histogram of (year, id range): only the ranges that
-    overlap the page are ranked, the rows before it are merely counted."""
-    bucketed = with_range_bucket(found, "id")
-    sizes = bucketed.groupBy(F.col("year").alias("_year"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_size"))
-    # Years are few; their totals give each year its start, so that the running
-    # sum inside a year covers its ranges only.
-    totals = sizes.groupBy(F.col("_year").alias("_y")).agg(F.sum("_size").alias("_total"))
-    newer = Window.orderBy(F.desc("_y")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_y", F.coalesce(F.sum("_total").over(newer), F.lit(0)).alias("_start"))
-    higher = Window.partitionBy("_year").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("_inside", F.coalesce(F.sum("_size").over(higher), F.lit(0)))
-    placed = placed.join(starts, F.col("_year").eqNullSafe(F.col("_y"))).withColumn("_before", F.col("_start") + F.col("_inside"))
-    overlap = placed.where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_size") > offset))
-    # Each overlapping range holds a row of the page: at most ``limit`` rows.
-    here = bucketed["year"].eqNullSafe(F.col("_year")) & (bucketed["_bucket"] == F.col("_b"))
-    chosen = overlap.select("_year", "_b", "_before")
-    near = bucketed.join(F.broadcast(chosen) if limit <= DEEP_PAGE else chosen, here)
-    rank = F.row_number().over(Window.partitionBy("_year", "_b").orderBy(F.desc("id"))) + F.col("_before")
-    page = near.withColumn("_rank", rank).where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit))
+    """The same page, located by counting years, then id ranges, then ranges of those.
+
+    Each step keeps the ranges that overlap the page; the rows before it are
+    only counted. An overlapping range holds a row of the page, so a step keeps
+    at most ``limit`` ranges, and only the last ranges are ranked.
+    """
+    rows = found.select("*", F.lit(0).cast("bigint").alias("_base"))
+    groups: list[str] = []
+    for step, bucket in enumerate((F.col("year"), range_bucket("id"), range_bucket("id"))):
+        name = f"_step{step}"
+        rows = rows.withColumn(name, bucket)
+        sizes = rows.groupBy(*groups, name).agg(
+            F.count("*").alias("_size"), F.max("_base").alias("_start"), F.min("id").alias("_from"), F.max("id").alias("_to"))
+        ahead = Window.partitionBy(*groups).orderBy(F.desc(name)).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
+        overlap = sizes.where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_size") > offset))
+        groups = [*groups, name]
+        chosen = overlap.select(*[F.col(g).alias(f"{g}_") for g in groups], "_before", "_from", "_to")
+        same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in groups])
+        rows = rows.join(F.broadcast(chosen) if limit <= DEEP_PAGE else chosen, same).select(
+            *found.columns, *groups, F.col("_before").alias("_base"), F.col("_from").alias("_low"), F.col("_to").alias("_high"))
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("id"))) + F.col("_base")
+    page = rows.withColumn("_rank", rank).where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit))
     return page.orderBy(F.desc("year"), F.desc("id")).select(*found.columns)
 
 
