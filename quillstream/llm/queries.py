@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from quillstream.llm import (
-    hilbert_search, host_rules, packing, repair_output, reply_trees, sentencepiece_wfst, token_counts,
+    hilbert_search, host_rules, packing, repair_output, reply_trees, sentencepiece_wfst, simhash, token_counts,
 )
 from quillstream.llm.common import read
 
@@ -21,6 +21,10 @@ def op2_sentencepiece(spark, folder):
     return sentencepiece_wfst.round_trip(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_simhash(spark, folder):
+    return simhash.near_duplicates(read(spark, folder, "documents"))
+
+
 def op5_quality_rules(spark, folder):
     return host_rules.judged(read(spark, folder, "documents"), keep=["doc_id"])
 
@@ -43,5 +47,5 @@ def op10_token_id_output(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_sentencepiece, op5_quality_rules, op6_best_fit_packing, op8_nearest_neighbours, op9_chat_formatting, op10_token_id_output)}
+    op1_token_counts, op2_sentencepiece, op4_simhash, op5_quality_rules, op6_best_fit_packing, op8_nearest_neighbours, op9_chat_formatting, op10_token_id_output)}
 ORACLE: dict[str, str] = {}
