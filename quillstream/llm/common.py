@@ -33,7 +33,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     ``make`` runs once per task and returns the function; it gets lists by column
     name for at most ``rows`` rows at a time and returns lists or Arrow arrays.
     """
-    kinds = _arrow_schema(schema)
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -48,6 +48,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(StructType.fromDDL(schema))

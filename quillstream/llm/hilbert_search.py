@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillstream.llm.common import _arrow_schema, map_rows, written
+from quillstream.llm.common import arrow_schema, map_rows, written
 
 CURVES, DIMENSIONS, BITS = 24, 16, 3
 #: Rows on either side of a query on each curve: this share of all, and at least so many. The share is what recall
@@ -92,7 +92,7 @@ def _blocks(vectors: DataFrame, curves: Curves, dims: int) -> DataFrame:
     keyed = map_rows(vectors, keys, "curve int, key bigint, vec_id bigint, v binary", rows=1024)
     ordered = keyed.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id").drop("key")
     schema = "curve int, part int, number int, n int, vec_ids array<bigint>, vs binary"
-    kinds = _arrow_schema(schema)
+    kinds = arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held = TaskContext.get().partitionId(), 0, []

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from quillstream.llm import (
-    hilbert_search, host_rules, packing, repair_output, reply_trees, sentencepiece_wfst, simhash, token_counts,
+    bwt_dedup, hilbert_search, host_rules, packing, recompression, repair_output, reply_trees, sentencepiece_wfst, simhash, token_counts,
 )
 from quillstream.llm.common import read
 
@@ -21,6 +21,10 @@ def op2_sentencepiece(spark, folder):
     return sentencepiece_wfst.round_trip(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_substring_dedup(spark, folder):
+    return recompression.digests(read(spark, folder, "documents"))
+
+
 def op4_simhash(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
@@ -33,6 +37,10 @@ def op6_best_fit_packing(spark, folder):
     return packing.best_fit(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_suffix_array_dedup(spark, folder):
+    return bwt_dedup.digests(read(spark, folder, "documents"))
+
+
 def op8_nearest_neighbours(spark, folder):
     return hilbert_search.nearest(read(spark, folder, "embeddings"), 64, lambda vec_id: vec_id % 100 == 0)
 
@@ -47,5 +55,5 @@ def op10_token_id_output(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_sentencepiece, op4_simhash, op5_quality_rules, op6_best_fit_packing, op8_nearest_neighbours, op9_chat_formatting, op10_token_id_output)}
+    op1_token_counts, op2_sentencepiece, op3_substring_dedup, op4_simhash, op5_quality_rules, op6_best_fit_packing, op7_suffix_array_dedup, op8_nearest_neighbours, op9_chat_formatting, op10_token_id_output)}
 ORACLE: dict[str, str] = {}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillstream.llm.common import _arrow_schema, map_rows
+from quillstream.llm.common import arrow_schema, map_rows
 from quillstream.llm.word_ids import WordIds
 from quillstream.session import shared_dir
 
@@ -131,7 +131,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_id
     Rows are ordered by doc_id, null first; rows with equal doc_ids by a hash of
     their text. A null or empty text is its end id. Other columns are ignored.
     """
-    kinds = _arrow_schema(_SHARD)
+    kinds = arrow_schema(_SHARD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()

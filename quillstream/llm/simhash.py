@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quillstream.llm.common import _arrow_schema, map_rows, written
+from quillstream.llm.common import arrow_schema, map_rows, written
 
 SEED = 42
 BITS = 64
@@ -170,7 +170,7 @@ def links(prints: DataFrame, n_blocks: int, budget: int) -> DataFrame:
     with equal keys are linked too. All rows of a block value go to one task, which
     holds sixteen bytes for each.
     """
-    kinds = _arrow_schema("a bigint, b bigint")
+    kinds = arrow_schema("a bigint, b bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
