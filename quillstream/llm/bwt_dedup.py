@@ -149,7 +149,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many:
         powers = spans.both_powers()
         return lambda texts: cut(powers, texts, window, gram)
 
-    store = spans.stored(docs, stretch_maker)
+    store = spans.stored(docs, stretch_maker, [])
     found = spans.exploded(store).drop("rank")
     met = spans.shared(found, F.min(F.struct("row", "first")))
     mine = written(found.join(met, ["name", "e1", "e2"]).select("name", "row", "first", "last", "first_row", "n", "variants"), "stretches")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quillstream.llm import spans
-from quillstream.llm.common import map_rows, written
+from quillstream.llm.common import BLANKS, map_rows, written
 
 WINDOW = 50
 ROUNDS = 3
@@ -96,20 +96,21 @@ def cut(powers, texts: list[str], window: int = WINDOW) -> list[tuple]:
     return spans.stretches(powers, names, window, lambda values, hashes: window_keys(values, hashes, window))
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """(row, doc_id, n_words, n_removed, removed, kept) for every row of ``docs`` (doc_id, text).
 
     Words covered by a window that also starts in a row of smaller doc_id go;
-    ``removed`` lists their stretches as [start, end) in words, ``kept`` has the rest joined
-    by one space. A null or empty text has no words and stays. Rows with
+    ``removed`` lists their stretches as [start, end) in words. ``kept`` has the
+    rest joined by one space, or the text as it is where nothing goes. A null or empty text has no words and stays. Rows with
     one doc_id don't affect each other; a null doc_id comes after all others. Texts
-    of fewer words than a window stay whole. Other columns are ignored.
+    of fewer words than a window stay whole. Of the other columns those in ``carry``
+    come along in the struct ``extra`` (which is just true without any).
     """
     def stretch_maker():
         powers = spans.both_powers()
         return lambda texts: cut(powers, texts, window)
 
-    store = spans.stored(docs, stretch_maker)
+    store = spans.stored(docs, stretch_maker, list(carry))
     found = spans.exploded(store)
     met = spans.shared(found, F.min("rank"))
     mine = written(found.join(met, ["name", "e1", "e2"]).select("row", "rank", "first", "last", "first_row", "variants"), "stretches")
@@ -140,19 +141,23 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         def work(c):
             out = {k: [] for k in ("n_words", "n_removed", "removed", "kept")}
             for data, found in zip(c["packed"], c["found"]):
-                words = spans.unpacked(data).encode().split()
+                text = spans.unpacked(data)
+                words = text.encode().split()
                 gone = spans.covered(len(words), found or [], window)
                 edge = spans.edges(gone)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(gone.sum()))
                 out["removed"].append(edge.tolist())
-                out["kept"].append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if len(edge) else words).decode())
-            return {"row": c["row"], "doc_id": c["doc_id"], **out}
+                out["kept"].append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode() if len(edge) else text)
+            return {"row": c["row"], "doc_id": c["doc_id"], "extra": c["extra"], **out}
         return work
 
-    return map_rows(ranges, remove, "row bigint, doc_id bigint, n_words bigint, n_removed bigint, removed array<bigint>, kept string", rows=128)
+    extra = store.schema["extra"].dataType.simpleString()
+    return map_rows(ranges, remove, f"row bigint, doc_id bigint, extra {extra}, n_words bigint, n_removed bigint, removed array<bigint>, kept string", rows=128)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of ``deduplicated``."""
-    return deduplicated(docs, window).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+    """(doc_id, n_words, n_removed, kept_sha256) of ``deduplicated``; the digest is of kept words joined by one space."""
+    cut_ = deduplicated(docs, window)
+    words = F.array_join(F.array_remove(F.split("kept", f"[{BLANKS}]+"), ""), " ")
+    return cut_.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(words, "UTF-8"), 256).alias("kept_sha256"))

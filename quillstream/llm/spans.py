@@ -130,13 +130,16 @@ def unpacked(data: bytes) -> str:
     return zstandard.decompress(data).decode()
 
 
-def stored(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tuple]]]) -> DataFrame:
-    """(row, doc_id, rank, packed, name, e1, e2, first, last): the texts, compressed, and their stretches.
+def stored(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tuple]]], carry: list[str]) -> DataFrame:
+    """(row, doc_id, rank, extra, packed, name, e1, e2, first, last): the texts, compressed, and their stretches.
+
+    ``extra`` is a struct of the columns ``carry``.
 
     ``row`` tells rows apart whatever their doc_id. ``rank`` is the doc_id, beyond
     all others for null. ``make()`` returns the function from texts to ``stretches``.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    extra = F.struct(*carry) if carry else F.lit(True)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", extra.alias("extra"), F.coalesce("text", F.lit("")).alias("text"))
     names = ("name", "e1", "e2", "first", "last")
 
     def work_maker():
@@ -144,11 +147,11 @@ def stored(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tuple]
 
         def work(c):
             found = cut(c["text"])
-            return {"row": c["row"], "doc_id": c["doc_id"], "rank": [(1 << 63) - 1 if d is None else d for d in c["doc_id"]],
+            return {"row": c["row"], "doc_id": c["doc_id"], "extra": c["extra"], "rank": [(1 << 63) - 1 if d is None else d for d in c["doc_id"]],
                     "packed": [packed(t) for t in c["text"]], **{n: [f[i] for f in found] for i, n in enumerate(names)}}
         return work
 
-    kind = "row bigint, doc_id bigint, rank bigint, packed binary, " + ", ".join(f"{n} array<bigint>" for n in names)
+    kind = f"row bigint, doc_id bigint, extra {rows.schema['extra'].dataType.simpleString()}, rank bigint, packed binary, " + ", ".join(f"{n} array<bigint>" for n in names)
     return written(map_rows(rows, work_maker, kind, rows=64), "texts")
 
 
@@ -168,7 +171,7 @@ def shared(found: DataFrame, first) -> DataFrame:
 def with_lists(store: DataFrame, rows: DataFrame, value, how: str) -> DataFrame:
     """Texts with the list of what ``rows`` has about each."""
     lists = rows.groupBy(F.col("row").alias("_row")).agg(F.collect_list(value).alias("found"))
-    return store.select("row", "doc_id", "rank", "packed").join(lists, F.col("row") == F.col("_row"), how).drop("_row")
+    return store.select("row", "doc_id", "extra", "rank", "packed").join(lists, F.col("row") == F.col("_row"), how).drop("_row")
 
 
 def covered(n: int, ranges: list, window: int) -> np.ndarray:
