@@ -97,10 +97,10 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, budget: int, tree: np.ndarr
         parts = [(a0, am, b0, bm, spent), (am, a1, bm, b1, spent), (a0, am, bm, b1, spent + 1)]
         other = ~same
         parts.append((am[other], a1[other], b0[other], bm[other], spent[other] + 1))
-        for lo1, hi1, lo2, hi2, paid in parts:
-            alive = (hi1 > lo1) & (hi2 > lo2) & (paid <= budget)
-            if alive.any():
-                stack.append((bit - 1, *(x[alive] for x in (lo1, hi1, lo2, hi2, paid))))
+        next_ = [np.concatenate(column) for column in zip(*parts)]
+        alive = (next_[1] > next_[0]) & (next_[3] > next_[2]) & (next_[4] <= budget)
+        if alive.any():
+            stack.append((bit - 1, *(x[alive] for x in next_)))
 
 
 def _middle(keys: np.ndarray, low: np.ndarray, high: np.ndarray, bit: int) -> np.ndarray:
