@@ -10,14 +10,6 @@ STOPWORDS = [
     "using", "we", "where", "which", "with", "without",
 ]
 
-# The shorter list of 30 words, kept for the alternative profile.
-STOPWORDS_SHORT = [
-    "about", "after", "again", "and", "based", "between", "for", "from", "into",
-    "learning", "method", "model", "models", "our", "paper", "that", "the",
-    "their", "there", "these", "this", "those", "through", "toward", "towards",
-    "using", "where", "which", "with", "without",
-]
-
 # The 27 phrases scored as a unit.
 PHRASES = [
     "3d detection", "action recognition", "adversarial learning",

@@ -38,8 +38,7 @@ def project_images(rows: DataFrame, now: Column, image: str = "image") -> DataFr
         if kind == "string":
             typed = F.coalesce(value, F.lit(""))
         elif kind == "bigint":
-            typed = F.coalesce(value.try_cast("bigint"), F.lit(0))
-            typed = typed.cast("int") if name == "year" else typed
+            typed = F.coalesce(value.try_cast("int" if name == "year" else "bigint"), F.lit(0))
         else:
             typed = F.coalesce(value.try_cast("timestamp"), now)
         fields.append(typed.alias(name))
@@ -53,12 +52,14 @@ def change_events(papers: DataFrame, key: str | None = None) -> DataFrame:
     return papers.select(*([key] if key else []), text)
 
 
-def updated_after(papers: DataFrame, after: Column, after_id: Column | None = None, limit: int = lexicon.POLL_LIMIT) -> DataFrame:
+def updated_after(papers: DataFrame, after: Column, after_id: Column | None = None, limit: int = lexicon.POLL_LIMIT,
+                  after_key: Column | None = None) -> DataFrame:
     """Oldest changes first beyond a cursor.
 
     With ``after_id`` the cursor is the pair ``(updated_at, id)``, so rows that
     share the last timestamp are not skipped; without it rows at exactly
-    ``after`` are left out.
+    ``after`` are left out. Where ids repeat, ``after_key``, the source_id of the
+    last row, tells them apart.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
@@ -67,8 +68,11 @@ def updated_after(papers: DataFrame, after: Column, after_id: Column | None = No
         beyond = ts > after
     else:
         # The first conjunct is a plain range that reaches the scan.
-        beyond = (ts >= after) & ((ts > after) | (F.col("id") > after_id))
-    return papers.where(beyond).orderBy("updated_at", "id").limit(limit)
+        later = F.col("id") > after_id
+        if after_key is not None:
+            later = later | ((F.col("id") == after_id) & (F.col("source_id") > after_key))
+        beyond = (ts >= after) & ((ts > after) | later)
+    return papers.where(beyond).orderBy("updated_at", "id", *[c for c in ("source_id",) if c in papers.columns]).limit(limit)
 
 
 def poll_cursor(pulled: DataFrame, after: Column, after_id: Column) -> DataFrame:

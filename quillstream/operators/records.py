@@ -54,7 +54,7 @@ def normalize_papers(papers: DataFrame, now: Column, prefix: str = lexicon.ID_PR
         keywords.alias("keywords"),
         text_or_empty(F.col("paper_url")).alias("paper_url"),
         text_or_empty(F.col("pdf_url")).alias("pdf_url"),
-        F.coalesce(F.nullif("crawled_at", F.lit("")), now.cast("string")).alias("crawled_at"),
+        F.coalesce(F.nullif("crawled_at", F.lit("")), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("crawled_at"),
     )
 
 

@@ -90,12 +90,18 @@ def _deep_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
 
 
 def search_after(papers: DataFrame, after_year: int, after_id: int, q: str = "", year: int = 0,
-                 limit: int = lexicon.SEARCH_LIMIT, **options) -> DataFrame:
-    """The page that follows ``(after_year, after_id)``: its cost does not grow with depth."""
+                 limit: int = lexicon.SEARCH_LIMIT, after_key: str | None = None, **options) -> DataFrame:
+    """The page that follows ``(after_year, after_id)``: its cost does not grow with depth.
+
+    Where ids repeat, ``after_key``, the source_id of the last row, tells them apart.
+    """
     _check_paging(limit, 0)
     y, i = F.col("year"), F.col("id")
-    beyond = (y <= after_year) & ((y < after_year) | (i < after_id))
-    return papers.where(matches(q, year, **options) & beyond).orderBy(F.desc("year"), F.desc("id")).limit(limit)
+    later = i < after_id
+    if after_key is not None:
+        later = later | ((i == after_id) & (F.col("source_id") < after_key))
+    beyond = (y <= after_year) & ((y < after_year) | later)
+    return papers.where(matches(q, year, **options) & beyond).orderBy(F.desc("year"), F.desc("id"), F.desc("source_id")).limit(limit)
 
 
 def page_meta(total: DataFrame, limit: int, offset: int) -> DataFrame:

@@ -167,7 +167,7 @@ ORACLE = {
             '-', substring(sha1(concat(year, ':', title)), 1, 10)) AS source_id, year, title, abstract,
             coalesce(joined, '') AS authors, concat({_norm_u('place')}, '|Library') AS institutions,
             CASE WHEN id % 3 = 0 THEN 'archive|text corpus' ELSE coalesce(found, '') END AS keywords,
-            '' AS paper_url, '' AS pdf_url, '{NOW}' AS crawled_at
+            '' AS paper_url, '' AS pdf_url, '{NOW.replace(" ", "T")}Z' AS crawled_at
         FROM base LEFT JOIN lists ON id = key LEFT JOIN kw USING (id)""",
     "to_messages": with_sql(EVENTS_SQL) + """SELECT source_id AS key, concat('{"source_id":"', source_id, '","year":', year,
         ',"event_type":"', event_type, '","position":', seq, '}') AS value FROM ev""",

@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillstream.schemas import MESSAGE
 
+# Bits of ``seq`` that hold the offset inside a partition.
+OFFSET_BITS = 44
+
 
 def topic_stream(spark: SparkSession, brokers: str, topic: str, group: str | None = None, starting: str = "earliest",
                  **options) -> DataFrame:
     """``(seq, value)`` of a topic; needs the Kafka connector on the classpath.
 
     Messages are keyed by id, so all of a key's messages share a partition and
-    the partition offset orders them.
+    the partition offset orders them. ``seq`` holds the partition above the offset
+    and is unique in the topic.
     """
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic)
     reader = reader.option("startingOffsets", starting).options(**options)
     if group:
         reader = reader.option("kafka.group.id", group)
-    return reader.load().select(F.col("offset").alias("seq"), F.col("value").cast("string").alias("value"))
+    return reader.load().select(F.shiftleft(F.col("partition").cast("bigint"), OFFSET_BITS).bitwiseOR(F.col("offset")).alias("seq"), F.col("value").cast("string").alias("value"))
 
 
 def file_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema=MESSAGE, max_files: int | None = None) -> DataFrame:

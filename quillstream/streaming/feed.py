@@ -24,10 +24,11 @@ def log_events(log: DataFrame, schema: str, table: str, now, start: int = -1) ->
 def poll(papers: DataFrame, cursor: tuple[datetime, int], limit: int = lexicon.POLL_LIMIT) -> tuple[DataFrame, tuple[datetime, int]]:
     """One poll: the events of at most ``limit`` changes, and the next cursor.
 
-    Only the cursor, one row, comes to the driver.
+    The changes are pulled once and kept, so cursor and events are of the same
+    rows. Only the cursor, one row, comes to the driver.
     """
     after, after_id = F.lit(cursor[0]), F.lit(cursor[1])
-    pulled = updated_after(papers, after, after_id, limit)
+    pulled = updated_after(papers, after, after_id, limit).persist()
     row = poll_cursor(pulled, after, after_id).head()
     return change_events(pulled), (row["updated_at"], row["id"])
 

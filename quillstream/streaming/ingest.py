@@ -57,12 +57,16 @@ def batch_frames(events: DataFrame, ledger: DataFrame, now: Column, strict_insta
 
 
 def load_batch(tables: BatchTables, messages: DataFrame, source: str, source_batch: int, now: datetime | None = None,
-               strict_instant: bool = False, fail_fast: bool = False) -> bool:
-    """Load one batch of ``(seq, value)`` messages; False when it was loaded before."""
+               strict_instant: bool = False, fail_fast: bool = False, limits: dict[str, int] | None = None) -> bool:
+    """Load one batch of ``(seq, value)`` messages; False when it was loaded before.
+
+    Records with a value longer than its field's entry in ``limits`` are
+    quarantined; by default no length is limited.
+    """
     if tables.is_loaded(source, source_batch):
         return False
     stamp = F.lit(now or datetime.now(timezone.utc)).cast("timestamp")
-    parsed = ops.check_lengths(ops.parse_events(messages)).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = ops.check_lengths(ops.parse_events(messages), limits or {}).persist(StorageLevel.MEMORY_AND_DISK)
     frames, firsts = batch_frames(ops.valid_events(parsed), tables.read("ledger"), stamp, strict_instant)
     frames["quarantine"] = ops.quarantined(parsed, fail_fast).select("seq", "value", "reason")
     try:

@@ -85,3 +85,20 @@ def test_spread_leaves_large_inputs(spark, monkeypatch):
 def test_negative_limit(spark):
     with pytest.raises(ValueError):
         changes.updated_after(spark.createDataFrame([], "id bigint, updated_at timestamp"), F.lit(None), limit=-1)
+
+
+def test_large_year_and_repeated_ids(spark):
+    from quillstream.operators.changes import updated_after
+    from quillstream.operators.search import search_after
+    papers = spark.range(120).select((F.col("id") % 40).alias("id"), F.concat(F.lit("s"), F.col("id")).alias("source_id"), F.lit(2024).alias("year"), F.lit("t").alias("title"),
+                                     F.lit("a").alias("abstract"), F.lit("2026-01-01").cast("timestamp").alias("updated_at"))
+    seen, last = [], (9999, 0, "")
+    while page := search_after(papers, last[0], last[1], limit=7, after_key=last[2]).collect():
+        seen += [r["source_id"] for r in page]
+        last = (page[-1]["year"], page[-1]["id"], page[-1]["source_id"])
+    assert len(seen) == 120 == len(set(seen))
+    seen, last = [], ("2000-01-01", -1, "")
+    while page := updated_after(papers, F.lit(last[0]).cast("timestamp"), F.lit(last[1]), 7, F.lit(last[2])).collect():
+        seen += [r["source_id"] for r in page]
+        last = (page[-1]["updated_at"], page[-1]["id"], page[-1]["source_id"])
+    assert len(seen) == 120 == len(set(seen))

@@ -56,7 +56,7 @@ def test_listing_to_records(spark):
     row = records.normalize_papers(listing(spark), now()).where("title like 'Open%'").head()
     assert row["source_id"] == "cvpr-2024-open-vocabulary-scene-understanding-bbc8690b8b"
     assert row["keywords"] == ["open vocabulary", "scene understanding", "open", "scene", "understanding", "vocabulary"]
-    assert row["crawled_at"] == "2026-01-01 00:00:00"
+    assert row["crawled_at"] == "2026-01-01T00:00:00Z"
 
 
 def test_detail(spark):
