@@ -30,13 +30,20 @@ QUERIES_A_STEP = 512
 _SEED = 8
 
 
+def precision(vectors: DataFrame, vec: str) -> np.dtype:
+    """Four bytes a component where the column holds floats, which are exact in them; eight otherwise."""
+    return np.dtype("<f4" if vectors.schema[vec].dataType.elementType.typeName() == "float" else "<f8")
+
+
 def usable(vectors: DataFrame, dims: int, vec: str = "embedding") -> DataFrame:
-    """(vec_id, vector as bytes of doubles) of vectors of ``dims`` finite components that aren't all zero."""
+    """(vec_id, vector as bytes in its own precision) of vectors of ``dims`` finite components that aren't all zero."""
     good = (F.size(vec) == dims) & F.forall(vec, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(vec, lambda x: x != 0)
-    rows = vectors.where(F.col(vec).isNotNull()).where(good).select("vec_id", F.col(vec).cast("array<double>").alias("v"))
+    rows = vectors.where(F.col(vec).isNotNull()).where(good).select("vec_id", F.col(vec).alias("v"))
+
+    kind = precision(vectors, vec)
 
     def make():
-        return lambda c: {"vec_id": c["vec_id"], "v": [np.array(v, dtype="<f8").tobytes() for v in c["v"]]}
+        return lambda c: {"vec_id": c["vec_id"], "v": [np.array(v, dtype=kind).tobytes() for v in c["v"]]}
     return map_rows(rows, make, "vec_id bigint, v binary", rows=2048)
 
 
@@ -80,11 +87,11 @@ class Curves:
         return hilbert(cells, BITS)
 
 
-def _blocks(vectors: DataFrame, curves: Curves, dims: int) -> DataFrame:
+def _blocks(vectors: DataFrame, curves: Curves, dims: int, kind: np.dtype) -> DataFrame:
     """(curve, part, number, n, vec_ids, vs): every curve's order in blocks of at most BLOCK_ROWS rows."""
     def keys():
         def work(c):
-            x = np.frombuffer(b"".join(c["v"]), dtype="<f8").reshape(-1, dims)
+            x = np.frombuffer(b"".join(c["v"]), dtype=kind).reshape(-1, dims).astype(float)
             return {"curve": np.repeat(np.arange(CURVES), len(x)).tolist(), "key": np.concatenate([curves.key(k, x) for k in range(CURVES)]).tolist(),
                     "vec_id": c["vec_id"] * CURVES, "v": c["v"] * CURVES}
         return work
@@ -120,10 +127,11 @@ def nearest(vectors: DataFrame, dims: int, is_query, k: int = 10, vec: str = "em
     take no part; without queries there are no rows. Ties go to the smaller vec_id.
     """
     spark = vectors.sparkSession
+    kind = precision(vectors, vec)
     good = written(usable(vectors, dims, vec), "vectors")
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()
-    curves = Curves(dims, np.frombuffer(b"".join(bytes(r["v"]) for r in sample), dtype="<f8").reshape(-1, dims))
-    blocks = written(_blocks(good, curves, dims), "curve-blocks")
+    curves = Curves(dims, np.frombuffer(b"".join(bytes(r["v"]) for r in sample), dtype=kind).reshape(-1, dims).astype(float))
+    blocks = written(_blocks(good, curves, dims, kind), "curve-blocks")
     places = Window.partitionBy("curve").orderBy("part", "number")
     total, n_blocks = blocks.where(F.col("curve") == 0).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     if not total:
@@ -138,7 +146,7 @@ def nearest(vectors: DataFrame, dims: int, is_query, k: int = 10, vec: str = "em
             for curve, part, number, ids, vs in zip(*[c[n] for n in ("curve", "part", "number", "vec_ids", "vs")]):
                 for i, vec_id in enumerate(ids):
                     if vec_id is not None and is_query(vec_id):
-                        for name, value in zip(out, (curve, part, number, vec_id, vs[8 * dims * i:8 * dims * (i + 1)])):
+                        for name, value in zip(out, (curve, part, number, vec_id, vs[kind.itemsize * dims * i:kind.itemsize * dims * (i + 1)])):
                             out[name].append(value)
             return out
         return work
@@ -152,10 +160,10 @@ def nearest(vectors: DataFrame, dims: int, is_query, k: int = 10, vec: str = "em
         def work(c):
             out = {name: [] for name in ("query_id", "vec_id", "score")}
             for asked, ids, vs in zip(c["asked"], c["vec_ids"], c["vs"]):
-                x = np.frombuffer(vs, dtype="<f8").reshape(-1, dims)
+                x = np.frombuffer(vs, dtype=kind).reshape(-1, dims).astype(float)
                 known = np.array([-1 if i is None else i for i in ids], dtype=np.int64)
                 for query in asked:
-                    q = np.frombuffer(query["q"], dtype="<f8")
+                    q = np.frombuffer(query["q"], dtype=kind).astype(float)
                     far = np.sqrt(((x - q) ** 2).sum(1))
                     own = (known == query["query_id"]) & (far == 0)
                     far[own] = np.inf
