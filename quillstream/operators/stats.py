@@ -78,16 +78,16 @@ def top_keywords_exact(points: DataFrame, limit: int = lexicon.KEYWORD_LIMIT) ->
 
 
 def ranked_values(stored: DataFrame, dimension: DataFrame, limit: int = lexicon.RANKING_LIMIT,
-                  collation: str | None = None) -> DataFrame:
+                  collation: str | None = None, probe: bool = False) -> DataFrame:
     """Stored ranking, or one computed from the dimension when the store is empty."""
-    return top_values(with_fallback(stored, value_counts(dimension, collation)), limit)
+    return top_values(with_fallback(stored, value_counts(dimension, collation), probe), limit)
 
 
 def ranked_keywords(stored: DataFrame, dimension: DataFrame, limit: int = lexicon.KEYWORD_LIMIT,
-                    collation: str | None = None) -> DataFrame:
+                    collation: str | None = None, probe: bool = False) -> DataFrame:
     """As ``ranked_values``; emptiness is judged after the stopwords are gone."""
     kept = top_keywords(stored, limit)
-    return top_values(with_fallback(kept, top_keywords(value_counts(dimension, collation), limit)), limit)
+    return top_values(with_fallback(kept, top_keywords(value_counts(dimension, collation), limit), probe), limit)
 
 
 def display_order(ranking: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def _yearly_fallback(spark, folder):
 def _yearly_stored(spark, folder):
     events = event_rows(read_table(pin_session(spark), folder, "events"))
     stored = stats.yearly_counts(first_events(events.select("source_id", "seq", "year")))
-    return stats.with_fallback(stored, stats.yearly_counts(Catalog(spark, folder).papers())).orderBy("year")
+    return stats.with_fallback(stored, stats.yearly_counts(Catalog(spark, folder).papers()), probe=True).orderBy("year")
 
 
 def _top_keywords(spark, folder):

@@ -12,11 +12,15 @@ from quillstream.streaming.tables import BatchTables
 
 
 def dashboard(tables: dict[str, DataFrame], q: str = "", year: int = 0, limit: int = lexicon.DASHBOARD_SEARCH_LIMIT,
-              offset: int = 0, collation: str | None = None) -> dict[str, DataFrame]:
+              offset: int = 0, collation: str | None = None, probe: bool = True) -> dict[str, DataFrame]:
     """Seven reads over ``papers``, ``authors``, ``institutions``, ``keywords`` and
-    the counters ``stats_yearly`` (year, count), ``stats_<dimension>`` (name, value)."""
+    the counters ``stats_yearly`` (year, count), ``stats_<dimension>`` (name, value).
+
+    ``probe`` reads one row of each counter now, so that detail tables are left out
+    of the plans while counters hold rows; without it all frames are lazy.
+    """
     papers = tables["papers"]
-    yearly = stats.with_fallback(tables["stats_yearly"], stats.yearly_counts(papers)).orderBy("year")
+    yearly = stats.with_fallback(tables["stats_yearly"], stats.yearly_counts(papers), probe).orderBy("year")
     totals = stats.summary(papers, tables["keywords"], tables["authors"], tables["institutions"], collation)
     found = search.search(papers, q, year, limit, offset)
     ranking = lexicon.DASHBOARD_RANKING_LIMIT
@@ -26,9 +30,9 @@ def dashboard(tables: dict[str, DataFrame], q: str = "", year: int = 0, limit: i
         "summary": totals,
         "years": stats.years(papers),
         "yearly": yearly,
-        "keywords": stats.ranked_keywords(tables["stats_keywords"], tables["keywords"], collation=collation),
-        "authors": stats.ranked_values(tables["stats_authors"], tables["authors"], ranking, collation),
-        "institutions": stats.ranked_values(tables["stats_institutions"], tables["institutions"], ranking, collation),
+        "keywords": stats.ranked_keywords(tables["stats_keywords"], tables["keywords"], collation=collation, probe=probe),
+        "authors": stats.ranked_values(tables["stats_authors"], tables["authors"], ranking, collation, probe),
+        "institutions": stats.ranked_values(tables["stats_institutions"], tables["institutions"], ranking, collation, probe),
         "figures": stats.dashboard_kpis(yearly, totals),
     }
 

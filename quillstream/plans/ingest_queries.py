@@ -6,11 +6,14 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from quillstream import lexicon
 from quillstream.operators import changes, ingest as ops
 from quillstream.operators.perkey import insert_absent
-from quillstream.operators.stats import rebuild_counters
+from quillstream.operators.stats import ranked_keywords, ranked_values, rebuild_counters
 from quillstream.plans.adapters import (CHANGES_SQL, EVENTS, EVENTS_SQL, MESSAGES_SQL, NOW, TEXT_SQL, change_log, change_rows, event_rows,
                                         message_rows, messages, now_column, papers_text, with_sql)
+from quillstream.plans.dashboard import dashboard, stored_tables
+from quillstream.plans.keyword_sql import STOP_LIST
 from quillstream.schemas import LIST_FIELDS
 from quillstream.session import pin_session, shared_dir
 from quillstream.sources.files import read_table
@@ -75,8 +78,7 @@ _PAYLOAD = ["year", "title"]
 def _merge(spark, folder):
     """Later half of the events merged over the state of the first half."""
     e = event_rows(read_table(pin_session(spark), folder, "events")).select("source_id", "seq", "year", F.col("event_type").alias("title"))
-    cut = e.where(F.col("title") != "view")
-    early, late = cut.where(F.col("seq") % 2 == 0), cut.where((F.col("seq") % 2 == 1) & (F.col("title") == "error"))
+    early, late = e.where(F.col("seq") < SPLIT_SEQ), e.where(F.col("seq") >= SPLIT_SEQ)
     loaded = F.lit("2025-01-01 00:00:00").cast("timestamp")
     stored = ops.latest_events(early).select(F.col("seq").alias("id"), "source_id", *_PAYLOAD,
                                              loaded.alias("created_at"), loaded.alias("updated_at"))
@@ -179,8 +181,8 @@ def _stream_source(spark, folder):
     return tables.read("state").select("seq", F.col("value").endswith("}").alias("complete"))
 
 
-def _finish(spark, root, changes_stream):
-    query, tables = state.start_upserts(changes_stream, spark, f"{root}/tables", f"{root}/checkpoint")
+def _finish(spark, root, changes_stream, **reduced):
+    query, tables = state.start_upserts(changes_stream, spark, f"{root}/tables", f"{root}/checkpoint", **reduced)
     query.awaitTermination()
     return tables
 
@@ -190,17 +192,48 @@ def _stream_first_seen(spark, folder):
     return state.current_state(_finish(spark, shared_dir(spark, "seen"), seen), ["source_id"])
 
 
+def _listed(e):
+    return e.select(F.concat(F.lit("m"), "seq").alias("source_id"), F.array("event_type", F.concat(F.lit("k"), F.col("k") % 20)).alias("values"))
+
+
 def _stream_counts(spark, folder):
     """Every event is its own record here, counted once per listed value."""
-    e = event_rows(_event_stream(spark, folder))
-    rows = e.select(F.concat(F.lit("m"), "seq").alias("source_id"), F.array("event_type", F.concat(F.lit("k"), F.col("k") % 20)).alias("values"))
-    counts = state.running_counts(rows, "values")
+    counts = state.running_counts(_listed(event_rows(_event_stream(spark, folder))), "values")
     return state.current_state(_finish(spark, shared_dir(spark, "counts"), counts), ["value"])
 
 
+def _stream_counts_folded(spark, folder):
+    """The same after the versions were folded into a fresh root."""
+    e = event_rows(_event_stream(spark, folder))
+    counts = state.running_counts(_listed(e), "values")
+    folded = state.fold_state(_finish(spark, shared_dir(spark, "counts"), counts), shared_dir(spark, "counts-folded"), ["value"])
+    return state.current_state(folded, ["value"])
+
+
 def _stream_upsert(spark, folder):
     e = event_rows(_event_stream(spark, folder)).select("source_id", "seq", "year", F.col("event_type").alias("title"))
-    return state.current_state(_finish(spark, shared_dir(spark, "upsert"), e), ["source_id"], ["seq"])
+    tables = _finish(spark, shared_dir(spark, "upsert"), e, keys=["source_id"], order=["seq"])
+    return state.current_state(tables, ["source_id"], ["seq"])
+
+
+# Rankings over stored counters ---------------------------------------------------
+
+def _stored(spark, folder):
+    tables = BatchTables(pin_session(spark), shared_dir(spark, "stored"))
+    load_batch(tables, messages(spark, folder), "job", 0, LOADED_AT)
+    return stored_tables(tables)
+
+
+def _ranked(field):
+    def run(spark, folder):
+        stored = _stored(spark, folder)
+        rank = ranked_keywords if field == "keywords" else ranked_values
+        return rank(stored[f"stats_{field}"], stored[field], probe=True)
+    return run
+
+
+def _board(part):
+    return lambda spark, folder: dashboard(_stored(spark, folder))[part]
 
 
 # Change feed -------------------------------------------------------------------
@@ -275,7 +308,13 @@ QUERIES = {
     "stream_folded": _stream_folded,
     "stream_first_seen": _stream_first_seen,
     "stream_counts": _stream_counts,
+    "stream_counts_folded": _stream_counts_folded,
     "stream_upsert": _stream_upsert,
+    "ranked_keywords": _ranked("keywords"),
+    "ranked_authors": _ranked("authors"),
+    "ranked_institutions": _ranked("institutions"),
+    "dashboard_yearly": _board("yearly"),
+    "dashboard_authors": _board("authors"),
     "change_feed": _change_feed,
     "change_events": _change_events,
     "stream_changes": _stream_changes,
@@ -297,6 +336,10 @@ def _delta_sql(field):
         SELECT unnest(string_split({field}, '|')) AS value FROM firsts) GROUP BY 1"""
 
 
+def _ranked_sql(field, limit):
+    return f"SELECT value AS name, paper_count AS value FROM ({_delta_sql(field)}) ORDER BY 2 DESC, 1 LIMIT {limit}"
+
+
 def _dim_sql(field, source="good"):
     return f"SELECT DISTINCT source_id, unnest(string_split({field}, '|')) AS value FROM {source}"
 
@@ -316,6 +359,9 @@ _CHANGE_EVENTS = "WITH " + CHANGES_SQL + """SELECT seq, concat('{"type":"paper.u
         '","pdf_url":"","created_at":"', strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z'), '","updated_at":"',
         strftime(updated_at, '%Y-%m-%dT%H:%M:%S.000Z'), '"}}') AS event FROM changed"""
 
+_COUNTS = _E + """SELECT value, count(*) AS paper_count FROM (SELECT event_type AS value FROM ev
+        UNION ALL SELECT concat('k', k % 20) FROM ev) GROUP BY 1"""
+
 ORACLE = {
     "parse_events": _M + _EVENT_SELECT + "parsed",
     "valid_events": _M + _EVENT_SELECT + "good",
@@ -325,9 +371,9 @@ ORACLE = {
     "upsert_latest": _E + """SELECT source_id, max(seq) AS seq, arg_max(year, seq) AS year, arg_max(event_type, seq) AS title,
         arg_max(value, seq) AS value FROM ev GROUP BY 1""",
     "upsert_merge": _E + f""", stored AS (SELECT source_id, max(seq) AS id, arg_max(year, seq) AS year, arg_max(event_type, seq) AS title
-            FROM ev WHERE seq % 2 = 0 AND event_type <> 'view' GROUP BY 1),
+            FROM ev WHERE seq < {SPLIT_SEQ} GROUP BY 1),
         batch AS (SELECT source_id, max(seq) AS id, arg_max(year, seq) AS year, arg_max(event_type, seq) AS title
-            FROM ev WHERE seq % 2 = 1 AND event_type = 'error' GROUP BY 1)
+            FROM ev WHERE seq >= {SPLIT_SEQ} GROUP BY 1)
         SELECT coalesce(s.id, b.id) AS id, source_id, coalesce(b.year, s.year) AS year, coalesce(b.title, s.title) AS title,
             CASE WHEN s.id IS NULL THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '2025-01-01' END AS created_at,
             CASE WHEN b.id IS NOT NULL AND (s.id IS NULL OR s.year <> b.year OR s.title <> b.title) THEN TIMESTAMP '{NOW}'
@@ -358,8 +404,15 @@ ORACLE = {
     "stream_dimensions": _M + " UNION ALL ".join(
         f"SELECT '{f}' AS dimension, * FROM ({_dim_sql(f)})" for f in LIST_FIELDS),
     "stream_first_seen": _E + "SELECT source_id, min(seq) AS first_seq FROM ev GROUP BY 1",
-    "stream_counts": _E + """SELECT value, count(*) AS paper_count FROM (SELECT event_type AS value FROM ev
-        UNION ALL SELECT concat('k', k % 20) FROM ev) GROUP BY 1""",
+    "stream_counts": _COUNTS,
+    "stream_counts_folded": _COUNTS,
+    "ranked_keywords": f"""SELECT * FROM (SELECT value AS name, paper_count AS value FROM ({_delta_sql("keywords")})
+        ORDER BY 2 DESC, 1 LIMIT {lexicon.KEYWORD_LIMIT * lexicon.OVERFETCH}) WHERE lower(name) NOT IN ({STOP_LIST})
+        ORDER BY 2 DESC, 1 LIMIT {lexicon.KEYWORD_LIMIT}""",
+    "ranked_authors": _ranked_sql("authors", lexicon.RANKING_LIMIT),
+    "ranked_institutions": _ranked_sql("institutions", lexicon.RANKING_LIMIT),
+    "dashboard_yearly": _M + _FIRSTS + "SELECT year, count(*) AS count FROM firsts GROUP BY 1",
+    "dashboard_authors": _ranked_sql("authors", lexicon.DASHBOARD_RANKING_LIMIT),
     "stream_upsert": _E + """SELECT source_id, max(seq) AS seq, arg_max(year, seq) AS year, arg_max(event_type, seq) AS title
         FROM ev GROUP BY 1""",
     "change_feed": "WITH " + CHANGES_SQL + """SELECT seq, id, source_id, year, title, abstract, paper_url, pdf_url, created_at, updated_at

@@ -27,14 +27,21 @@ def running_counts(events: DataFrame, values: str, key: str = "source_id") -> Da
 
 
 def start_upserts(changes: DataFrame, spark: SparkSession, root: str, checkpoint: str,
-                  trigger: dict | None = None) -> tuple[StreamingQuery, BatchTables]:
-    """Append each batch's new versions; ``current_state`` folds them."""
+                  trigger: dict | None = None, keys: list[str] | None = None,
+                  order: list[str] | None = None) -> tuple[StreamingQuery, BatchTables]:
+    """Append each batch's new versions; ``current_state`` folds them.
+
+    With ``keys`` and ``order`` a batch is first reduced to the last version of
+    each key, so what is stored follows the keys of a batch, not its events.
+    """
     tables = BatchTables(spark, root, {"state": T.StructType(list(changes.schema.fields))})
 
     def write(frame: DataFrame, batch_id: int) -> None:
         if not tables.is_loaded(checkpoint, batch_id):
-            tables.publish(checkpoint, batch_id, {"state": frame})
+            tables.publish(checkpoint, batch_id, {"state": last_per_key(frame, keys, order) if keys else frame})
 
+    if keys and not order:
+        raise ValueError("keys need an order")
     writer = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start(), tables
 
@@ -43,3 +50,8 @@ def current_state(tables: BatchTables, keys: list[str], order: list[str] | None
     """Latest version of each key: by batch, or by ``order`` where batches hold several."""
     columns = tables.tables["state"].names
     return last_per_key(tables.read("state"), keys, order or ["batch_id"]).select(*columns)
+
+
+def fold_state(tables: BatchTables, root: str, keys: list[str], order: list[str] | None = None) -> BatchTables:
+    """A new root with one version of each key."""
+    return tables.fold_into(root, {"state": current_state(tables, keys, order)})

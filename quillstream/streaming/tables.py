@@ -145,21 +145,25 @@ class BatchTables:
     def quarantine(self) -> DataFrame:
         return self.read("quarantine").select("seq", "value", "reason")
 
-    def fold_into(self, root: str) -> BatchTables:
+    def fold_into(self, root: str, folded: dict[str, DataFrame] | None = None) -> BatchTables:
         """A new root that starts from the folded state.
 
         Run it when no batch is being written, then point the query at the new
-        root: replays of older batches are still recognised.
+        root: replays of older batches are still recognised. ``folded`` gives the
+        content of tables other than those of the ingest job.
         """
-        target = BatchTables(self.spark, root, self.tables)
-        papers = self._folded_papers().withColumnRenamed("id", "first_seq").withColumnRenamed("updated_at", "loaded_at")
-        frames = {
-            "papers": papers,
-            "dimensions": self.read("dimensions").select("dimension", "source_id", "value").distinct(),
-            "ledger": self.ledger(),
-            "counters": self.all_counters(),
-            "quarantine": self.quarantine(),
+        folds = {
+            "papers": lambda: self._folded_papers().withColumnRenamed("id", "first_seq").withColumnRenamed("updated_at", "loaded_at"),
+            "dimensions": lambda: self.read("dimensions").select("dimension", "source_id", "value").distinct(),
+            "ledger": self.ledger,
+            "counters": self.all_counters,
+            "quarantine": self.quarantine,
         }
-        target._write(0, frames)
+        given = folded or {}
+        unknown = [name for name in self.tables if name not in given and name not in folds]
+        if unknown:
+            raise ValueError(f"no folded content for {', '.join(unknown)}")
+        target = BatchTables(self.spark, root, self.tables)
+        target._write(0, {name: given[name] if name in given else folds[name]() for name in self.tables})
         target._commit(0, self._commits().groupBy("source").agg(F.max("source_batch").alias("source_batch")))
         return target

@@ -141,6 +141,17 @@ def test_state_operators(spark, tmp_path):
     query, tables = state.start_upserts(state.running_counts(stream, "values"), spark, str(tmp_path / "c"), str(tmp_path / "ccp"))
     query.awaitTermination()
     assert dict(state.current_state(tables, ["value"]).select("value", "paper_count").collect()) == {**{f"v{i}": 1 for i in range(5)}, "all": 5}
+    with pytest.raises(ValueError):
+        tables.fold_into(str(tmp_path / "none"))
+    folded = state.fold_state(tables, str(tmp_path / "folded"), ["value"])
+    assert folded.read("state").count() == 6
+    assert folded.is_loaded(str(tmp_path / "ccp"), 0)
+    assert sorted(state.current_state(folded, ["value"]).collect()) == sorted(state.current_state(tables, ["value"]).collect())
+    query, tables = state.start_upserts(stream.select("source_id", "seq"), spark, str(tmp_path / "u"), str(tmp_path / "ucp"),
+                                        keys=["source_id"], order=["seq"])
+    query.awaitTermination()
+    assert tables.read("state").count() == 10
+    assert dict(state.current_state(tables, ["source_id"], ["seq"]).collect()) == {f"s{i}": 15 + i for i in range(5)}
     query, tables = state.start_upserts(state.first_seen(stream), spark, str(tmp_path / "f"), str(tmp_path / "fcp"))
     query.awaitTermination()
     assert dict(state.current_state(tables, ["source_id"]).collect()) == {f"s{i}": i for i in range(5)}
