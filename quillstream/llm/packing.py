@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillstream.llm.common import map_rows, written
-from quillstream.llm.word_ids import WordIds
+from quillstream.llm.word_ids import remembered
 
 #: Bins of one pattern row; a pattern that fills more is split so that no join key grows with the data.
 BINS_PER_ROW = 4096
@@ -25,7 +25,7 @@ BINS_PER_ROW = 4096
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document with its end id, cut only where longer than ``capacity``."""
     def make():
-        tokenizer, end, step = WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        tokenizer, end, step = remembered(tokenizer_path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
 
         def work(c):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillstream.llm.common import arrow_schema, map_rows
-from quillstream.llm.word_ids import WordIds
+from quillstream.llm.word_ids import remembered
 from quillstream.session import shared_dir
 
 SHARD_IDS = 1 << 21
@@ -134,7 +134,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_id
     kinds = arrow_schema(_SHARD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        tokenizer, end = remembered(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         first_symbol = tokenizer.tokenizer.get_vocab_size(with_added_tokens=True)
         part, number, held, names, size = TaskContext.get().partitionId(), 0, [], [], 0
 

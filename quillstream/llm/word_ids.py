@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
 
+#: Chunks remembered at most, those met lately and those met before them together.
 MAX_WORDS = 1_000_000
 
 
@@ -25,6 +27,7 @@ class WordIds:
             raise ValueError("this tokenizer keeps white space")
         self.lowers = self._ids("Ab CD") == self._ids("ab cd")
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -49,12 +52,20 @@ class WordIds:
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; none for a null or blank one."""
         split = [self._chunks((t or "").encode()) for t in texts]
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
+        if len(self.known) > MAX_WORDS // 2:
+            self.known, self.before = {}, self.known
         new = set().union(*split).difference(self.known)
         if new:
-            new = list(new)
+            again = new.intersection(self.before)
+            self.known.update((chunk, self.before[chunk]) for chunk in again)
+            new = list(new - again)
             for i in range(0, len(new), 20_000):
                 self._learn(new[i:i + 20_000])
         look = self.known.__getitem__
         return [b"".join(map(look, words)) for words in split]
+
+
+@functools.lru_cache(maxsize=2)
+def remembered(path: str) -> WordIds:
+    """One ``WordIds`` per tokenizer and Python worker: what a task has learned serves the worker's next ones."""
+    return WordIds(path)

@@ -290,6 +290,15 @@ def test_token_files(spark, docs, rows, none, tmp_path):
     assert repair_output.write_and_read(none, WORDS).count() == 0
 
 
+def test_word_memory_turns_over(monkeypatch):
+    monkeypatch.setattr("quillstream.llm.word_ids.MAX_WORDS", 20)
+    words, rng = WordIds(WORDS), random.Random(4)
+    for _ in range(30):
+        texts = [" ".join(rng.choice("ab,É'9") + str(rng.randint(0, 12)) for _ in range(8)) for _ in range(3)] + [None, ""]
+        assert [np.frombuffer(p, "<u4").tolist() for p in words.packed(texts)] == [words._ids(t or "") for t in texts]
+    assert words.before
+
+
 def test_random_access():
     rng = np.random.default_rng(0)
     ids = np.concatenate([np.tile(rng.integers(0, 50, 40), 30), rng.integers(0, 50, 500)]).astype("<u4")
