@@ -21,7 +21,7 @@ doc_ids, ends  documents in order, and the shard's ids up to each one's end
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ _SHARD = """part int, number int, first_symbol bigint, n_ids bigint, rules binar
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).view(np.int64)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,21 +58,24 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.n
             break
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         slot = _slot(key)
-        inner = ~last[:-1]
+        # Pairs across the end of a document go to a slot of their own, behind all others.
+        slot[last[:-1]] = 1 << _HASH_BITS
         # Pairs are counted by slot; a slot stands for one of its pairs, the others wait for the next round.
-        count = np.bincount(slot[inner], minlength=1 << _HASH_BITS)
-        holder = np.zeros(1 << _HASH_BITS, dtype=np.uint64)
-        holder[slot[inner]] = key[inner]
+        count = np.bincount(slot, minlength=(1 << _HASH_BITS) + 1)[:-1]
+        holder = np.zeros((1 << _HASH_BITS) + 1, dtype=np.uint64)
+        holder[slot] = key
         often = np.flatnonzero(count >= LEAST)
         if not len(often):
             break
         if len(often) > PAIRS_A_ROUND:
             often = often[np.argpartition(-count[often], PAIRS_A_ROUND)[:PAIRS_A_ROUND]]
         chosen = holder[often]
-        table = np.full(1 << _HASH_BITS, -1, dtype=np.int32)
+        table = np.full((1 << _HASH_BITS) + 1, -1, dtype=np.int32)
         table[often] = np.arange(len(often))
-        at = np.flatnonzero((holder[slot] == key) & (table[slot] >= 0) & inner)
-        rule = table[slot[at]]
+        rule = table[slot]
+        at = np.flatnonzero(rule >= 0)
+        at = at[holder[slot[at]] == key[at]]
+        rule = rule[at]
         # Of overlapping places every second one counts, from the left.
         fresh = np.concatenate([[True], np.diff(at) != 1])
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
@@ -166,30 +169,35 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_id
     rows.select("doc_id", "text").mapInArrow(run, _SHARD).write.parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(part, number, doc_id, at, ids): every document's ids as little-endian bytes, and their place in the shard."""
+def _read(spark: SparkSession, path: str, measures: dict[str, tuple[str, Callable[[np.ndarray], object]]]) -> DataFrame:
+    """(part, number, doc_id, at) of every stored document, and what the measures (type, function of its ids) say."""
     def make():
         def work(c):
-            out = {k: [] for k in ("part", "number", "doc_id", "at", "ids")}
+            out = {k: [] for k in ("part", "number", "doc_id", "at", *measures)}
             for i in range(len(c["part"])):
                 shard, begin = Shard({k: v[i] for k, v in c.items()}), 0
                 whole = shard.ids(0, c["n_ids"][i])
                 for doc, end in zip(c["doc_ids"][i], c["ends"][i]):
-                    for name, value in zip(out, (c["part"][i], c["number"][i], doc, begin, whole[begin:end].tobytes())):
+                    for name, value in zip(out, (c["part"][i], c["number"][i], doc, begin)):
                         out[name].append(value)
+                    for name, (_, measure) in measures.items():
+                        out[name].append(measure(whole[begin:end]))
                     begin = end
             return out
         return work
     shards = spark.read.schema(_SHARD).parquet(path)
-    return map_rows(shards, make, "part int, number int, doc_id bigint, at bigint, ids binary", rows=1)
+    kinds = "".join(f", {name} {kind}" for name, (kind, _) in measures.items())
+    return map_rows(shards, make, f"part int, number int, doc_id bigint, at bigint{kinds}", rows=1)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(part, number, doc_id, at, ids): every document's ids as little-endian bytes, and their place in the shard."""
+    return _read(spark, path, {"ids": ("binary", np.ndarray.tobytes)})
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every stored document; ``start`` counts the ids of all before it."""
-    def make():
-        return lambda c: {**{k: c[k] for k in ("part", "number", "doc_id", "at")}, "n_tokens": [len(i) // 4 for i in c["ids"]],
-                          "ids_crc32": [zlib.crc32(i) for i in c["ids"]]}
-    docs = map_rows(read_documents(spark, path), make, "part int, number int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint", rows=4096)
+    docs = _read(spark, path, {"n_tokens": ("bigint", len), "ids_crc32": ("bigint", zlib.crc32)})
     shards = spark.read.schema(_SHARD).parquet(path).select("part", "number", "n_ids")
     # Offsets in two steps: within a part by its own window, parts by their totals, one row each.
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
