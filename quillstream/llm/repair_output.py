@@ -105,8 +105,9 @@ class Shard:
         is_rule = self.seq >= self.first
         sizes[is_rule] = self.lengths[self.seq[is_rule] - self.first]
         self.upto = np.cumsum(sizes)
+        self.laid: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
+    def _expanded(self, symbols: np.ndarray) -> np.ndarray:
         """Rules made in later rounds use earlier ones only, so expansion ends after at most ROUNDS steps."""
         while len(at := np.flatnonzero(symbols >= self.first)):
             wide = np.ones(len(symbols), dtype=np.int64)
@@ -119,6 +120,17 @@ class Shard:
             symbols = out
         return symbols
 
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of all rules are laid out once, behind the plain ids; every symbol then is a range of these."""
+        if self.laid is None:
+            every = np.arange(self.first + len(self.rules), dtype=np.uint32)
+            size = np.concatenate([np.ones(self.first, dtype=np.int64), self.lengths])
+            self.laid = self._expanded(every), np.cumsum(size) - size, size
+        ids, begin, size = self.laid
+        size = size[symbols]
+        end = np.cumsum(size)
+        return ids[np.repeat(begin[symbols] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+
     def ids(self, start: int, end: int) -> np.ndarray:
         """Ids ``start`` to ``end`` of the shard, from the symbols that cover them."""
         if start >= end:
