@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -65,14 +66,16 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select("_tree", F.col("_node").alias("_parent"), F.lit(True).alias("_there"))
     first = nodes.join(known, ["_tree", "_parent"], "left").select(
         "_tree", "_node", F.when(F.col("_there"), F.col("_parent")).alias("_up"), score.alias("_sum"), F.lit(1).cast("bigint").alias("_steps"))
-    jumps = [written(first, "reply-jumps")]
+    # A message that has reached its root is settled: later rounds look it up but don't carry it along.
+    jumps, settled = [written(first, "reply-jumps")], []
     while jumps[-1].where(F.col("_up").isNotNull()).limit(1).count() and len(jumps) < _ROUNDS:
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        doubled = a.join(b, (F.col("a._tree") == F.col("b._tree")) & (F.col("a._up") == F.col("b._node")), "left")
+        a, b = jumps[-1].where(F.col("_up").isNotNull()).alias("a"), reduce(DataFrame.unionByName, settled, jumps[-1]).alias("b")
+        doubled = a.join(b, (F.col("a._tree") == F.col("b._tree")) & (F.col("a._up") == F.col("b._node")))
+        settled.append(jumps[-1].where(F.col("_up").isNull()))
         jumps.append(written(doubled.select(
-            "a._tree", "a._node", F.col("b._up").alias("_up"), (F.col("a._sum") + F.coalesce("b._sum", F.lit(0.0))).alias("_sum"),
-            (F.col("a._steps") + F.coalesce("b._steps", F.lit(0))).alias("_steps")), "reply-jumps"))
-    reached = jumps[-1].where(F.col("_up").isNull())
+            "a._tree", "a._node", F.col("b._up").alias("_up"), (F.col("a._sum") + F.col("b._sum")).alias("_sum"),
+            (F.col("a._steps") + F.col("b._steps")).alias("_steps")), "reply-jumps"))
+    reached = reduce(DataFrame.unionByName, settled, jumps[-1].where(F.col("_up").isNull()))
     parents = jumps[0].where(F.col("_up").isNotNull()).select("_tree", F.col("_up").alias("_node")).distinct()
     rank = F.row_number().over(Window.partitionBy("_tree").orderBy((F.col("_sum") / F.col("_steps")).desc(), "_node"))
     leaves = reached.join(parents, ["_tree", "_node"], "left_anti").withColumn("_rank", rank).where(F.col("_rank") <= branches)
