@@ -291,6 +291,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataF
 #: Independent fingerprints, blocks of each, and differing bits of one fingerprint; at a similarity of 0.8 a pair
 #: shares a block and stays in the budget of at least one of sixteen with a probability of 0.98, at 0.9 of more than 0.999.
 VIEWS, VIEW_BLOCKS, VIEW_BUDGET = 16, 4, 10
+#: What sketches must tell of a pair to have its shingles compared, as a share of the similarity asked for; at 0.8
+#: that is 0.7, more than three deviations below.
+LOOSE = 0.875
 
 
 def sketch(hashes: np.ndarray, views: int) -> list[int]:
@@ -307,12 +310,35 @@ def _similarity(a: str, b: str, views: int):
     return overlap / (F.col(f"{a}.size") + F.col(f"{b}.size") - overlap)
 
 
+def _close(pairs: DataFrame, known: DataFrame, similarity: float, views: int) -> DataFrame:
+    """(a, b, told) of the pairs that may reach ``similarity``: by their sizes, and loosely by their sketches."""
+    close = pairs.join(known.select(F.col("node").alias("a"), F.struct("size", "sketch").alias("x")), "a")
+    close = close.join(known.select(F.col("node").alias("b"), F.struct("size", "sketch").alias("y")), "b")
+    fits = F.least("x.size", "y.size") / F.greatest("x.size", "y.size") >= similarity
+    return close.where(fits).select("a", "b", _similarity("x", "y", views).alias("told")).where(F.col("told") >= LOOSE * similarity)
+
+
+def _sets(rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the rows (_row, text) that ``nodes`` names: their distinct shingle hashes in order."""
+    def make():
+        return lambda c: {"node": c["_row"], "shingles": [np.unique(shingle_hashes(t or "", shingle).view(np.int64)) for t in c["text"]]}
+    return map_rows(rows.join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi").select("_row", "text"), make, "node bigint, shingles array<bigint>")
+
+
+def _reaching(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the pairs whose sets of shingles have at least the Jaccard similarity asked for."""
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
+
+
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = VIEWS) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) without near copies: of each group the smallest doc_id stays.
 
     Two texts are linked if the Jaccard similarity of their sets of lower-cased
-    shingles, told from ``views`` fingerprints of 64 bits, reaches ``similarity``
-    (its error is about 0.03 at 0.8); a group is what links connect. Texts of equal
+    shingles reaches ``similarity``; a group is what links connect. ``views``
+    fingerprints of 64 bits only find the pairs whose sets are compared. Texts of equal
     words, repeated rows and texts without words among them, are one group from the
     start. Of equal doc_ids the first row stays; null comes after all others.
     """
@@ -337,9 +363,10 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     keys = nodes.where("size > 0").select(F.posexplode("sketch").alias("view", "key"), "node")
     pairs = written(links(keys, VIEW_BLOCKS, VIEW_BUDGET), "candidates")
     known = nodes.select("node", "size", "sketch")
-    close = pairs.join(known.select(F.col("node").alias("a"), F.struct("size", "sketch").alias("x")), "a")
-    close = close.join(known.select(F.col("node").alias("b"), F.struct("size", "sketch").alias("y")), "b").where(_similarity("x", "y", views) >= similarity)
-    found = components(close.select("a", "b"))
+    close = written(_close(pairs, known, similarity, views), "close")
+    ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(_sets(rows, ends, shingle), "shingles")
+    found = components(_reaching(close, sets, similarity))
     named = prints.select("_row", "doc_id", "w1", "w2").join(nodes.select("w1", "w2", "node"), ["w1", "w2"]).join(found, "node", "left")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     stay = named.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(order)["_row"].alias("_row")).select("_row")

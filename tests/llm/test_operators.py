@@ -157,6 +157,26 @@ def test_representatives(spark, docs, rows, none):
     assert simhash.representatives(none).count() == 0
 
 
+def pair_of(k, similarity, size=300):
+    """Two word lists whose five-word shingles have about the given Jaccard similarity, and that similarity."""
+    shared = round(2 * size * similarity / (1 + similarity))
+    words = [f"p{k}w{i}" for i in range(size + 4)]
+    other = words[:shared + 4] + [f"p{k}v{i}" for i in range(size - shared)]
+    return words, other, shared / (2 * size - shared)
+
+
+def test_representatives_decide_by_shingles(spark):
+    # pairs on either side of the threshold, where an estimate from sketches errs
+    made = [pair_of(k, 0.75 + 0.1 * k / 99) for k in range(100)]
+    table = spark.createDataFrame([(2 * k + i, " ".join(w)) for k, m in enumerate(made) for i, w in enumerate(m[:2])], "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in simhash.representatives(table).select("doc_id").collect()}
+    assert {2 * k for k in range(100)} <= kept
+    wrong = [m[2] for k, m in enumerate(made) if m[2] < 0.8 and 2 * k + 1 not in kept]
+    missed = [m[2] for k, m in enumerate(made) if m[2] >= 0.8 and 2 * k + 1 in kept]
+    # candidates are found with a probability of 0.98 at 0.8
+    assert not wrong and len(missed) <= 2, (wrong, missed)
+
+
 def test_host_rules(spark, docs, rows, none):
     expected = []
     for d, t, _ in rows:
