@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillstream.llm import spans
 from quillstream.llm.common import arrow_schema, map_rows, written
@@ -232,6 +232,81 @@ def links(prints: DataFrame, n_blocks: int, budget: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def crossing(prints: DataFrame, n_blocks: int, budget: int) -> DataFrame:
+    """(a, b), a < b: every pair of nodes of different trees in ``prints`` (view, key, node, tree) that share a block and
+    differ in few bits.
+
+    Unlike ``links`` it lists pairs, for those who measure by something else than
+    bits. Rows of a block value are dealt out by pairs of parts, so that none but
+    two parts of about ``PART_ROWS`` meet in a task; values of one tree are left out.
+    """
+    kinds = arrow_schema("a bigint, b bigint")
+    kind = [("g", np.int64), ("side", np.int64), ("key", np.int64), ("node", np.int64), ("tree", np.int64)]
+
+    def spread(low: np.ndarray, count: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows low[k] and on, count[k] of them, each beside other[k], in batches."""
+        ends, at = np.cumsum(count), 0
+        while at < len(low):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WALK, "right")))
+            n = count[at:to]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(low[at:to], n) + within, np.repeat(other[at:to], n)
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def joined(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            rows = rows[np.lexsort((rows["node"], rows["key"].view(np.uint64), rows["g"]))]
+            place, keys = rows["g"], rows["key"].view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (keys[1:] != keys[:-1])]))
+            count = np.diff(np.concatenate([first, [len(rows)]]))
+            # A key with nodes of several trees is a tree of its own, which no walk leaves out.
+            low, high = np.minimum.reduceat(rows["tree"], first), np.maximum.reduceat(rows["tree"], first)
+            tree = np.where(low == high, low, -1 - np.arange(len(first)))
+            place, keys = place[first], keys[first]
+            groups = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
+
+            def found():
+                mixed = np.flatnonzero(low < high)
+                yield mixed, mixed
+                for i, j, _ in trie_links(keys, groups, budget, tree):
+                    yield i, j
+
+            for i, j in found():
+                for x, other in spread(first[i], count[i], j):
+                    for y, x in spread(first[other], count[other], x):
+                        r, t = rows[x], rows[y]
+                        keep = (r["tree"] != t["tree"]) & ((r["side"] < 0) | (r["side"] != t["side"])) & ((i is not j) | (x < y))
+                        a, b = r["node"][keep], t["node"][keep]
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=kinds)
+
+        for batch in batches:
+            rows = np.empty(batch.num_rows, dtype=kind)
+            for name in rows.dtype.names:
+                rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
+            held.append(rows)
+            if sum(map(len, held)) > WALK // 4:
+                rows = np.concatenate(held)
+                cut = int(np.searchsorted(rows["g"], rows["g"][-1]))
+                yield from joined(rows[:cut]) if cut else ()
+                held = [rows[cut:]]
+        if held and sum(map(len, held)):
+            yield from joined(np.concatenate(held))
+
+    blocks = _blocks(prints, n_blocks).join(prints.select("node", "tree").distinct(), "node")
+    group = F.shiftleft(F.col("view").cast("bigint"), 56).bitwiseOR(F.shiftleft(F.col("block").cast("bigint"), 50)).bitwiseOR(F.col("value"))
+    rows = written(blocks.select(group.alias("g"), "key", "node", "tree"), "blocks")
+    several = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("tree").alias("low"), F.max("tree").alias("high")).where("low < high")
+    rows = rows.join(several.select("g", F.ceil(F.col("n") / PART_ROWS).alias("parts")), "g")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Two groups of the same hash would only be walked together.
+    dealt = rows.select(F.xxhash64("g", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
+                        F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part")).alias("side"), "key", "node", "tree")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 # Components -------------------------------------------------------------------
 
 
@@ -294,6 +369,12 @@ VIEWS, VIEW_BLOCKS, VIEW_BUDGET = 16, 4, 10
 #: What sketches must tell of a pair to have its shingles compared, as a share of the similarity asked for; at 0.8
 #: that is 0.7, more than three deviations below.
 LOOSE = 0.875
+#: Nearest links of a node that are compared first; what they connect isn't compared again.
+NEAREST = 4
+#: Rows of a block value that meet in one task when all pairs are wanted; more are dealt out by pairs of parts.
+PART_ROWS = 8192
+#: Shingles, and a row's own weight in shingles, of documents that are compared in one task.
+TILE, ROW_WEIGHT = 1 << 21, 512
 
 
 def sketch(hashes: np.ndarray, views: int) -> list[int]:
@@ -333,6 +414,80 @@ def _reaching(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
 
 
+def _nearest(close: DataFrame, count: int) -> DataFrame:
+    """The pairs (a, b) that are among the ``count`` of one of their ends that sketches tell nearest."""
+    both = close.select("a", "b", "told").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "told"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("told"), "b"))
+    return both.withColumn("_rank", rank).where(F.col("_rank") <= count).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _across(groups: DataFrame, similarity: float, views: int) -> DataFrame:
+    """(a, b): links that reach ``similarity`` between the trees of each root in ``groups`` (root, node, tree, size,
+    sketch, shingles), as many as connect what such links connect.
+
+    Documents of a root are laid out by tree and cut into tiles of about ``TILE``
+    shingles; every two tiles of a root meet in a task, unless both are of one tree.
+    """
+    order = Window.partitionBy("root").orderBy("tree", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = groups.select("root", "node", "tree", F.floor((F.sum(F.col("size") + ROW_WEIGHT).over(order) - 1) / TILE).alias("tile"))
+    places = written(places, "tiles")
+    tiles = places.groupBy("root", "tile").agg(F.min("tree").alias("low"), F.max("tree").alias("high"))
+    s, t = (tiles.select("root", *[F.col(c).alias(f"{c}_{k}") for c in ("tile", "low", "high")]) for k in "st")
+    meet = s.join(t, "root").where("tile_s <= tile_t and not (low_s = high_s and low_t = high_t and low_s = low_t)").select("root", "tile_s", "tile_t")
+    sent = meet.withColumn("tile", F.explode(F.array_distinct(F.array("tile_s", "tile_t"))))
+    rows = sent.join(places, ["root", "tile"]).join(groups.select("node", "size", "sketch", "shingles"), "node")
+    kinds = arrow_schema("a bigint, b bigint")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, label, tile, size = (table.column(c).to_numpy().copy() for c in ("node", "tree", "tile", "size"))
+        one = bool((tile == tile[0]).all())
+        told = np.array(table.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(-1, views)
+        shingles = [x.values.to_numpy() for x in table.column("shingles")]
+        out: list[tuple[int, int]] = []
+        for i in range(len(node) - 1):
+            rest = np.arange(i + 1, len(node))
+            rest = rest[(label[rest] != label[i]) & (one | (tile[rest] != tile[i])) & (np.minimum(size[rest], size[i]) / np.maximum(size[rest], size[i]) >= similarity)]
+            bits = np.bitwise_count(told[rest] ^ told[i]).sum(1, dtype=np.int64)
+            overlap = np.cos(bits * (np.pi / (views * BITS))) * np.sqrt(size[rest] * float(size[i]))
+            rest = rest[overlap / (size[rest] + size[i] - overlap) >= LOOSE * similarity]
+            if not len(rest):
+                continue
+            values = np.concatenate([shingles[j] for j in rest])
+            at = np.minimum(np.searchsorted(shingles[i], values), len(shingles[i]) - 1)
+            shared = np.add.reduceat((shingles[i][at] == values).astype(np.int64), np.cumsum(size[rest]) - size[rest])
+            linked = rest[shared / (size[rest] + size[i] - shared) >= similarity]
+            out += [(int(node[i]), int(node[j])) for j in linked]
+            label[np.isin(label, label[linked])] = label[i]
+        return pa.Table.from_arrays([pa.array([x[k] for x in out], type=pa.int64()) for k in (0, 1)], schema=kinds)
+
+    return rows.groupBy("root", "tile_s", "tile_t").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _linked(keys: DataFrame, known: DataFrame, rows: DataFrame, shingle: int, similarity: float, views: int) -> DataFrame:
+    """(node, root) of nodes that links of ``similarity`` connect.
+
+    The nearest pairs of the forests of every view are compared first. A forest's
+    measure is bits of one view, so a link may be missing from it whose ends it
+    connects over documents that aren't near enough; what the first links leave
+    apart is therefore compared pair by pair.
+    """
+    pairs = written(links(keys, VIEW_BLOCKS, VIEW_BUDGET), "candidates")
+    close = written(_close(pairs, known, similarity, views), "close")
+    # A node with a pair within the budget has a link in that block's forest.
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    sets = written(_sets(rows, ends, shingle), "shingles")
+    found = components(_reaching(_nearest(close, NEAREST), sets, similarity))
+    trees = written(ends.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("tree")), "trees")
+    rest = written(_close(crossing(keys.join(trees, "node"), VIEW_BLOCKS, VIEW_BUDGET), known, similarity, views).select("a", "b"), "crossing")
+    if rest.isEmpty():
+        return found
+    apart = components(rest)
+    apart = apart.unionByName(apart.select(F.col("root").alias("node"), "root").distinct())
+    groups = apart.join(trees, "node").join(known, "node").join(sets, "node")
+    more = written(_across(groups, similarity, views), "across")
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = VIEWS) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) without near copies: of each group the smallest doc_id stays.
 
@@ -361,12 +516,7 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     prints = written(map_rows(rows.select("_row", "doc_id", "text"), make, kind), "sketches")
     nodes = written(prints.groupBy("w1", "w2").agg(F.min("_row").alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
     keys = nodes.where("size > 0").select(F.posexplode("sketch").alias("view", "key"), "node")
-    pairs = written(links(keys, VIEW_BLOCKS, VIEW_BUDGET), "candidates")
-    known = nodes.select("node", "size", "sketch")
-    close = written(_close(pairs, known, similarity, views), "close")
-    ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(_sets(rows, ends, shingle), "shingles")
-    found = components(_reaching(close, sets, similarity))
+    found = _linked(keys, nodes.select("node", "size", "sketch"), rows, shingle, similarity, views)
     named = prints.select("_row", "doc_id", "w1", "w2").join(nodes.select("w1", "w2", "node"), ["w1", "w2"]).join(found, "node", "left")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     stay = named.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(order)["_row"].alias("_row")).select("_row")

@@ -177,6 +177,53 @@ def test_representatives_decide_by_shingles(spark):
     assert not wrong and len(missed) <= 2, (wrong, missed)
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_representatives_of_one_template(spark, monkeypatch):
+    # documents of a template are at 0.7 to 0.79 to each other; some are true near copies
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(300)]
+    made = []
+    for k in range(150):
+        words = list(template)
+        for at in rng.sample(range(9), 6):
+            words[at * 33 + rng.randrange(3)] = f"d{k}x{at}"
+        made.append(words)
+        if k % 5 == 0:
+            near = list(words)
+            for at in range(4 + k % 3):
+                near[at * 33 + 15] = f"n{k}x{at}"
+            made.append(near)
+    root = list(range(len(made)))
+    for i in range(len(made)):
+        for j in range(i):
+            if jaccard(made[i], made[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id bigint, text string")
+    expected = sorted(set(root))
+    assert 10 < len(made) - len(expected)
+    assert sorted(r["doc_id"] for r in simhash.representatives(table).select("doc_id").collect()) == expected
+    # the same in small parts and tiles
+    monkeypatch.setattr(simhash, "PART_ROWS", 20)
+    monkeypatch.setattr(simhash, "TILE", 20_000)
+    assert sorted(r["doc_id"] for r in simhash.representatives(table).select("doc_id").collect()) == expected
+
+
+def test_crossing(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    keys = [base[i % 3] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for i in range(200)] + [base[0]] * 5
+    rows = [(0, simhash.signed(k), i, i % 7) for i, k in enumerate(keys)]
+    block = lambda k: {(n, k >> 16 * n & 0xFFFF) for n in range(4)}
+    expected = {(i, j) for j in range(len(keys)) for i in range(j) if i % 7 != j % 7 and (keys[i] ^ keys[j]).bit_count() <= 6 and block(keys[i]) & block(keys[j])}
+    table = spark.createDataFrame(rows, "view int, key bigint, node bigint, tree bigint")
+    assert sorted(map(tuple, simhash.crossing(table, 4, 6).collect())) == sorted(expected)
+
+
 def test_host_rules(spark, docs, rows, none):
     expected = []
     for d, t, _ in rows:
