@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quillstream.llm.common import arrow_schema, map_rows, written
 
-CURVES, DIMENSIONS, BITS = 24, 16, 3
+CURVES, DIMENSIONS = 24, 16
+#: Halvings of a dimension's range. The first few tell most rows apart; the others order a group that is tight against
+#: the whole range as its own vectors lie.
+BITS = 20
 #: Rows on either side of a query on each curve: this share of all, and at least so many. The share is what recall
 #: depends on where vectors have no structure of few dimensions.
 SHARE, LEAST = 0.025, 1024
@@ -43,13 +46,13 @@ def usable(vectors: DataFrame, dims: int, vec: str = "embedding") -> DataFrame:
     kind = precision(vectors, vec)
 
     def make():
-        return lambda c: {"vec_id": c["vec_id"], "v": [np.array(v, dtype=kind).tobytes() for v in c["v"]]}
+        return lambda c: {"vec_id": c["vec_id"], "v": [(np.array(v, dtype=kind) + kind.type(0)).tobytes() for v in c["v"]]}
     return map_rows(rows, make, "vec_id bigint, v binary", rows=2048)
 
 
-def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Place of each row of integer coordinates on the Hilbert curve."""
-    axes = [cells[:, i].astype(np.int64) for i in range(cells.shape[1])]
+def _turned(cells: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Coordinates whose bits, dealt from the highest on, are the place on the Hilbert curve."""
+    axes = [np.ascontiguousarray(cells[:, i]) for i in range(cells.shape[1])]
     for level in range(bits - 1, 0, -1):
         q = 1 << level
         low = q - 1
@@ -63,13 +66,27 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     turn = np.zeros_like(axes[0])
     for level in range(bits - 1, 0, -1):
         turn ^= np.where((axes[-1] & (1 << level)) > 0, (1 << level) - 1, 0)
-    key = np.zeros_like(turn)
+    return [axis ^ turn for axis in axes]
+
+
+def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Place of each row of integer coordinates on the Hilbert curve."""
+    axes = _turned(cells.astype(np.int64), bits)
+    key = np.zeros_like(axes[0])
     for b in range(bits - 1, -1, -1):
         for axis in axes:
-            key = key << 1 | ((axis ^ turn) >> b) & 1
+            key = key << 1 | (axis >> b) & 1
     return key
 
 
+def hilbert_bytes(cells: np.ndarray, bits: int) -> list[bytes]:
+    """The same places as bytes, in their order, for more bits than a number holds."""
+    axes = np.stack(_turned(cells.astype(np.int32), bits), axis=1)
+    dealt = np.stack([(axes >> b & 1).astype(np.uint8) for b in range(bits - 1, -1, -1)], axis=1)
+    packed = np.packbits(dealt.reshape(len(axes), bits * axes.shape[1]), axis=1)
+    return [row.tobytes() for row in packed]
+
+
 class Curves:
     """Projections, shifts and scales; the same in every task."""
 
@@ -81,10 +98,13 @@ class Curves:
         self.low = [s.min(0) if len(s) else np.zeros(p.shape[1]) for s, p in zip(spread, self.projections)]
         self.width = [np.maximum(s.max(0) - s.min(0), 1e-12) if len(s) else np.ones(p.shape[1]) for s, p in zip(spread, self.projections)]
 
-    def key(self, curve: int, x: np.ndarray) -> np.ndarray:
-        unit = np.clip((x @ self.projections[curve] - self.low[curve]) / self.width[curve], 0, 1)
-        cells = np.minimum(((unit * 0.5 + self.shifts[curve]) * (1 << BITS)).astype(int), (1 << BITS) - 1)
-        return hilbert(cells, BITS)
+    def keys(self, x: np.ndarray) -> list[bytes]:
+        """Places of all rows on the first curve, then on the second, and so on."""
+        cells = []
+        for projection, low, width, shift in zip(self.projections, self.low, self.width, self.shifts):
+            unit = np.clip((x @ projection - low) / width, 0, 1)
+            cells.append(np.minimum(((unit * 0.5 + shift) * (1 << BITS)).astype(np.int32), (1 << BITS) - 1))
+        return hilbert_bytes(np.concatenate(cells), BITS)
 
 
 def _blocks(vectors: DataFrame, curves: Curves, dims: int, kind: np.dtype) -> DataFrame:
@@ -92,11 +112,11 @@ def _blocks(vectors: DataFrame, curves: Curves, dims: int, kind: np.dtype) -> Da
     def keys():
         def work(c):
             x = np.frombuffer(b"".join(c["v"]), dtype=kind).reshape(-1, dims).astype(float)
-            return {"curve": np.repeat(np.arange(CURVES), len(x)).tolist(), "key": np.concatenate([curves.key(k, x) for k in range(CURVES)]).tolist(),
+            return {"curve": np.repeat(np.arange(CURVES), len(x)).tolist(), "key": curves.keys(x),
                     "vec_id": c["vec_id"] * CURVES, "v": c["v"] * CURVES}
         return work
 
-    keyed = map_rows(vectors, keys, "curve int, key bigint, vec_id bigint, v binary", rows=1024)
+    keyed = map_rows(vectors, keys, "curve int, key binary, vec_id bigint, v binary", rows=1024)
     ordered = keyed.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id").drop("key")
     schema = "curve int, part int, number int, n int, vec_ids array<bigint>, vs binary"
     kinds = arrow_schema(schema)
@@ -119,6 +139,27 @@ def _blocks(vectors: DataFrame, curves: Curves, dims: int, kind: np.dtype) -> Da
     return ordered.mapInArrow(cut, schema)
 
 
+def _copies(good: DataFrame, is_query, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the k + 1 smallest vec_ids of every vector, and (query_id, vec_id, score) of the queries not among them.
+
+    Rows of larger vec_ids are nobody's neighbours by the rule for ties, and would
+    fill the windows; where they are queries, k copies of theirs are their answer.
+    """
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    first = written(good.dropDuplicates(["vec_id", "v"]).withColumn("_rank", rank).where(F.col("_rank") <= k + 1), "copies")
+
+    def queries():
+        def work(c):
+            asked = [i for i, vec_id in enumerate(c["vec_id"]) if vec_id is not None and is_query(vec_id)]
+            return {"query_id": [c["vec_id"][i] for i in asked], "v": [c["v"][i] for i in asked]}
+        return work
+
+    asked = map_rows(good, queries, "query_id bigint, v binary").distinct()
+    asked = asked.join(first.select(F.col("vec_id").alias("query_id"), "v"), ["query_id", "v"], "left_anti")
+    near = asked.join(first.where(F.col("_rank") <= k), "v")
+    return first.drop("_rank"), near.select("query_id", F.coalesce("vec_id", F.lit(-1)).alias("vec_id"), F.lit(0.0).alias("score"))
+
+
 def nearest(vectors: DataFrame, dims: int, is_query, k: int = 10, vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query, by Euclidean distance.
 
@@ -129,6 +170,9 @@ def nearest(vectors: DataFrame, dims: int, is_query, k: int = 10, vec: str = "em
     spark = vectors.sparkSession
     kind = precision(vectors, vec)
     good = written(usable(vectors, dims, vec), "vectors")
+    copies = None
+    if not good.groupBy(F.xxhash64("v")).count().where(F.col("count") > k + 1).isEmpty():
+        good, copies = _copies(good, is_query, k)
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()
     curves = Curves(dims, np.frombuffer(b"".join(bytes(r["v"]) for r in sample), dtype=kind).reshape(-1, dims).astype(float))
     blocks = written(_blocks(good, curves, dims, kind), "curve-blocks")
@@ -176,6 +220,8 @@ def nearest(vectors: DataFrame, dims: int, is_query, k: int = 10, vec: str = "em
         return work
 
     found = map_rows(pairs.select("asked", "vec_ids", "vs"), compare, "query_id bigint, vec_id bigint, score double", rows=8)
+    if copies is not None:
+        found = found.unionByName(copies)
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -303,6 +303,36 @@ def test_nearest(spark):
     assert hilbert_search.nearest(table.limit(0), 8, lambda i: True).count() == 0
 
 
+def test_nearest_in_a_tight_group(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_search, "LEAST", 64)
+    monkeypatch.setattr(hilbert_search, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32))
+    group = rng.permutation(6000)[:2000]
+    x[group] = x[group[0]] + 0.001 * rng.normal(size=(2000, 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    asked = set(group[:40].tolist())
+    got = hilbert_search.nearest(table, 32, lambda i: i in asked).collect()
+    hits = 0
+    for q in asked:
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 0.9 * 10 * len(asked), hits
+
+
+def test_nearest_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_search, "LEAST", 16)
+    monkeypatch.setattr(hilbert_search, "BLOCK_ROWS", 16)
+    x = np.random.default_rng(6).normal(size=(1000, 8))
+    x[200:800] = x[200]
+    x[900] = x[200] + 0.0001
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in hilbert_search.nearest(table, 8, lambda i: i in (203, 799, 900)).collect()}
+    assert [got[203, k] for k in range(1, 11)] == [200, 201, 202, *range(204, 211)]
+    assert [got[799, k] for k in range(1, 11)] == [got[900, k] for k in range(1, 11)] == list(range(200, 210))
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
     key = hilbert_search.hilbert(cells, 3)
@@ -310,6 +340,11 @@ def test_hilbert_neighbours_touch():
     assert sorted(key.tolist()) == list(range(512)) and (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
+def test_hilbert_bytes_keep_the_order():
+    cells = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
+    assert [int.from_bytes(b, "big") >> 7 for b in hilbert_search.hilbert_bytes(cells, 3)] == hilbert_search.hilbert(cells, 3).tolist()
+
+
 def test_chat(spark):
     said = [(1, 0, "user", "hi <|im_end|>\n \\"), (1, 1, "assistant", "<|im_start|>assistant\nok\\n"), (1, 1, "assistant", ""), (2, 5, "system\nx", None), (2, None, None, "é"),
             (None, 0, "assistant", "a"), (3, 0, "assistant", "b")] + [(4, i, "assistant", str(i)) for i in range(700)]
