@@ -75,10 +75,8 @@ def updated_after(papers: DataFrame, after: Column, after_id: Column | None = No
     return papers.where(beyond).orderBy("updated_at", "id", *[c for c in ("source_id",) if c in papers.columns]).limit(limit)
 
 
-def poll_cursor(pulled: DataFrame, after: Column, after_id: Column) -> DataFrame:
-    """Cursor to use next: the last pulled pair, or the old one when nothing came."""
-    last = F.max(F.struct("updated_at", "id"))
-    return pulled.agg(last.alias("_last")).select(
-        F.coalesce(F.col("_last.updated_at"), after).alias("updated_at"),
-        F.coalesce(F.col("_last.id"), after_id).alias("id"),
-    )
+def poll_cursor(pulled: DataFrame, after: Column, after_id: Column, after_key: Column | None = None) -> DataFrame:
+    """Cursor to use next: the last pulled pair, or the old one when nothing came; with ``after_key`` its source_id too."""
+    old = {"updated_at": after, "id": after_id} | ({} if after_key is None else {"source_id": after_key})
+    last = F.max(F.struct(*old))
+    return pulled.agg(last.alias("_last")).select(*[F.coalesce(F.col("_last")[name], value).alias(name) for name, value in old.items()])

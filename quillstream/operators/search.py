@@ -50,7 +50,7 @@ def search_total(papers: DataFrame, q: str = "", year: int = 0, **options) -> Da
 
 def search_page(papers: DataFrame, q: str = "", year: int = 0, limit: int = lexicon.SEARCH_LIMIT, offset: int = 0,
                 deep_page: int = DEEP_PAGE, **options) -> DataFrame:
-    """One page, newest year and id first.
+    """One page, newest year and id first; where ids repeat, the largest source_id first, as in ``search_after``.
 
     Near pages are a top-(offset + limit), far ones are located first.
     """
@@ -58,7 +58,7 @@ def search_page(papers: DataFrame, q: str = "", year: int = 0, limit: int = lexi
     found = papers.where(matches(q, year, **options))
     if offset + limit > deep_page:
         return _deep_page(found, limit, offset)
-    found = found.orderBy(F.desc("year"), F.desc("id"))
+    found = found.orderBy(F.desc("year"), *_within_year(found))
     return found.offset(offset).limit(limit) if offset else found.limit(limit)
 
 
@@ -84,9 +84,13 @@ def _deep_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
         same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in groups])
         rows = rows.join(F.broadcast(chosen) if limit <= DEEP_PAGE else chosen, same).select(
             *found.columns, *groups, F.col("_before").alias("_base"), F.col("_from").alias("_low"), F.col("_to").alias("_high"))
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("id"))) + F.col("_base")
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*_within_year(found))) + F.col("_base")
     page = rows.withColumn("_rank", rank).where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit))
-    return page.orderBy(F.desc("year"), F.desc("id")).select(*found.columns)
+    return page.orderBy(F.desc("year"), *_within_year(found)).select(*found.columns)
+
+
+def _within_year(papers: DataFrame) -> list[Column]:
+    return [F.desc(c) for c in ("id", "source_id") if c in papers.columns]
 
 
 def search_after(papers: DataFrame, after_year: int, after_id: int, q: str = "", year: int = 0,
@@ -101,7 +105,7 @@ def search_after(papers: DataFrame, after_year: int, after_id: int, q: str = "",
     if after_key is not None:
         later = later | ((i == after_id) & (F.col("source_id") < after_key))
     beyond = (y <= after_year) & ((y < after_year) | later)
-    return papers.where(matches(q, year, **options) & beyond).orderBy(F.desc("year"), F.desc("id"), F.desc("source_id")).limit(limit)
+    return papers.where(matches(q, year, **options) & beyond).orderBy(F.desc("year"), *_within_year(papers)).limit(limit)
 
 
 def page_meta(total: DataFrame, limit: int, offset: int) -> DataFrame:

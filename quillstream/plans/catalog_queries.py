@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from quillstream import lexicon
 from quillstream.functions.keywords import extract_keywords
@@ -83,6 +85,21 @@ def _page(q="", year=0, limit=20, offset=0):
     return lambda spark, folder: search.search_page(papers_text(spark, folder), q, year, limit, offset)
 
 
+def _search_walk(deep_page):
+    """All pages over ids of which each stands for more rows than a page holds; the second by offset, the others by key."""
+    def run(spark, folder):
+        papers = papers_text(spark, folder).withColumn("id", F.col("id") % 3).select("id", "source_id", "year", "title", "abstract")
+        limit = -(-search.search_total(papers).head()["total"] // 9)
+        if not limit:
+            return papers.select(F.lit(0).alias("page"), "id", "source_id", "year")
+        pages = [search.search_page(papers, limit=limit, offset=k * limit, deep_page=deep_page).persist() for k in (0, 1)]
+        while last := pages[-1].orderBy("year", "id", "source_id").head():
+            pages.append(search.search_after(papers, last["year"], last["id"], limit=limit, after_key=last["source_id"]).persist())
+        parts = [p.select(F.lit(k).alias("page"), "id", "source_id", "year") for k, p in enumerate(pages)]
+        return reduce(DataFrame.unionByName, parts)
+    return run
+
+
 _COLLATED = "UNICODE_CI_AI_RTRIM"
 
 
@@ -130,6 +147,8 @@ QUERIES = {
     "search_deep_page": lambda s, d: search.search_page(papers_text(s, d), "la", 0, 15, 90, deep_page=50),
     "search_past_end": _page("la", 2023, 20, 10_000_000),
     "search_after": lambda s, d: search.search_after(papers_text(s, d), 2024, 400, "la", limit=12),
+    "search_walk": _search_walk(search.DEEP_PAGE),
+    "search_walk_deep": _search_walk(0),
     "search_total": lambda s, d: search.search_total(papers_text(s, d), "the", 2024),
     "page_meta": lambda s, d: search.page_meta(search.search_total(papers_text(s, d), "de", 2022), 12, 12),
 }
@@ -158,6 +177,8 @@ def _top_sql(dim, limit):
 _WORDS = with_sql(TEXT_SQL, """words AS (SELECT value AS name, count(DISTINCT source_id) AS value FROM (
     SELECT source_id, unnest(regexp_extract_all(lower(abstract), '[a-z]+')) AS value FROM papers_t) GROUP BY 1)""")
 _T = with_sql(TEXT_SQL)
+_WALK = _T + """SELECT CAST(floor((row_number() OVER (ORDER BY year DESC, id % 3 DESC, source_id DESC) - 1) / ceil((SELECT count(*) FROM papers_t) / 9.0)) AS INT) AS page,
+    id % 3 AS id, source_id, year FROM papers_t"""
 
 ORACLE = {
     "yearly": with_sql(_C["papers_c"]) + "SELECT year, count(*) AS count FROM papers_c GROUP BY 1 ORDER BY 1",
@@ -211,6 +232,8 @@ ORACLE = {
         ORDER BY year DESC, id DESC LIMIT 20 OFFSET 10000000""",
     "search_after": _T + """SELECT * FROM papers_t WHERE (title ILIKE '%la%' OR abstract ILIKE '%la%')
         AND (year < 2024 OR (year = 2024 AND id < 400)) ORDER BY year DESC, id DESC LIMIT 12""",
+    "search_walk": _WALK,
+    "search_walk_deep": _WALK,
     "search_total": _T + """SELECT count(*) AS total FROM papers_t WHERE (title ILIKE '%the%' OR abstract ILIKE '%the%')
         AND year = 2024""",
     "page_meta": _T + """SELECT total, CAST(12 AS BIGINT) AS "limit", CAST(12 AS BIGINT) AS "offset", true AS has_prev,

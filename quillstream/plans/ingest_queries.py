@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillstream import lexicon
 from quillstream.operators import changes, ingest as ops
@@ -282,6 +283,19 @@ def _poll_cursor(spark, folder):
     return changes.poll_cursor(_updated_after_pair(spark, folder), _after(), F.lit(282).cast("bigint"))
 
 
+def _poll_walk(spark, folder):
+    """All polls over changes of which more than a poll pulls share time and id."""
+    papers = papers_text(spark, folder).select((F.col("id") % 3).alias("id"), "source_id", F.lit(datetime(2024, 1, 1, 12)).alias("updated_at"))
+    limit, cursor, polls = -(-papers.count() // 9), (datetime(2024, 1, 1), -1), []
+    while True:
+        events, after = feed.poll(papers, cursor, limit)
+        polls.append(events.select(F.lit(len(polls)).alias("poll"), F.get_json_object("event", "$.payload.id").cast("bigint").alias("id"),
+                                   F.get_json_object("event", "$.payload.source_id").alias("source_id")))
+        if after == cursor:
+            return reduce(DataFrame.unionByName, polls)
+        cursor = after
+
+
 QUERIES = {
     "parse_events": _parse_events,
     "valid_events": _valid_events,
@@ -321,6 +335,7 @@ QUERIES = {
     "updated_after": _updated_after,
     "updated_after_pair": _updated_after_pair,
     "poll_cursor": _poll_cursor,
+    "poll_walk": _poll_walk,
 }
 
 _M = with_sql(MESSAGES_SQL)
@@ -354,6 +369,9 @@ _TIMED = "WITH " + TEXT_SQL + """, timed AS (SELECT id, source_id, year, title,
 _PAIR = f"""SELECT * FROM timed WHERE (updated_at > TIMESTAMP '{_AFTER}') OR (updated_at = TIMESTAMP '{_AFTER}' AND id > 282)
     ORDER BY updated_at, id LIMIT 50"""
 
+_POLLS = "WITH " + TEXT_SQL + """ SELECT CAST(floor((row_number() OVER (ORDER BY id % 3, source_id) - 1) / ceil((SELECT count(*) FROM papers_t) / 9.0)) AS INT) AS poll,
+    id % 3 AS id, source_id FROM papers_t"""
+
 _CHANGE_EVENTS = "WITH " + CHANGES_SQL + """SELECT seq, concat('{"type":"paper.updated","payload":{"id":', id, ',"source_id":"', source_id,
         '","year":', year, ',"title":"', title, '","abstract":"', replace(abstract, '"', '\\"'), '","paper_url":"', paper_url,
         '","pdf_url":"","created_at":"', strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z'), '","updated_at":"',
@@ -423,4 +441,5 @@ ORACLE = {
     "updated_after_pair": _TIMED + _PAIR,
     "poll_cursor": _TIMED + f"""SELECT coalesce(max(updated_at), TIMESTAMP '{_AFTER}') AS updated_at,
         coalesce(arg_max(id, (updated_at, id)), 282) AS id FROM ({_PAIR})""",
+    "poll_walk": _POLLS,
 }

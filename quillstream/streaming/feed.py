@@ -21,16 +21,21 @@ def log_events(log: DataFrame, schema: str, table: str, now, start: int = -1) ->
     return body.select("seq", event.alias("event"))
 
 
-def poll(papers: DataFrame, cursor: tuple[datetime, int], limit: int = lexicon.POLL_LIMIT) -> tuple[DataFrame, tuple[datetime, int]]:
+def poll(papers: DataFrame, cursor: tuple, limit: int = lexicon.POLL_LIMIT) -> tuple[DataFrame, tuple]:
     """One poll: the events of at most ``limit`` changes, and the next cursor.
 
     The changes are pulled once and kept, so cursor and events are of the same
-    rows. Only the cursor, one row, comes to the driver.
+    rows. Only the cursor, one row, comes to the driver. It is (updated_at, id,
+    source_id) where there are source_ids, as ids may repeat; a pair, the initial
+    cursor, is taken too.
     """
-    after, after_id = F.lit(cursor[0]), F.lit(cursor[1])
-    pulled = updated_after(papers, after, after_id, limit).persist()
-    row = poll_cursor(pulled, after, after_id).head()
-    return change_events(pulled), (row["updated_at"], row["id"])
+    after, after_id, *key = map(F.lit, cursor)
+    pulled = updated_after(papers, after, after_id, limit, *key).persist()
+    if not key and "source_id" in papers.columns:
+        key = [F.lit(None).cast("string")]
+    last = tuple(poll_cursor(pulled, after, after_id, *key).head())
+    # A pair that nothing followed stays one.
+    return change_events(pulled), last if last[-1] is not None else last[:2]
 
 
 def initial_cursor(now: datetime) -> tuple[datetime, int]:

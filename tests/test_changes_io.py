@@ -102,3 +102,19 @@ def test_large_year_and_repeated_ids(spark):
         seen += [r["source_id"] for r in page]
         last = (page[-1]["updated_at"], page[-1]["id"], page[-1]["source_id"])
     assert len(seen) == 120 == len(set(seen))
+
+
+def test_pages_and_polls_over_one_id(spark):
+    from quillstream.operators.search import search_after, search_page
+    papers = spark.range(50).select(F.lit(7).cast("bigint").alias("id"), F.concat(F.lit("s"), F.col("id")).alias("source_id"), F.lit(2024).alias("year"), F.lit("t").alias("title"),
+                                    F.lit("a").alias("abstract"), F.lit("2026-01-01").cast("timestamp").alias("updated_at")).repartition(8)
+    cursor, got = (datetime(2025, 12, 31), -1), []
+    for _ in range(4):
+        events, cursor = feed.poll(papers, cursor, 20)
+        got += [json.loads(r["event"])["payload"]["source_id"] for r in events.collect()]
+    assert len(got) == 50 == len(set(got)) and feed.poll(papers, cursor, 20)[1] == cursor
+    expected = sorted((f"s{i}" for i in range(50)), reverse=True)
+    for deep in (0, 10_000):
+        seen = [r["source_id"] for r in search_page(papers, limit=20, deep_page=deep).collect()]
+        assert seen + [r["source_id"] for r in search_after(papers, 2024, 7, limit=50, after_key=seen[-1]).collect()] == expected
+        assert [r["source_id"] for r in search_page(papers, limit=20, offset=20, deep_page=deep).collect()] == expected[20:40]
