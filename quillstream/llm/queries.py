@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from quillstream.llm import (
-    bwt_dedup, hilbert_search, host_rules, packing, recompression, repair_output, reply_trees, sentencepiece_wfst, simhash, token_counts,
+    bwt_dedup, hilbert_search, host_rules, merkle, middle_fill, packing, pii, recompression, repair_output, reply_trees, sentencepiece_wfst, simhash,
+    token_counts,
 )
 from quillstream.llm.common import read
 
@@ -54,6 +55,18 @@ def op10_token_id_output(spark, folder):
     return repair_output.write_and_read(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_merkle_manifest(spark, folder):
+    return merkle.digests(read(spark, folder, "documents"))
+
+
+def op12_fill_in_middle(spark, folder):
+    return middle_fill.digests(read(spark, folder, "documents"))
+
+
+def op13_pii(spark, folder):
+    return pii.digests(read(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_sentencepiece, op3_substring_dedup, op4_simhash, op5_quality_rules, op6_best_fit_packing, op7_suffix_array_dedup, op8_nearest_neighbours, op9_chat_formatting, op10_token_id_output)}
-ORACLE: dict[str, str] = {}
+    op1_token_counts, op2_sentencepiece, op3_substring_dedup, op4_simhash, op5_quality_rules, op6_best_fit_packing, op7_suffix_array_dedup, op8_nearest_neighbours, op9_chat_formatting, op10_token_id_output, op11_merkle_manifest, op12_fill_in_middle, op13_pii)}
+ORACLE: dict[str, str] = {"op11_merkle_manifest": merkle.SQL, "op12_fill_in_middle": middle_fill.SQL}
