@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from quillstream import lexicon
+from quillstream.functions.arrays import bind
 from quillstream.functions.text import normalize_text_u, text_or_empty
 
 # Entities replaced natively; '&amp;' must come last so nothing is decoded twice.
@@ -50,6 +51,35 @@ def clean_html(c: Column) -> Column:
     return normalize_text_u(unescape(F.regexp_replace(text_or_empty(c), lexicon.TAG, " ")))
 
 
+def element_body(c: Column, opening: str) -> Column:
+    """What the first element whose opening tag matches holds, nested elements of the same name included.
+
+    Group 1 of ``opening`` is the tag's name. From there on the text is cut at the
+    tags of that name, and their depth is counted until it is back at zero. An
+    element that is never closed reaches to the end; without a match it is ``''``.
+    """
+    name = F.lower(F.regexp_extract(c, opening, 1))
+    rest = F.get(F.split(c, opening, 2), F.lit(1))
+    tag = F.concat(F.lit("(?is)(?=</?"), name, F.lit(r"[\s/>])"))
+
+    def body(found: Column) -> Column:
+        # '</div' closes, '<div ../>' does neither, any other '<div' opens
+        closes, opens = F.concat(F.lit("(?is)^</"), found["name"], F.lit(r"[\s/>]")), F.concat(F.lit("(?is)^<"), found["name"], F.lit(r"(?:\s[^>]*)?(?<!/)>"))
+        step = lambda piece: F.when(F.rlike(piece, closes), -1).when(F.rlike(piece, opens), 1).otherwise(0)
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+
+        def walk(acc: Column, piece: Column) -> Column:
+            depth = acc["depth"] + step(piece)
+            end = F.when((acc["end"] < 0) & (depth <= 0), acc["at"]).otherwise(acc["end"])
+            return F.struct(depth.alias("depth"), (acc["at"] + 1).alias("at"), end.alias("end"))
+
+        end = F.aggregate(found["pieces"], start, walk, lambda acc: F.when(acc["end"] < 0, acc["at"]).otherwise(acc["end"]))
+        return F.array_join(F.slice(found["pieces"], F.lit(1), end), "")
+
+    inside = bind(F.struct(name.alias("name"), F.split(rest, tag, -1).alias("pieces")), body)
+    return F.when(rest.isNull(), F.lit("")).otherwise(inside)
+
+
 def anchors(c: Column) -> Column:
     """``array<struct<href, body>>`` of every anchor, in page order."""
     hrefs = F.regexp_extract_all(c, F.lit(lexicon.ANCHOR), F.lit(1))

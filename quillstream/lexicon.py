@@ -57,5 +57,6 @@ AUTHOR_INPUT = r"""(?is)<input[^>]*name=["']query_author["'][^>]*value=["']([^"'
 NEXT_DD = r"(?is)</dt>\s*<dd[^>]*>(.*?)</dd>"
 PDF_HREF = r"""(?is)<a[^>]*href=["']([^"']+\.pdf)["'][^>]*>"""
 ABSTRACT_ELEMENT = r"""(?is)<([a-z][a-z0-9]*)\b[^>]*\bid=["']abstract["'][^>]*>(.*?)</\1>"""
+ABSTRACT_OPEN = r"""(?is)<([a-z][a-z0-9]*)\b[^>]*\bid=["']abstract["'][^>]*>"""
 TAG = r"(?is)<[^>]+>"
 PDF_ANCHOR_WINDOW = 8

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillstream import lexicon
 from quillstream.functions.arrays import bind
-from quillstream.functions.markup import anchors, clean_html, page_links, resolve_url, unescape
+from quillstream.functions.markup import anchors, clean_html, element_body, page_links, resolve_url, unescape
 from quillstream.functions.text import normalize_text_u, parse_authors, unique_clean
 
 
@@ -26,10 +26,16 @@ class ListingLayout:
 
 @dataclass(frozen=True)
 class DetailLayout:
-    """Pattern of the abstract element and the group that holds its body."""
+    """Where a detail page keeps the abstract.
 
-    abstract: str = lexicon.ABSTRACT_ELEMENT
-    group: int = 2
+    With ``group`` 0 ``abstract`` matches the element's opening tag, group 1 being
+    its name, and the whole element is taken, nested ones included; otherwise that
+    group is the body, as with ``lexicon.ABSTRACT_ELEMENT`` and 2, which ends at the
+    first closing tag.
+    """
+
+    abstract: str = lexicon.ABSTRACT_OPEN
+    group: int = 0
     any_case_label: bool = True
     pdf_rule: str = "nearby"
 
@@ -43,6 +49,16 @@ def split_blocks(html: Column, start: str) -> Column:
     return F.filter(pieces, lambda p: p.rlike(f"{flags}\\A{body}"))
 
 
+def _anchored_blocks(pages: DataFrame, layout: ListingLayout) -> DataFrame:
+    """One row per listing block: its text, its anchors, and the first anchor of the block after it."""
+    keep = [c for c in pages.columns if c != "html"]
+    parts = F.transform(split_blocks(F.col("html"), layout.start), lambda b: F.struct(b.alias("block"), anchors(b).alias("anchors")))
+    numbered = bind(parts, lambda ps: F.transform(ps, lambda p, i: F.struct(
+        i.alias("pos"), p["block"].alias("block"), p["anchors"].alias("anchors"), F.get(F.get(ps, i + 1)["anchors"], F.lit(0)).alias("following"))))
+    rows = pages.select(*keep, F.explode(numbered).alias("_b"))
+    return rows.select(*keep, "_b.pos", "_b.block", "_b.anchors", "_b.following")
+
+
 def listing_blocks(pages: DataFrame, layout: ListingLayout = ListingLayout()) -> DataFrame:
     """One row per listing block with its position in the page and the block after it."""
     keep = [c for c in pages.columns if c != "html"]
@@ -62,11 +78,11 @@ def _is_pdf(anchor: Column) -> Column:
     return F.lower(anchor["href"]).endswith(".pdf") | (text == "pdf")
 
 
-def _nearby_pdf(block: Column, next_block: Column) -> Column:
+def _nearby_pdf(own: Column, following: Column) -> Column:
     """Href of the first pdf link among the next anchors, the first anchor of the
     following title included."""
-    following = F.slice(F.coalesce(anchors(next_block), F.array().cast("array<struct<href:string,body:string>>")), 1, 1)
-    window = F.slice(F.concat(anchors(block), following), 1, lexicon.PDF_ANCHOR_WINDOW)
+    all_of_them = F.concat(own, F.filter(F.array(following), lambda a: a.isNotNull()))
+    window = F.slice(all_of_them, 1, lexicon.PDF_ANCHOR_WINDOW)
     return F.get(F.filter(window, _is_pdf), F.lit(0))["href"]
 
 
@@ -80,15 +96,15 @@ def listing_papers(pages: DataFrame, layout: ListingLayout = ListingLayout()) ->
     ``pages`` has ``url`` as the base of relative links; other columns, such as
     ``year``, are kept.
     """
-    blocks = listing_blocks(pages, layout)
+    blocks = _anchored_blocks(pages, layout)
     keep = [c for c in pages.columns if c not in ("html", "url")]
-    first = F.get(anchors(F.col("block")), F.lit(0))
+    first = F.get("anchors", F.lit(0))
     if layout.author_rule == "values":
         values = F.regexp_extract_all("block", F.lit(layout.authors), F.lit(1))
         authors = unique_clean(F.split(unescape(F.concat_ws("\u0001", values)), "\u0001"))
     else:
         authors = parse_authors(clean_html(F.regexp_extract("block", layout.authors, 1)))
-    pdf = _suffix_pdf(F.col("block")) if layout.pdf_rule == "suffix" else _nearby_pdf(F.col("block"), F.col("next_block"))
+    pdf = _suffix_pdf(F.col("block")) if layout.pdf_rule == "suffix" else _nearby_pdf(F.col("anchors"), F.col("following"))
     parts = blocks.select(*keep, "url", "pos", first.alias("_first"), authors.alias("authors"), pdf.alias("_pdf"))
     named = parts.select(
         *keep, "url", "pos", "authors",
@@ -106,7 +122,9 @@ def listing_papers(pages: DataFrame, layout: ListingLayout = ListingLayout()) ->
 def detail_fields(pages: DataFrame, layout: DetailLayout = DetailLayout()) -> DataFrame:
     """``(paper_url, abstract, pdf_url)`` of detail pages; other columns are kept."""
     keep = [c for c in pages.columns if c not in ("html", "url")]
-    body = clean_html(F.regexp_extract("html", layout.abstract, layout.group))
+    inside = F.regexp_extract("html", layout.abstract, layout.group) if layout.group else element_body(F.col("html"), layout.abstract)
+    pages = pages.withColumn("_inside", inside)
+    body = clean_html(F.col("_inside"))
     label = r"(?i)^abstract\s*" if layout.any_case_label else r"^Abstract\s*"
     if layout.pdf_rule == "suffix":
         pdf = _suffix_pdf(F.col("html"))

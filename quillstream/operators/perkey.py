@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillstream.operators.ranks import by, first_n
+
 # Catalyst pre-limits each map task for ranks up to this bound
 # (spark.sql.optimizer.windowGroupLimitThreshold), so a hot group never reaches
 # one task whole.
 GROUP_LIMIT_BOUND = 1000
-_BUCKETS = 65536
-_LEVELS = 2
 
 
 def _pick(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
@@ -31,51 +31,17 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def first_n_per_group(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
-    """First ``n`` rows of each group by ``order``; ``order[0]`` must be a whole number.
+    """First ``n`` rows of each group by ``order``, columns of any orderable type.
 
     Small ``n`` is a rank filter that Catalyst pre-limits per map task. For a
     large ``n`` that would still send ``n`` rows per task and group to one
-    reducer, so a histogram of ``order[0]`` finds the bucket in which the n-th
-    row lies: buckets below it are kept without ranking, and only the boundary
-    bucket is ranked. Both ways are exact.
+    reducer, so the key of each group's n-th row is found first and rows are
+    compared with it where they are.
     """
     if n <= GROUP_LIMIT_BOUND:
         rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
         return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
-
-    lead = order[0]
-    ends = df.agg(F.struct(F.min(lead).alias("low"), F.max(lead).alias("high")).alias("v")).scalar()
-    rows = df.select("*", F.lit(n).cast("bigint").alias("_left"), ends["low"].alias("_low"), ends["high"].alias("_high"))
-    upto = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = []
-    for _ in range(_LEVELS):
-        # The second level cuts the boundary range by its own ends, so outliers
-        # that squeeze most rows into one range do no harm.
-        bucketed = rows.withColumn("_bucket", range_bucket(lead))
-        sizes = bucketed.groupBy(group, "_bucket").agg(
-            F.count("*").alias("_size"), F.max("_left").alias("_n"), F.min(lead).alias("_from"), F.max(lead).alias("_to"))
-        running = sizes.withColumn("_before", F.sum("_size").over(upto) - F.col("_size"))
-        # One row per group: the range that crosses n, or the last one.
-        crossing = F.struct("_bucket", (F.col("_n") - F.col("_before")).alias("rest"), "_from", "_to")
-        edge = running.where(F.col("_before") < F.col("_n")).groupBy(F.col(group).alias("_group")).agg(
-            F.max_by(crossing, "_bucket").alias("_edge"))
-        placed = bucketed.join(edge, F.col(group).eqNullSafe(F.col("_group")))
-        kept.append(placed.where(F.col("_bucket") < F.col("_edge._bucket")).select(*df.columns))
-        rows = placed.where(F.col("_bucket") == F.col("_edge._bucket")).select(
-            *df.columns, F.col("_edge.rest").alias("_left"), F.col("_edge._from").alias("_low"), F.col("_edge._to").alias("_high"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    out = rows.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left")).select(*df.columns)
-    for below in kept:
-        out = out.unionByName(below)
-    return out
-
-
-def range_bucket(column: str) -> Column:
-    """Equal ranges of a whole-number column between ``_low`` and ``_high``, in its
-    order; nulls come first."""
-    low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
-    share = (F.col(column).cast("double") - low) * F.lit(_BUCKETS) / (high - low + 1)
-    return F.coalesce(F.floor(share), F.lit(-1))
+    return first_n(df, [group], by(*order), n)
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

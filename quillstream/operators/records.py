@@ -10,6 +10,7 @@ from quillstream import lexicon
 from quillstream.functions.keywords import extract_keywords
 from quillstream.functions.text import normalize_text_u, stable_id, text_or_empty, unique_clean
 from quillstream.operators.perkey import first_n_per_group, first_per_key
+from quillstream.operators.skew import salted_join
 from quillstream.schemas import PAPER_EVENT
 
 _TEXTS = ["abstract", "source_id", "paper_url", "pdf_url", "crawled_at"]
@@ -63,8 +64,8 @@ def enrich_details(listing: DataFrame, details: DataFrame, keyword_limit: int =
 
     ``details`` is ``(paper_url, abstract, pdf_url)``; a record without one is
     unchanged. Details are reduced to one per url before the join, and records
-    without a url skip it, so a blank or hot url never multiplies rows; the
-    remaining skew is on the left side, which AQE can split.
+    without a url skip it, so a blank or hot url never multiplies rows; records of
+    a url that very many share are dealt out to several tasks.
     """
     detail = first_per_key(
         details.where(F.col("paper_url") != "").select("paper_url", "abstract", "pdf_url"),
@@ -75,7 +76,7 @@ def enrich_details(listing: DataFrame, details: DataFrame, keyword_limit: int =
         text_or_empty(F.col("pdf_url")).alias("_pdf"),
     )
     has_url = F.coalesce(F.col("paper_url"), F.lit("")) != ""
-    joined = listing.where(has_url).join(detail, F.col("paper_url") == F.col("_url"), "left")
+    joined = salted_join(listing.where(has_url), detail, "paper_url", "_url")
     found = F.col("_url").isNotNull()
     text = F.concat_ws(" ", "title", "_abstract")
     replaced = {

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillstream import lexicon
-from quillstream.operators.perkey import range_bucket
+from quillstream.operators.ranks import By, by, page
 
 ACCENT_FOLD = "UNICODE_CI_AI"
 
-# Beyond this many rows a page is located by histogram instead of a top-k, whose
-# single merge would hold every row up to the page.
-DEEP_PAGE = 10_000
+# Beyond this many rows a page is located on its keys instead of by a top-k, whose
+# single merge would hold every row up to the page. Both give the same rows.
+DEEP_PAGE = 1_000
 
 
 def like_pattern(q: str) -> str:
@@ -52,45 +50,19 @@ def search_page(papers: DataFrame, q: str = "", year: int = 0, limit: int = lexi
                 deep_page: int = DEEP_PAGE, **options) -> DataFrame:
     """One page, newest year and id first; where ids repeat, the largest source_id first, as in ``search_after``.
 
-    Near pages are a top-(offset + limit), far ones are located first.
+    Near pages are a top-(offset + limit) of whole rows; far ones are located on
+    their keys, and only the rows of the page are read whole.
     """
     _check_paging(limit, offset)
     found = papers.where(matches(q, year, **options))
     if offset + limit > deep_page:
-        return _deep_page(found, limit, offset)
-    found = found.orderBy(F.desc("year"), *_within_year(found))
+        return page(found, _newest(found), offset, limit)
+    found = found.orderBy(*[o.column() for o in _newest(found)])
     return found.offset(offset).limit(limit) if offset else found.limit(limit)
 
 
-def _deep_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
-    """The same page, located by counting years, then id ranges, then ranges of those.
-
-    Each step keeps the ranges that overlap the page; the rows before it are
-    only counted. An overlapping range holds a row of the page, so a step keeps
-    at most ``limit`` ranges, and only the last ranges are ranked.
-    """
-    rows = found.select("*", F.lit(0).cast("bigint").alias("_base"))
-    groups: list[str] = []
-    for step, bucket in enumerate((F.col("year"), range_bucket("id"), range_bucket("id"))):
-        name = f"_step{step}"
-        rows = rows.withColumn(name, bucket)
-        sizes = rows.groupBy(*groups, name).agg(
-            F.count("*").alias("_size"), F.max("_base").alias("_start"), F.min("id").alias("_from"), F.max("id").alias("_to"))
-        ahead = Window.partitionBy(*groups).orderBy(F.desc(name)).rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
-        overlap = sizes.where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_size") > offset))
-        groups = [*groups, name]
-        chosen = overlap.select(*[F.col(g).alias(f"{g}_") for g in groups], "_before", "_from", "_to")
-        same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in groups])
-        rows = rows.join(F.broadcast(chosen) if limit <= DEEP_PAGE else chosen, same).select(
-            *found.columns, *groups, F.col("_before").alias("_base"), F.col("_from").alias("_low"), F.col("_to").alias("_high"))
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*_within_year(found))) + F.col("_base")
-    page = rows.withColumn("_rank", rank).where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit))
-    return page.orderBy(F.desc("year"), *_within_year(found)).select(*found.columns)
-
-
-def _within_year(papers: DataFrame) -> list[Column]:
-    return [F.desc(c) for c in ("id", "source_id") if c in papers.columns]
+def _newest(papers: DataFrame) -> list[By]:
+    return by(*[c for c in ("year", "id", "source_id") if c in papers.columns], descending=True)
 
 
 def search_after(papers: DataFrame, after_year: int, after_id: int, q: str = "", year: int = 0,
@@ -105,7 +77,7 @@ def search_after(papers: DataFrame, after_year: int, after_id: int, q: str = "",
     if after_key is not None:
         later = later | ((i == after_id) & (F.col("source_id") < after_key))
     beyond = (y <= after_year) & ((y < after_year) | later)
-    return papers.where(matches(q, year, **options) & beyond).orderBy(F.desc("year"), *_within_year(papers)).limit(limit)
+    return papers.where(matches(q, year, **options) & beyond).orderBy(*[o.column() for o in _newest(papers)]).limit(limit)
 
 
 def page_meta(total: DataFrame, limit: int, offset: int) -> DataFrame:

@@ -15,7 +15,7 @@ from quillstream.sources.files import read_pages
 
 # The stored pages list their entries as <li><a ..>, with the text in <article>.
 LAYOUT = ops.ListingLayout(start=r"(?is)<li>")
-DETAIL = ops.DetailLayout(abstract=r"(?is)<article[^>]*>(.*?)</article>", group=1)
+DETAIL = ops.DetailLayout(abstract=r"(?is)<(article)\b[^>]*>")
 PER_YEAR = 7
 
 
@@ -52,16 +52,31 @@ def _links_resolved(spark, folder):
 
 
 def _links_relative(spark, folder):
-    """Links as relative, scheme-relative and absolute references by position."""
+    """Every href of a page as a relative, scheme-relative, dotted or absolute reference, by position, against the page's own url."""
     pages = _spread_pages(spark, folder)
     rows = pages.select("page_id", "url", F.posexplode(markup.page_links(F.col("html"))).alias("pos", "href"))
     tail = F.substr("href", F.lit(2))
     kind = F.col("pos") % 4
-    ref = (F.when(kind == 0, F.concat(F.lit("../x/./"), F.lit("a"), F.col("pos")))
-           .when(kind == 1, F.lit("//other.example.org/p"))
+    ref = (F.when(kind == 0, F.concat(F.lit("../x/./"), tail))
+           .when(kind == 1, F.concat(F.lit("//other.example.org"), F.col("href")))
            .when(kind == 2, F.concat(F.lit("https://abs.example.org/"), tail))
-           .otherwise("/root"))
-    return rows.select("page_id", "pos", markup.resolve_url(F.lit("http://h.example.org/a/b/c.html?q=1"), ref).alias("link"))
+           .otherwise(tail))
+    return rows.select("page_id", "pos", markup.resolve_url(F.col("url"), ref).alias("link"))
+
+
+def _listing_rules(**rules):
+    """Anchors as authors, and as pdf links where a word begins with a t: pages that have both."""
+    def run(spark, folder):
+        pages = _spread_pages(spark, folder).withColumn("html", F.regexp_replace("html", r'<a href="/(t[^"]*)">', r'<a href="/$1.pdf">'))
+        rows = ops.listing_papers(pages, ops.ListingLayout(start=LAYOUT.start, **rules))
+        return rows.select("page_id", "pos", "title", F.concat_ws("|", "authors").alias("authors"), "paper_url", "pdf_url")
+    return run
+
+
+def _details_nested(spark, folder):
+    """Articles wrapped twice more in elements of their own name come out whole."""
+    wrap = F.regexp_replace(F.regexp_replace("html", "<article>", '<article id="abstract">Abstract <article><article>'), "</article>", "</article></article> end</article>")
+    return ops.detail_fields(_spread_pages(spark, folder).withColumn("html", wrap))
 
 
 def _details(spark, folder):
@@ -101,7 +116,10 @@ QUERIES = {
     "resolve_links_relative": _links_relative,
     "listing_blocks": _blocks,
     "listing_papers": _listing,
+    "listing_authors": _listing_rules(authors=r"(?is)>([^<]*)</a>"),
+    "listing_author_values": _listing_rules(authors=r'(?is)href="/([^".]*)', author_rule="values", pdf_rule="suffix"),
     "detail_fields": _details,
+    "detail_nested": _details_nested,
     "enrich_details": _enriched,
     "limit_per_year": lambda s, d: limit_per_year(Catalog(s, d).papers().select("id", "year", "title"), PER_YEAR, ["id"]),
     "limit_per_year_large": lambda s, d: first_n_per_group(Catalog(s, d).papers().select("id", "year", "title"), "year", ["id"], 1500),
@@ -133,21 +151,36 @@ _PARTS = """parts AS (SELECT page_id, url, CAST(pos - 1 AS INT) AS pos, concat('
     (SELECT page_id, url, unnest(p) AS part, unnest(range(len(p))) AS pos FROM
         (SELECT page_id, url, string_split(html, '<li>') AS p FROM pages)) WHERE pos > 0)"""
 
+_PDF_PARTS = """parts AS (SELECT page_id, url, CAST(unnest(range(len(a))) AS INT) AS pos, unnest(a) AS body, unnest(h) AS href FROM
+    (SELECT page_id, url, regexp_extract_all(html, '(?s)<a href="([^"]*)">(.*?)</a>', 2) AS a,
+        list_transform(regexp_extract_all(html, '(?s)<a href="([^"]*)">(.*?)</a>', 1), lambda x: CASE WHEN x LIKE '/t%' THEN x || '.pdf' ELSE x END) AS h FROM pages))"""
+
 ORACLE = {
     "pages_scan": "SELECT page_id, url, length(html) AS n_chars FROM pages",
     "strip_tags": f"SELECT page_id, {_strip('html')} AS clean FROM pages",
     "clean_html": f"SELECT page_id, {_clean_sql('html')} AS clean FROM pages",
     "page_links": with_sql(_LINKS) + "SELECT page_id, pos, href FROM links",
     "resolve_links": with_sql(_LINKS) + f"SELECT page_id, pos, concat({_ORIGIN}, href) AS link FROM links",
-    "resolve_links_relative": with_sql(_LINKS) + """SELECT page_id, pos, CASE pos % 4
-        WHEN 0 THEN concat('http://h.example.org/a/x/a', pos) WHEN 1 THEN 'http://other.example.org/p'
-        WHEN 2 THEN concat('https://abs.example.org/', substring(href, 2)) ELSE 'http://h.example.org/root' END AS link FROM links""",
+    "resolve_links_relative": with_sql(_LINKS) + f"""SELECT page_id, pos, CASE pos % 4
+        WHEN 0 THEN concat({_ORIGIN}, regexp_extract(url, '^https?://[^/?#]+(/.*?)?[^/?#]*/[^/?#]*([?#].*)?$', 1), 'x/', substring(href, 2)) WHEN 1 THEN concat(regexp_extract(url, '^https?:'), '//other.example.org', href)
+        WHEN 2 THEN concat('https://abs.example.org/', substring(href, 2))
+        ELSE concat(regexp_extract(url, '^https?://[^/?#]+/([^?#]*/)?'), substring(href, 2)) END AS link FROM links""",
     "listing_blocks": with_sql(_PARTS) + """SELECT page_id, url, pos, block,
         lead(block) OVER (PARTITION BY page_id ORDER BY pos) AS next_block FROM parts""",
     "listing_papers": with_sql(_PARTS) + f"""SELECT page_id, CAST(2018 + page_id % 5 AS INT) AS year, pos,
         {_clean_sql("regexp_extract(block, '<a href=\"([^\"]*)\">(.*?)</a>', 2)")} AS title, '' AS authors,
         concat({_ORIGIN}, {_unescape("regexp_extract(block, '<a href=\"([^\"]*)\">(.*?)</a>', 1)")}) AS paper_url, '' AS pdf_url
         FROM parts""",
+    "listing_authors": with_sql(_PDF_PARTS) + f"""SELECT page_id, pos, {_clean_sql("body")} AS title,
+        trim({_clean_sql("body")}, ', ') AS authors, concat({_ORIGIN}, href) AS paper_url,
+        CASE WHEN href LIKE '%.pdf' THEN concat({_ORIGIN}, href)
+             WHEN lead(href) OVER (PARTITION BY page_id ORDER BY pos) LIKE '%.pdf' THEN concat({_ORIGIN}, lead(href) OVER (PARTITION BY page_id ORDER BY pos))
+             ELSE '' END AS pdf_url FROM parts""",
+    "listing_author_values": with_sql(_PDF_PARTS) + f"""SELECT page_id, pos, {_clean_sql("body")} AS title,
+        regexp_extract(href, '^/([^.]*)', 1) AS authors, concat({_ORIGIN}, href) AS paper_url,
+        CASE WHEN href LIKE '%.pdf' THEN concat({_ORIGIN}, href) ELSE '' END AS pdf_url FROM parts""",
+    "detail_nested": f"""SELECT page_id, url AS paper_url, trim(concat({_clean_sql("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}, ' end')) AS abstract,
+        '' AS pdf_url FROM pages""",
     "detail_fields": f"""SELECT page_id, url AS paper_url,
         {_clean_sql("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS abstract, '' AS pdf_url FROM pages""",
     "enrich_details": f"""WITH base AS (SELECT page_id, url, {_strip("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title,

@@ -55,6 +55,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/quillstream/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, its lineage cut, safe against lost executors."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, taken without running it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

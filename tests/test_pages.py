@@ -14,6 +14,7 @@ def now():
 
 BASE = "https://site.example.org/YEAR2024?day=all"
 
+# The golden listing and detail pages.
 LISTING = """<html><body><dl>
 <dt class="ptitle"><br><a href="content/html/example.html">Open-Vocabulary  Scene Understanding</a></dt>
 <dd>Alice Zhang, Bob Wang</dd>
@@ -68,6 +69,46 @@ def test_detail(spark):
     assert (rows["u2"]["abstract"], rows["u2"]["pdf_url"]) == ("", "")
 
 
+def test_nested_elements_come_out_whole(spark):
+    made = {
+        "nested": '<div id="abstract"><div>one</div> two</div> three',
+        "deep": '<DIV class="x" id="abstract">Abstract <div><div>a</div></div><divider>b</divider><div/> c<br></Div><div>d</div>',
+        "other": '<section><p id="abstract">p <b>q</b></p><p>r</p></section>',
+        "open": '<div id="abstract">never <div>closed</div> at all',
+        "first": '<div id="abstract"></div><div id="abstract">second</div>',
+        "none": "<div>no</div>", "empty": "", "null": None,
+    }
+    pages = spark.createDataFrame(list(made.items()), "url string, html string")
+    got = {r["paper_url"]: r["abstract"] for r in ops.detail_fields(pages).collect()}
+    assert got == {"nested": "one two", "deep": "a b c", "other": "p q", "open": "never closed at all", "first": "", "none": "", "empty": "", "null": ""}
+    flat = ops.DetailLayout(abstract=lexicon.ABSTRACT_ELEMENT, group=2)
+    got = {r["paper_url"]: r["abstract"] for r in ops.detail_fields(pages, flat).collect()}
+    assert got["nested"] == "one"
+
+
+def test_hot_url_is_dealt_out(spark):
+    n = 4000
+    rows = spark.range(n).select(
+        F.col("id"), F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), F.col("id"))).alias("paper_url"), F.lit("Nets").alias("title"),
+        F.lit("old").alias("abstract"), F.lit("").alias("pdf_url"), F.array(F.lit("k")).alias("keywords"))
+    details = spark.range(1, n, 4).select(F.concat(F.lit("u"), F.col("id")).alias("paper_url"), F.lit("deep").alias("abstract"), F.lit("d.pdf").alias("pdf_url"))
+    details = details.unionByName(spark.createDataFrame([("hot", "warm", "h.pdf")], details.schema))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        # a join that nothing but the salt can even out
+        for k, v in zip(before, ("-1", "false", "16")):
+            spark.conf.set(k, v)
+        out = records.enrich_details(rows, details).withColumn("task", F.spark_partition_id()).persist()
+        tasks = [r["n"] for r in out.groupBy("task").agg(F.count("*").alias("n")).collect()]
+        got = {r["id"]: r["abstract"] for r in out.collect()}
+        out.unpersist()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(tasks) < 2 * n / 16
+    assert got == {i: "warm" if i % 2 == 0 else "deep" if i % 4 == 1 else "old" for i in range(n)}
+
+
 def test_enrich(spark):
     rows = spark.createDataFrame(
         [(1, "u1", "Nets", "old", "", ["k"]), (2, "u1", "Twins", "old", "mine.pdf", ["k"]), (3, "u9", "Lost", "old", "", ["k"]),
