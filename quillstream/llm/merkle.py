@@ -53,20 +53,22 @@ def bitmap(rows: DataFrame) -> DataFrame:
 def directory(words: DataFrame) -> DataFrame:
     """``words`` with ``before``, the rows of the group before each, and ``total``, all of the group's.
 
-    Built upwards in steps of BRANCH_BITS until one parent has all words, so no
-    window holds more than its children, and summed downwards.
+    Built upwards in steps of BRANCH_BITS until a window can hold a whole level, so
+    that none holds more nodes than a parent has, and summed downwards. ``words`` is a
+    written table, and every level above it becomes one.
     """
     span = words.agg(F.min("word").alias("low"), F.max("word").alias("high")).first()
     low, high = span["low"] or 0, span["high"] or 0
     levels = [words.select("g", F.col("word").alias("node"), "n")]
-    while low >> BRANCH_BITS != high >> BRANCH_BITS:
+    while high - low >> BRANCH_BITS:
         low, high = low >> BRANCH_BITS, high >> BRANCH_BITS
-        levels.append(levels[-1].groupBy("g", F.shiftright("node", BRANCH_BITS).alias("node")).agg(F.sum("n").alias("n")))
+        level = levels[-1].groupBy("g", F.shiftright("node", BRANCH_BITS).alias("node")).agg(F.sum("n").alias("n"))
+        levels.append(written(level, "merkle-directory"))
     earlier = Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     above = None
     for k, nodes in reversed(list(enumerate(levels))):
         if above is None:
-            # the only parent, and the word of null ids, which comes first
+            # the highest level, and the word of null ids, which comes first
             whole = Window.partitionBy("g")
             summed = nodes.select("g", "node", F.coalesce(F.sum("n").over(earlier.partitionBy("g")), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
         else:
@@ -75,7 +77,7 @@ def directory(words: DataFrame) -> DataFrame:
             own, up = own.alias("own"), above.alias("up")
             summed = own.join(up, (F.col("own.g") == F.col("up.g")) & F.col("own.parent").eqNullSafe(F.col("up.node"))).select(
                 "own.g", "own.node", (F.col("up.before") + F.col("own.own")).alias("before"), "up.total")
-        above = summed
+        above = written(summed, "merkle-directory") if k else summed
     left, right = words.alias("w"), above.alias("d")
     return left.join(right, (F.col("w.g") == F.col("d.g")) & F.col("w.word").eqNullSafe(F.col("d.node"))).select("w.*", "d.before", "d.total")
 
@@ -106,7 +108,7 @@ def coordinates(rows: DataFrame) -> DataFrame:
     or have none, are ordered by leaf behind the rows before them; equal leaves
     take neighbouring places.
     """
-    words = written(directory(bitmap(rows)), "merkle-words")
+    words = written(directory(written(bitmap(rows), "merkle-bitmap")), "merkle-words")
     joined = rows.withColumn("_w", F.shiftright("id", 6)).alias("r").join(
         words.select(F.col("g").alias("_g"), "word", "bits", "repeats", "before", "total").alias("w"), (F.col("r.g") == F.col("_g")) & F.col("_w").eqNullSafe(F.col("word")))
     at = F.expr("CAST(id & 63 AS INT)")
