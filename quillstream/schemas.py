@@ -56,6 +56,16 @@ LEDGER = T.StructType([
     T.StructField("first_seen_at", T.TimestampType()),
 ])
 
+LEDGER_BASE = T.StructType([*LEDGER.fields, T.StructField("bucket", T.IntegerType())])
+
+# Bloom filters of the base's ids.
+LEDGER_FILTER = T.StructType([
+    T.StructField("bucket", T.IntegerType()),
+    T.StructField("segments", T.IntegerType()),
+    T.StructField("segment", T.IntegerType()),
+    T.StructField("bits", T.BinaryType()),
+])
+
 COUNTER_DELTA = T.StructType([
     T.StructField("counter", T.StringType()),
     T.StructField("value", T.StringType()),

@@ -12,28 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 from quillstream.functions.text import parse_instant
 from quillstream.operators import ingest as ops
 from quillstream.schemas import LIST_FIELDS, PAPER_PAYLOAD
-from quillstream.session import BROADCAST_LIMIT_BYTES
+from quillstream.streaming.ledger import StoredLedger
 from quillstream.streaming.tables import BatchTables
 
 CHECKPOINT_INTERVAL = "30 seconds"
 
 
-def unseen(keys: DataFrame, ledger: DataFrame, key: str = "source_id", limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Rows of ``keys`` (one per key, already persisted) that the ledger lacks.
-
-    The ledger is the big side. When the batch's keys measure at most ``limit``
-    bytes they are broadcast to it: the ledger is scanned in place and only its
-    matches move. Beyond the limit both sides are shuffled by key.
-    """
-    size = keys.agg(F.coalesce(F.sum(F.octet_length(key) + 16), F.lit(0))).head()[0]
-    if size <= limit:
-        known = ledger.select(key).join(F.broadcast(keys.select(key)), key, "left_semi").distinct()
-    else:
-        known = ledger.select(key).distinct()
-    return keys.join(known, key, "left_anti")
-
-
-def batch_frames(events: DataFrame, ledger: DataFrame, now: Column, strict_instant: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+def batch_frames(events: DataFrame, ledger: StoredLedger, now: Column, strict_instant: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """The rows a batch adds to each table, and the frame to release afterwards.
 
     Facts take the last event of a key, counters the first event of a key the
@@ -46,7 +31,7 @@ def batch_frames(events: DataFrame, ledger: DataFrame, now: Column, strict_insta
         F.max("seq").alias("last_seq"),
     ).select("source_id", "_new.*", "first_seq", "last_seq", now.alias("created_at"), now.alias("loaded_at"))
     firsts = ops.first_events(events.select("source_id", "seq", "year", *LIST_FIELDS)).persist(StorageLevel.MEMORY_AND_DISK)
-    new = unseen(firsts, ledger)
+    new = ledger.unseen(firsts)
     frames = {
         "papers": papers,
         "dimensions": ops.all_dimension_rows(events),
@@ -67,7 +52,7 @@ def load_batch(tables: BatchTables, messages: DataFrame, source: str, source_bat
         return False
     stamp = F.lit(now or datetime.now(timezone.utc)).cast("timestamp")
     parsed = ops.check_lengths(ops.parse_events(messages), limits or {}).persist(StorageLevel.MEMORY_AND_DISK)
-    frames, firsts = batch_frames(ops.valid_events(parsed), tables.read("ledger"), stamp, strict_instant)
+    frames, firsts = batch_frames(ops.valid_events(parsed), tables.stored_ledger(), stamp, strict_instant)
     frames["quarantine"] = ops.quarantined(parsed, fail_fast).select("seq", "value", "reason")
     try:
         tables.publish(source, source_batch, frames)

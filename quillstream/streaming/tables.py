@@ -10,22 +10,28 @@ batches bounded.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from quillstream import schemas
 from quillstream.operators.perkey import any_differs
 from quillstream.schemas import PAPER_PAYLOAD
+from quillstream.streaming.ledger import StoredLedger, based, filters
 
 TABLES = {
     "papers": schemas.PAPER_DELTA,
     "dimensions": schemas.DIMENSION,
     "ledger": schemas.LEDGER,
+    "ledger_base": schemas.LEDGER_BASE,
+    "ledger_filters": schemas.LEDGER_FILTER,
     "counters": schemas.COUNTER_DELTA,
     "quarantine": schemas.QUARANTINE,
 }
 
 # Tables whose readers want one kind of row: each kind is a folder of its own.
-_SPLIT_BY = {"dimensions": "dimension", "counters": "counter"}
+_SPLIT_BY = {"dimensions": "dimension", "counters": "counter", "ledger_base": "bucket"}
 
 _COMMITS = "commits"
 _COMMIT_SCHEMA = T.StructType([
@@ -35,6 +41,13 @@ _COMMIT_SCHEMA = T.StructType([
 _BATCH = T.StructField("batch_id", T.LongType())
 
 
+def _together(do: Callable, items: Iterable) -> None:
+    """Jobs that do not depend on each other share the cluster; the first failure is raised."""
+    items = list(items)
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        list(pool.map(do, items))
+
+
 class BatchTables:
     """The tables under one shared root folder; one streaming query writes to it."""
 
@@ -42,12 +55,16 @@ class BatchTables:
         self.spark = spark
         self.root = root.rstrip("/")
         self.tables = TABLES if tables is None else tables
-        for name, schema in {**self.tables, _COMMITS: _COMMIT_SCHEMA}.items():
-            # An empty part gives every table a readable schema before the first batch.
-            split = _SPLIT_BY.get(name)
-            empty = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != split])
-            folder = f"{self._path(name)}/batch_id=-1" + (f"/{split}=none" if split else "")
-            empty.coalesce(1).write.mode("ignore").parquet(folder)
+        _together(self._create, {**self.tables, _COMMITS: _COMMIT_SCHEMA}.items())
+
+    def _create(self, table: tuple[str, T.StructType]) -> None:
+        """An empty part gives a table a readable schema before the first batch."""
+        name, schema = table
+        split = _SPLIT_BY.get(name)
+        empty = self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != split])
+        none = "-1" if split and schema[split].dataType == T.IntegerType() else "none"
+        folder = f"{self._path(name)}/batch_id=-1" + (f"/{split}={none}" if split else "")
+        empty.coalesce(1).write.mode("ignore").parquet(folder)
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -81,13 +98,16 @@ class BatchTables:
         return batch_id
 
     def _write(self, batch_id: int, frames: dict[str, DataFrame]) -> None:
-        for name, frame in frames.items():
+        def write(table: tuple[str, DataFrame]) -> None:
+            name, frame = table
             columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.tables[name].fields]
             writer = frame.select(*columns).write.mode("overwrite")
             if name in _SPLIT_BY:
                 writer = writer.partitionBy(_SPLIT_BY[name])
             writer.parquet(f"{self._path(name)}/batch_id={batch_id}")
 
+        _together(write, frames.items())
+
     def _commit(self, batch_id: int, commits: DataFrame) -> None:
         # One file, so it appears in one rename.
         commits.coalesce(1).write.mode("overwrite").parquet(f"{self._path(_COMMITS)}/batch_id={batch_id}")
@@ -130,8 +150,12 @@ class BatchTables:
     def dimension(self, name: str) -> DataFrame:
         return self.read("dimensions").where(F.col("dimension") == name).select("source_id", "value").distinct()
 
+    def stored_ledger(self) -> StoredLedger:
+        return StoredLedger(self.read("ledger"), self.read("ledger_base"), self.read("ledger_filters"))
+
     def ledger(self) -> DataFrame:
-        return self.read("ledger").groupBy("source_id").agg(
+        parts = self.read("ledger").unionByName(self.read("ledger_base").drop("bucket"))
+        return parts.groupBy("source_id").agg(
             F.min("first_seq").alias("first_seq"), F.min("first_seen_at").alias("first_seen_at"))
 
     def all_counters(self) -> DataFrame:
@@ -155,7 +179,10 @@ class BatchTables:
         folds = {
             "papers": lambda: self._folded_papers().withColumnRenamed("id", "first_seq").withColumnRenamed("updated_at", "loaded_at"),
             "dimensions": lambda: self.read("dimensions").select("dimension", "source_id", "value").distinct(),
-            "ledger": self.ledger,
+            # all of it becomes the base
+            "ledger": lambda: self.read("ledger").limit(0),
+            "ledger_base": lambda: based(self.ledger()),
+            "ledger_filters": lambda: filters(self.ledger()),
             "counters": self.all_counters,
             "quarantine": self.quarantine,
         }

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from quillstream.operators import ingest as ops
 from quillstream.sources.messages import file_stream, text_stream
 from quillstream.streaming import state
-from quillstream.streaming.ingest import load_batch, start_ingest, unseen
+from quillstream.streaming import ledger
+from quillstream.streaming.ingest import load_batch, start_ingest
+from quillstream.streaming.ledger import unseen
 from quillstream.streaming.tables import BatchTables
 from quillstream.plans.dashboard import dashboard, stored_tables
 
@@ -162,3 +165,46 @@ def test_text_stream(spark, tmp_path):
     query, tables = state.start_upserts(text_stream(spark, str(tmp_path / "in")), spark, str(tmp_path / "t"), str(tmp_path / "cp"))
     query.awaitTermination()
     assert sorted(r["value"] for r in tables.read("state").collect()) == ["one", "two"]
+
+
+def test_folded_ledger_is_looked_up_in_few_buckets(spark, tmp_path):
+    def send(tables, ids, batch):
+        rows = [(i, json.dumps({"source_id": f"id-{i}", "title": "t", "year": 1, "crawled_at": "2026-01-01T00:00:00Z"})) for i in ids]
+        load_batch(tables, spark.createDataFrame(rows, "seq bigint, value string"), "job", batch, AT)
+
+    tables = BatchTables(spark, str(tmp_path / "a"))
+    send(tables, range(0, 3000), 0)
+    send(tables, range(2000, 5000), 1)
+    folded = tables.fold_into(str(tmp_path / "b"))
+    assert folded.read("ledger").count() == 0 and folded.read("ledger_base").count() == 5000
+    assert sorted(folded.ledger().collect()) == sorted(tables.ledger().collect())
+    # a second fold keeps the first one's ids
+    send(folded, range(4990, 5010), 2)
+    assert dict(folded.all_counters().select("counter", "paper_count").collect())["yearly"] == 5010
+    again = folded.fold_into(str(tmp_path / "c"))
+    assert again.read("ledger_base").count() == 5010
+
+    stored = again.stored_ledger()
+    keys = spark.createDataFrame([("id-7",), ("id-4999",), ("id-5005",)] + [(f"new-{i}",) for i in range(40)], "source_id string").persist()
+    known = stored.known(keys)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "source_id#" in line and "bucket#" in line]
+    assert scans and all(re.search(r"PartitionFilters: \[.*bucket#\d+ IN|INSET", line) for line in scans), plan
+    # the ledger stays where it is: what is exchanged is the matches, after the broadcast join
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r["source_id"] for r in known.collect()} == {"id-7", "id-4999", "id-5005"}
+    buckets = {r[0] for r in ledger.maybe_known(keys, stored.bloom).select("bucket").collect()}
+    assert len(buckets) < 8
+    assert stored.base.where(F.col("bucket").isin(list(buckets))).count() < 5010 / 6
+    assert {r["source_id"] for r in stored.unseen(keys).collect()} == {f"new-{i}" for i in range(40)}
+    assert stored.known(spark.createDataFrame([("never",)], "source_id string")) is None
+
+
+def test_filters_pass_what_they_hold_and_little_else(spark):
+    ids = spark.range(60_000).select(F.concat(F.lit("p"), F.col("id")).alias("source_id"))
+    bloom = ledger.filters(ids, buckets=4).persist()
+    assert bloom.select("segments").distinct().collect()[0][0] == 5
+    assert ledger.maybe_known(ids, bloom, buckets=4).count() == 60_000
+    others = spark.range(60_000).select(F.concat(F.lit("q"), F.col("id")).alias("source_id"))
+    assert ledger.maybe_known(others, bloom, buckets=4).count() < 1_800
+    bloom.unpersist()
