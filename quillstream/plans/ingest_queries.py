@@ -17,6 +17,7 @@ from quillstream.plans.dashboard import dashboard, stored_tables
 from quillstream.plans.keyword_sql import STOP_LIST
 from quillstream.schemas import LIST_FIELDS
 from quillstream.session import pin_session, shared_dir
+from quillstream.sources.change_table import change_stream
 from quillstream.sources.files import read_table
 from quillstream.sources.messages import file_stream
 from quillstream.streaming import feed, state
@@ -283,6 +284,19 @@ def _poll_cursor(spark, folder):
     return changes.poll_cursor(_updated_after_pair(spark, folder), _after(), F.lit(282).cast("bigint"))
 
 
+def _watch_changes(spark, folder):
+    """A watcher whose log fails: it polls, is started again when the table has more, and sends every change once."""
+    papers = papers_text(spark, folder).select((F.col("id") % 3).alias("id"), "source_id", "year",
+                                               F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 1) * cast(floor(id / 50) as int)").alias("updated_at"))
+    root = shared_dir(spark, "watch")
+    half = papers.agg(F.timestamp_micros(F.percentile_approx(F.unix_micros("updated_at"), 0.5))).scalar()
+    watcher = feed.ChangeWatcher(pin_session(spark), f"{root}/watcher")
+    for part, rows in enumerate((papers.where(F.col("updated_at") <= half), papers.where(F.col("updated_at") > half))):
+        rows.write.parquet(f"{root}/table/part={part}")
+        watcher.run(lambda: file_stream(spark, f"{root}/no log", schema=papers.schema), lambda: change_stream(spark, f"{root}/table", papers.schema, datetime(2020, 1, 1)), ONCE)
+    return watcher.events().select("via", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "id", "source_id", "event")
+
+
 def _poll_walk(spark, folder):
     """All polls over changes of which more than a poll pulls share time and id."""
     papers = papers_text(spark, folder).select((F.col("id") % 3).alias("id"), "source_id", F.lit(datetime(2024, 1, 1, 12)).alias("updated_at"))
@@ -336,6 +350,7 @@ QUERIES = {
     "updated_after_pair": _updated_after_pair,
     "poll_cursor": _poll_cursor,
     "poll_walk": _poll_walk,
+    "watch_changes": _watch_changes,
 }
 
 _M = with_sql(MESSAGES_SQL)
@@ -442,4 +457,7 @@ ORACLE = {
     "poll_cursor": _TIMED + f"""SELECT coalesce(max(updated_at), TIMESTAMP '{_AFTER}') AS updated_at,
         coalesce(arg_max(id, (updated_at, id)), 282) AS id FROM ({_PAIR})""",
     "poll_walk": _POLLS,
+    "watch_changes": "WITH " + TEXT_SQL + """ SELECT 'poll' AS via, updated_at, id, source_id, concat('{"type":"paper.updated","payload":{"id":', id,
+        ',"source_id":"', source_id, '","year":', year, ',"updated_at":"', strftime(updated_at, '%Y-%m-%dT%H:%M:%S.000Z'), '"}}') AS event
+        FROM (SELECT id % 3 AS id, source_id, year, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * CAST(floor(id / 50) AS INT) AS updated_at FROM papers_t)""",
 }

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from quillstream import lexicon
-from quillstream.operators.changes import change_events, change_rows, poll_cursor, project_images, updated_after
+from quillstream.operators.changes import change_events, change_rows, project_images, updated_after
+from quillstream.streaming.tables import BatchTables
+
+# One row per notification; ``via`` is the way by which it came.
+EVENT = T.StructType([
+    T.StructField("via", T.StringType()),
+    T.StructField("updated_at", T.TimestampType()),
+    T.StructField("id", T.LongType()),
+    T.StructField("source_id", T.StringType()),
+    T.StructField("event", T.StringType()),
+])
 
 LOOK_BACK = timedelta(hours=24)
 POLL_INTERVAL = "3 seconds"
@@ -24,19 +38,67 @@ def log_events(log: DataFrame, schema: str, table: str, now, start: int = -1) ->
 def poll(papers: DataFrame, cursor: tuple, limit: int = lexicon.POLL_LIMIT) -> tuple[DataFrame, tuple]:
     """One poll: the events of at most ``limit`` changes, and the next cursor.
 
-    The changes are pulled once and kept, so cursor and events are of the same
-    rows. Only the cursor, one row, comes to the driver. It is (updated_at, id,
-    source_id) where there are source_ids, as ids may repeat; a pair, the initial
-    cursor, is taken too.
+    The changes of a poll, a page of at most ``limit`` rows, come to the driver, so
+    that cursor and events are of the same rows and nothing stays behind. The cursor
+    is (updated_at, id, source_id) where there are source_ids, as ids may repeat; a
+    pair, the initial cursor, is taken too.
     """
     after, after_id, *key = map(F.lit, cursor)
-    pulled = updated_after(papers, after, after_id, limit, *key).persist()
-    if not key and "source_id" in papers.columns:
-        key = [F.lit(None).cast("string")]
-    last = tuple(poll_cursor(pulled, after, after_id, *key).head())
-    # A pair that nothing followed stays one.
-    return change_events(pulled), last if last[-1] is not None else last[:2]
+    rows = updated_after(papers, after, after_id, limit, *key).collect()
+    pulled = papers.sparkSession.createDataFrame(rows, papers.schema)
+    if rows:
+        cursor = tuple(rows[-1][c] for c in ("updated_at", "id", "source_id") if c in papers.columns)
+    return change_events(pulled), cursor
 
 
 def initial_cursor(now: datetime) -> tuple[datetime, int]:
     return now - LOOK_BACK, -1
+
+
+def event_rows(papers: DataFrame) -> DataFrame:
+    """Changed records with their notification; works on a stream and on a table."""
+    body = F.struct(F.lit(lexicon.CHANGE_EVENT).alias("type"), F.struct(*[c for c in papers.columns if c != "seq"]).alias("payload"))
+    return papers.select(F.col("updated_at").cast("timestamp").alias("updated_at"), F.col("id").cast("bigint").alias("id"), "source_id",
+                         F.to_json(body, {"ignoreNullFields": "false"}).alias("event"))
+
+
+class ChangeWatcher:
+    """Notifications of changed records, kept in a table: from the change log, or by polling where that fails.
+
+    Each way has a checkpoint of its own, which holds its cursor, and every batch
+    becomes visible once, so a restarted watcher neither loses nor repeats one. What
+    one way has sent the other leaves out.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root = root.rstrip("/")
+        self.tables = BatchTables(spark, f"{self.root}/events", {"events": EVENT})
+
+    def events(self) -> DataFrame:
+        return self.tables.read("events").drop("batch_id")
+
+    def start(self, via: str, changes: DataFrame, trigger: dict | None = None) -> StreamingQuery:
+        """Start one way on a stream of changed records: their columns, ``updated_at``, ``id`` and ``source_id`` among them."""
+        checkpoint = f"{self.root}/{via}"
+
+        def write(frame: DataFrame, batch_id: int) -> None:
+            if self.tables.is_loaded(checkpoint, batch_id):
+                return
+            # an event that came the other way has the same text; only as old ones as the batch's are looked at
+            oldest = frame.agg(F.min("updated_at")).scalar()
+            other = self.events().where((F.col("via") != via) & (F.col("updated_at") >= oldest)).select("source_id", "event").distinct()
+            self.tables.publish(checkpoint, batch_id, {"events": frame.join(other, ["source_id", "event"], "left_anti").withColumn("via", F.lit(via))})
+
+        writer = event_rows(changes).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"processingTime": POLL_INTERVAL})).start()
+
+    def run(self, log: Callable[[], DataFrame] | None, polled: Callable[[], DataFrame], trigger: dict | None = None) -> str:
+        """Follow the log until it ends; poll if it fails. Returns the way taken last."""
+        if log is not None:
+            try:
+                self.start("log", log(), trigger).awaitTermination()
+                return "log"
+            except PySparkException as error:
+                warnings.warn(f"change log unavailable, polling instead: {str(error)[:200]}", stacklevel=2)
+        self.start("poll", polled(), trigger).awaitTermination()
+        return "poll"
