@@ -12,6 +12,7 @@ independently and combined by a prefix scan.
 
 from __future__ import annotations
 
+import functools
 import json
 from functools import reduce
 
@@ -26,7 +27,9 @@ CHUNK_CHARS = 1 << 18
 SPREAD_CHARS = 1 << 22
 #: The lazily built parts of the transducer are thrown away and rebuilt beyond these sizes.
 MAX_STATES = 200_000
-MAX_WORDS = 1_000_000
+#: Words remembered in each of two generations, and the longest ones: together a bound in bytes.
+MAX_WORDS = 700_000
+MAX_CHARS = 64
 
 #: No characters yet: the only place is the start itself.
 START = ("", ((0, None, 0),))
@@ -40,6 +43,7 @@ class Transducer:
             raise ValueError("a transducer is compiled for BPE models")
         self.model = model
         self.words: dict[str, int] = {}
+        self.before: dict[str, int] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -89,9 +93,13 @@ class Transducer:
         """A word from start to start: one transition with its whole count."""
         count = self.words.get(word)
         if count is None:
-            if len(self.words) > MAX_WORDS:
-                self.words.clear()
-            count = self.words[word] = self.run(START, SPACE + word)[1]
+            count = self.before.get(word)
+            if count is None:
+                count = self.run(START, SPACE + word)[1]
+            if len(word) <= MAX_CHARS:
+                if len(self.words) >= MAX_WORDS:
+                    self.words, self.before = {}, self.words
+                self.words[word] = count
         return count
 
     def chunk_map(self, chunk: str) -> dict:
@@ -111,8 +119,11 @@ class Transducer:
         """Count of escaped text that starts with a blank and is followed by one."""
         parts = body[1:].split(SPACE)
         if "" not in parts:
-            known = self.words
-            return sum([known[p] if p in known else self.word(p) for p in parts])
+            total, word = 0, self.word
+            for p in parts:
+                count = self.words.get(p)
+                total += word(p) if count is None else count
+            return total
         total, blanks = 0, 0
         for part in parts:
             if part:
@@ -154,6 +165,12 @@ def _first_word(text: str) -> int | None:
     return None
 
 
+@functools.lru_cache(maxsize=2)
+def compiled(model_path: str) -> Transducer:
+    """One transducer for each model and Python worker, whose later tasks find what earlier ones have compiled."""
+    return Transducer(PieceModel.load(model_path))
+
+
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, spread_chars: int = SPREAD_CHARS,
                  chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs`` (doc_id, text).
@@ -168,7 +185,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, spread_cha
     schema = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
     def make():
-        machine = Transducer(PieceModel.load(model_path))
+        machine = compiled(model_path)
 
         def work(c):
             return {"doc_id": c["doc_id"], "n_bytes": c["n_bytes"], "n_tokens": [machine.count(t, chunk_chars) for t in c["text"]]}
@@ -190,14 +207,14 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, spread_cha
         return work
 
     def map_chunks():
-        machine = Transducer(PieceModel.load(model_path))
+        machine = compiled(model_path)
 
         def work(c):
             return {**c, "map": [json.dumps(machine.chunk_map(t)) for t in c["text"]]}
         return work
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        machine = Transducer(PieceModel.load(model_path))
+        machine = compiled(model_path)
         maps = [_loaded(m) for m in group.sort_values("chunk")["map"]]
         first = group.iloc[:1]
         return pd.DataFrame({"doc_id": first["doc_id"], "n_bytes": first["n_bytes"], "n_tokens": [machine.total(reduce(machine.compose, maps))]})
