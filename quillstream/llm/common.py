@@ -20,13 +20,45 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+#: Folders that ``written`` has made and nobody has deleted, in order.
+_made: list[str] = []
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors."""
     path = shared_dir(df.sparkSession, purpose)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The folders written while it was open; ``delete`` removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.start = len(_made)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.paths += _made[self.start:]
+        del _made[self.start:]
+
+    def delete(self, reader: DataFrame | None = None) -> None:
+        """Delete the folders, but those from which ``reader`` still reads."""
+        used = reader.inputFiles() if reader is not None and self.paths else []
+        # a listed file names its store, the folder may not
+        kept = {p for p in self.paths for f in used if f"{p.split(':', 1)[-1].lstrip('/')}/" in f}
+        context = self.spark.sparkContext
+        for path in self.paths:
+            if path not in kept:
+                folder = context._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = [p for p in self.paths if p in kept]
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = 256) -> DataFrame:
     """Arrow batches through a function of column lists.
 
