@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from quillstream import lexicon
@@ -83,3 +85,53 @@ def parse_instant(c: Column, now: Column, strict: bool = False) -> Column:
 def fold_key(c: Column, collation: str | None) -> Column:
     """Grouping key under a collation, or the value itself (binary equality)."""
     return F.collate(c, collation) if collation else c
+
+
+def _plain(ch: str) -> str | None:
+    """A letter without its marks, or None for one that has none."""
+    parts = unicodedata.normalize("NFD", ch)
+    return parts[0] if len(parts) > 1 and all(unicodedata.combining(p) for p in parts[1:]) else None
+
+
+# Lower-case letters with marks, by rule from the blocks of Latin, Greek and Cyrillic letters.
+_MARKED = {chr(c): _plain(chr(c)) for low, high in ((0xC0, 0x530), (0x1E00, 0x2000)) for c in range(low, high) if chr(c).islower() and _plain(chr(c))}
+
+
+def fold_text(c: Column) -> Column:
+    """Lower case without accents, ``ß`` as ``ss``: equal for texts that differ in those only."""
+    plain = F.translate(F.lower(c), "".join(_MARKED), "".join(_MARKED.values()))
+    return F.replace(F.regexp_replace(plain, r"\p{Mn}+", ""), F.lit("ß"), F.lit("ss"))
+
+
+def collation_key(c: Column) -> Column:
+    """Key under which spellings are one value: case, accents and trailing blanks do not count."""
+    return fold_text(F.rtrim(c))
+
+
+def folded(text: str) -> str:
+    """``fold_text`` of a value at hand."""
+    marks = "".join(ch for ch in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(ch))
+    return unicodedata.normalize("NFC", marks).replace("ß", "ss")
+
+
+def contains_pattern(q: str) -> str:
+    """Regular expression that finds ``%q%`` of LIKE: ``%`` any text, ``_`` one code point, a backslash before
+    them or itself takes them literally.
+
+    The pieces between ``%`` are met from left to right, each at its first place behind
+    the one before, and kept there: if any way through a text exists that one does,
+    so none is given up and the time is linear in the text.
+    """
+    pieces, literal = [""], False
+    for ch in q:
+        if ch == "\\" and not literal:
+            literal = True
+            continue
+        if literal or ch not in "%_":
+            pieces[-1] += f"\\x{ord(ch):02x}" if ord(ch) < 128 else ch
+        elif ch == "_":
+            pieces[-1] += "."
+        else:
+            pieces.append("")
+        literal = False
+    return "(?s)^" + "".join(f"(?>.*?{p})" for p in pieces if p)

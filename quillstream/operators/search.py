@@ -7,10 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillstream import lexicon
+from quillstream.functions.text import contains_pattern, fold_text, folded
 from quillstream.operators.ranks import By, by, page
 
-ACCENT_FOLD = "UNICODE_CI_AI"
-
 # Beyond this many rows a page is located on its keys instead of by a top-k, whose
 # single merge would hold every row up to the page. Both give the same rows.
 DEEP_PAGE = 1_000
@@ -25,14 +24,14 @@ def like_pattern(q: str) -> str:
 def matches(q: str = "", year: int = 0, fold_accents: bool = False) -> Column:
     """Conjunction of the predicates that were given; true when none was.
 
-    Text matching ignores case and lets ``%`` and ``_`` act as wildcards.
-    ``fold_accents`` also ignores accents but takes ``q`` literally.
+    Text matching ignores case and lets ``%`` and ``_`` act as wildcards;
+    ``fold_accents`` also ignores accents.
     """
     condition = F.lit(True)
     if q:
         if fold_accents:
-            needle = F.collate(F.lit(q), ACCENT_FOLD)
-            text = F.contains(F.collate("title", ACCENT_FOLD), needle) | F.contains(F.collate("abstract", ACCENT_FOLD), needle)
+            pattern = contains_pattern(folded(q))
+            text = fold_text(F.col("title")).rlike(pattern) | fold_text(F.col("abstract")).rlike(pattern)
         else:
             pattern = like_pattern(q)
             text = F.col("title").ilike(pattern) | F.col("abstract").ilike(pattern)

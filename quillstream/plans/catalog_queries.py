@@ -141,6 +141,7 @@ QUERIES = {
     "search_text": _found("the and"),
     "search_text_wildcard": _found("th_t%is"),
     "search_text_accents": lambda s, d: _found("ETRE", fold_accents=True)(s, d).select("id", "source_id", "year"),
+    "search_text_accents_wildcard": lambda s, d: _found("Ètr_%pä%VI", fold_accents=True)(s, d).select("id", "source_id", "year"),
     "search_year": _found(year=2022),
     "search_q_year": _page("THE", 2021, 12, 0),
     "search_page": _page("la", 0, 12, 24),
@@ -219,6 +220,8 @@ ORACLE = {
     "search_all": _T + "SELECT * FROM papers_t ORDER BY year DESC, id DESC LIMIT 20",
     "search_text": _T + "SELECT * FROM papers_t WHERE title ILIKE '%the and%' OR abstract ILIKE '%the and%'",
     "search_text_wildcard": _T + "SELECT * FROM papers_t WHERE title ILIKE '%th_t%is%' OR abstract ILIKE '%th_t%is%'",
+    "search_text_accents_wildcard": _T + " SELECT id, source_id, year FROM papers_t WHERE " + " OR ".join(
+        f"replace(strip_accents(lower({c})), 'ß', 'ss') LIKE '%{q}%'" for c in ("title", "abstract") for q in ["etr_%pa%vi"]),
     "search_text_accents": _T + """SELECT id, source_id, year FROM papers_t
         WHERE contains(strip_accents(lower(title)), 'etre') OR contains(strip_accents(lower(abstract)), 'etre')""",
     "search_year": _T + "SELECT * FROM papers_t WHERE year = 2022",

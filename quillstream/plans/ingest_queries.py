@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillstream import lexicon
 from quillstream.operators import changes, ingest as ops
@@ -15,11 +15,11 @@ from quillstream.plans.adapters import (CHANGES_SQL, EVENTS, EVENTS_SQL, MESSAGE
                                         message_rows, messages, now_column, papers_text, with_sql)
 from quillstream.plans.dashboard import dashboard, stored_tables
 from quillstream.plans.keyword_sql import STOP_LIST
-from quillstream.schemas import LIST_FIELDS
+from quillstream.schemas import LIST_FIELDS, MESSAGE
 from quillstream.session import pin_session, shared_dir
 from quillstream.sources.change_table import change_stream
 from quillstream.sources.files import read_table
-from quillstream.sources.messages import file_stream
+from quillstream.sources.messages import file_stream, numbered, text_stream
 from quillstream.streaming import feed, state
 from quillstream.streaming.ingest import load_batch, start_ingest
 from quillstream.streaming.tables import BatchTables
@@ -183,6 +183,19 @@ def _stream_source(spark, folder):
     return tables.read("state").select("seq", F.col("value").endswith("}").alias("complete"))
 
 
+def _stream_text(spark, folder):
+    """Lines of text files, numbered as they come: in the order of each file's lines."""
+    root = shared_dir(spark, "text")
+    ids = read_table(pin_session(spark), folder, "events").select(F.col("event_id").alias("id"))
+    ids.repartition(3, F.col("id") % 3).sortWithinPartitions("id").select(F.col("id").cast("string").alias("value")).write.text(f"{root}/in")
+    query, tables = state.start_upserts(text_stream(spark, f"{root}/in", max_files=2), spark, f"{root}/tables", f"{root}/checkpoint", prepare=numbered, schema=MESSAGE)
+    query.awaitTermination()
+    rows = tables.read("state").select("seq", F.col("value").cast("bigint").alias("event_id"))
+    # files are read apart by what they hold; a task may have written several groups into one
+    line = F.row_number().over(Window.partitionBy(F.col("event_id") % 3).orderBy("seq")) - 1
+    return rows.select("event_id", line.alias("line"), (F.count("*").over(Window.partitionBy("seq")) == 1).alias("alone"))
+
+
 def _finish(spark, root, changes_stream, **reduced):
     query, tables = state.start_upserts(changes_stream, spark, f"{root}/tables", f"{root}/checkpoint", **reduced)
     query.awaitTermination()
@@ -330,6 +343,7 @@ QUERIES = {
     "rebuild_yearly_messages": _rebuild_from_messages,
     "ingest_atomic": _ingest_atomic,
     "stream_source": _stream_source,
+    "stream_text": _stream_text,
     "stream_ingest": _stream_ingest,
     "stream_dimensions": _stream_dims,
     "stream_replay": _stream_replay,
@@ -431,6 +445,7 @@ ORACLE = {
     "stream_replay": _ALL_COUNTERS,
     "stream_folded": _ALL_COUNTERS,
     "stream_source": _E + "SELECT seq, k % 23 <> 5 AS complete FROM ev",
+    "stream_text": "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) - 1 AS INT) AS line, true AS alone FROM events",
     "stream_ingest": _M + f"""SELECT source_id, min(seq) AS id, arg_max(year, seq) AS year, arg_max(title, seq) AS title,
         arg_max(abstract, seq) AS abstract, arg_max(paper_url, seq) AS paper_url, '' AS pdf_url, arg_max(crawled_at, seq) AS crawled_at,
         TIMESTAMP '{NOW}' AS created_at, TIMESTAMP '{NOW}' AS updated_at FROM good GROUP BY 1""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillstream.schemas import MESSAGE
 
@@ -34,13 +34,26 @@ def file_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema=MES
 
 
 def text_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """One message per line of text files, ordered by file time.
+    """Lines of text files as ``(at, file, block, value)``, to be ``numbered`` per batch.
 
-    Lines of one file share their ``seq``; write ``(seq, value)`` files where
-    the order inside a file matters.
+    ``at`` is the file's time and ``block`` where in the file a task began to read.
     """
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    arrival = F.unix_micros("_metadata.file_modification_time").alias("seq")
-    return reader.load(path).select(arrival, "value")
+    return reader.load(path).select(
+        F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def numbered(lines: DataFrame, batch_id: int) -> DataFrame:
+    """``(seq, value)`` of a batch of ``text_stream``: unique, by file time, file and place in the file.
+
+    ``seq`` holds the batch above the place in it. Only blocks, some a file, are put
+    in order; lines are counted where they are, as a task reads a block from line to line.
+    """
+    lines = lines.withColumn("line", F.monotonically_increasing_id())
+    blocks = lines.groupBy("at", "file", "block").agg(F.min("line").alias("first"), F.count("*").alias("n"))
+    upto = Window.orderBy("at", "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", (F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("first")).alias("shift"))
+    place = F.lit(batch_id << OFFSET_BITS).cast("bigint") + F.col("line") + F.col("shift")
+    return lines.join(starts, ["file", "block"]).select(place.alias("seq"), "value")

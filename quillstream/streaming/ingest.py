@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quillstream.functions.text import parse_instant
 from quillstream.operators import ingest as ops
 from quillstream.schemas import LIST_FIELDS, PAPER_PAYLOAD
+from quillstream.sources.messages import numbered
 from quillstream.streaming.ledger import StoredLedger
 from quillstream.streaming.tables import BatchTables
 
@@ -69,10 +70,13 @@ def start_ingest(messages: DataFrame, tables: BatchTables, checkpoint: str, trig
     new checkpoint re-reads the source from its start; the ledger keeps the
     counters right.
 
-    ``clock`` gives the load time of a batch; the default is the wall clock.
+    ``clock`` gives the load time of a batch; the default is the wall clock. Lines
+    of a text stream are numbered batch by batch.
     """
 
     def write(frame: DataFrame, batch_id: int) -> None:
+        if "seq" not in frame.columns:
+            frame = numbered(frame, batch_id)
         # A topic with few partitions would parse on as few cores; a batch is
         # bounded by the source's rate limit, so re-spreading it is cheap.
         cores = frame.sparkSession.sparkContext.defaultParallelism

@@ -6,6 +6,8 @@ RocksDB state store of the session defaults keeps it off the JVM heap.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,15 +30,21 @@ def running_counts(events: DataFrame, values: str, key: str = "source_id") -> Da
 
 def start_upserts(changes: DataFrame, spark: SparkSession, root: str, checkpoint: str,
                   trigger: dict | None = None, keys: list[str] | None = None,
-                  order: list[str] | None = None) -> tuple[StreamingQuery, BatchTables]:
+                  order: list[str] | None = None, prepare: Callable[[DataFrame, int], DataFrame] | None = None,
+                  schema: T.StructType | None = None) -> tuple[StreamingQuery, BatchTables]:
     """Append each batch's new versions; ``current_state`` folds them.
 
+    ``prepare`` turns a batch and its number into the rows that are stored, of
+    ``schema``.
+
     With ``keys`` and ``order`` a batch is first reduced to the last version of
     each key, so what is stored follows the keys of a batch, not its events.
     """
-    tables = BatchTables(spark, root, {"state": T.StructType(list(changes.schema.fields))})
+    tables = BatchTables(spark, root, {"state": schema or T.StructType(list(changes.schema.fields))})
 
     def write(frame: DataFrame, batch_id: int) -> None:
+        if prepare is not None:
+            frame = prepare(frame, batch_id)
         if not tables.is_loaded(checkpoint, batch_id):
             tables.publish(checkpoint, batch_id, {"state": last_per_key(frame, keys, order) if keys else frame})
 

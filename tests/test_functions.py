@@ -120,3 +120,34 @@ def test_clean_html(spark):
 def test_resolve_url_equals_library(spark, base):
     refs = ["x.html", "/x", "../x", "./x", "//o.example.org/p", "https://a.example.org/../b", "", "?q", "#f", "/a/../b", "/a#", "http://z/?", " /x", "mailto:a@b"]
     assert one(spark, markup.resolve_url(F.lit(base), F.col("v")), *refs) == [urljoin(base, r) for r in refs]
+
+
+def test_like_without_accents(spark):
+    import random
+    import re
+
+    from quillstream.functions.text import contains_pattern, fold_text, folded
+
+    rng = random.Random(3)
+    made = ["José", "JOSE\u0301 ", "straße", "Ångström", "naïve café", "a%b_c\\d", "x\ny", "🙂é", "", None] + ["".join(rng.choice("aábB%_.é\\") for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    queries = ["jose", "STRASSE", "_a%é", "n%v_ c", "\\%b", "\\_", "\\\\d", "x_y", "_e", "a.b", "%", "", "a%b%a%b", "[b", "b\\"] + ["".join(rng.choice("aáb%_") for _ in range(rng.randint(1, 4))) for _ in range(30)]
+
+    def like(text, q):
+        out, literal = "", False
+        for ch in folded(q):
+            if ch == "\\" and not literal:
+                literal = True
+                continue
+            out += ".*" if ch == "%" and not literal else "." if ch == "_" and not literal else re.escape(ch)
+            literal = False
+        return re.search(out, folded(text), re.DOTALL) is not None
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "i int, t string")
+    got = df.select("i", "t", fold_text(F.col("t")).alias("folded"), *[fold_text(F.col("t")).rlike(contains_pattern(folded(q))).alias(f"q{k}") for k, q in enumerate(queries)]).collect()
+    for r in got:
+        assert r["folded"] == (None if r["t"] is None else folded(r["t"]))
+        if r["t"] is not None:
+            assert [r[f"q{k}"] for k in range(len(queries))] == [like(r["t"], q) for q in queries], r["t"]
+    # a pattern of many pieces does not go back over a long text
+    long = spark.range(1).select(F.repeat(F.lit("ab"), 200_000).alias("t"))
+    assert long.where(F.col("t").rlike(contains_pattern("a%b%a%b%a%b%a%c"))).count() == 0
