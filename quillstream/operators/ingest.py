@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillstream import lexicon
 from quillstream.functions import wire
-from quillstream.functions.text import fold_key, is_blank
+from quillstream.functions.text import collation_key, fold_key, is_blank
 from quillstream.operators.perkey import any_differs, first_per_key, last_per_key
 from quillstream.schemas import LIST_FIELDS, PAPER_EVENT, PAPER_PAYLOAD
 
 YEARLY = "yearly"
+# 2 to this power registers a sketch: a standard error of 0.65 %.
+SKETCH_BITS = 14
 EVENT_COLUMNS = [f.name for f in PAPER_EVENT.fields]
 
 
@@ -78,6 +80,53 @@ def dimension_rows(events: DataFrame, field: str, key: str = "source_id", collat
     )
 
 
+def keyed_dimension(events: DataFrame, field: str, key: str = "source_id", order: str = "seq") -> DataFrame:
+    """``(key_key, value_key, key, value, first_seq)``: distinct pairs by collation key, with the spelling that arrived first.
+
+    Keys are plain strings stored beside the spelling, so joins and unions on them
+    need no collation.
+    """
+    rows = events.select(F.col(key), F.col(order), F.posexplode(field).alias("_pos", "value")).where(~is_blank(F.col("value")))
+    keys = [collation_key(F.col(key)).alias(f"{key}_key"), collation_key(F.col("value")).alias("value_key")]
+    first = F.struct(F.col(order), F.col("_pos"))
+    return rows.groupBy(*keys).agg(F.min_by(key, first).alias(key), F.min_by("value", first).alias("value"), F.min(order).alias("first_seq"))
+
+
+def keyed_deltas(firsts: DataFrame, field: str, order: str = "seq") -> DataFrame:
+    """``(value_key, value, first_seq, paper_count)``: increments by collation key.
+
+    Lists are distinct by spelling only, so two spellings of a value in one record
+    are two increments of one counter, though one row of the dimension.
+    """
+    rows = firsts.select(F.col(order), F.posexplode(field).alias("_pos", "value")).where(~is_blank(F.col("value")))
+    return rows.groupBy(collation_key(F.col("value")).alias("value_key")).agg(
+        F.min_by("value", F.struct(F.col(order), F.col("_pos"))).alias("value"), F.min(order).alias("first_seq"), F.count("*").alias("paper_count"))
+
+
+def first_events_keyed(events: DataFrame, key: str = "source_id", order: str = "seq") -> DataFrame:
+    """First event of each id by collation key, which is kept as ``<key>_key``."""
+    return first_per_key(events.withColumn(f"{key}_key", collation_key(F.col(key))), [f"{key}_key"], [order])
+
+
+def merge_keyed(stored: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
+    """Union by key columns: the spelling that arrived first stays, counts are summed; no join."""
+    spelled = [c for c in stored.columns if c not in (*keys, "first_seq", "paper_count")]
+    sums = [F.sum("paper_count").alias("paper_count")] if "paper_count" in stored.columns else []
+    merged = stored.unionByName(delta.select(*stored.columns)).groupBy(*keys).agg(
+        *[F.min_by(c, "first_seq").alias(c) for c in spelled], F.min("first_seq").alias("first_seq"), *sums)
+    return merged.select(*stored.columns)
+
+
+def sketches(dimensions: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``(name, sketch)``: distinct-count sketches of a batch, to be united by readers. Keywords leave stopwords out."""
+    kept = (F.col("dimension") != "keywords") | ~F.lower("value").isin(lexicon.STOPWORDS)
+    values = dimensions.where(kept).select(F.col("dimension").alias("name"), "value")
+    values = values.unionByName(firsts.select(F.explode(F.array(
+        F.struct(F.lit("papers").alias("name"), F.col("source_id").alias("value")),
+        F.struct(F.lit("years").alias("name"), F.col("year").cast("string").alias("value")))).alias("v")).select("v.*"))
+    return values.groupBy("name").agg(F.hll_sketch_agg("value", SKETCH_BITS).alias("sketch"))
+
+
 def year_deltas(firsts: DataFrame) -> DataFrame:
     return firsts.groupBy("year").agg(F.count("*").alias("paper_count"))
 

@@ -20,12 +20,13 @@ from quillstream.session import pin_session, shared_dir
 from quillstream.sources.change_table import change_stream
 from quillstream.sources.files import read_table
 from quillstream.sources.messages import file_stream, numbered, text_stream
-from quillstream.streaming import feed, state
+from quillstream.streaming import cycles, feed, state
 from quillstream.streaming.ingest import load_batch, start_ingest
 from quillstream.streaming.tables import BatchTables
 
 LOADED_AT = datetime(2026, 1, 1, tzinfo=timezone.utc)
 SPLIT_SEQ = 5000
+BROKEN_YEAR = 2003
 ONCE = {"availableNow": True}
 
 
@@ -115,6 +116,36 @@ def _incremental_merged(spark, folder):
     return ops.merge_counters(ops.value_deltas(one, "keywords"), ops.value_deltas(two, "keywords"), "value")
 
 
+def _spelled(spark, folder):
+    """Events whose ids and authors are spelled in several ways, at times two in one list."""
+    rows = valid(spark, folder).select("source_id", "seq", "authors")
+
+    def spelling(v):
+        v = F.when(F.col("seq") % 3 == 0, F.replace(v, F.lit("a"), F.lit("á"))).otherwise(v)
+        return F.when(F.col("seq") % 2 == 0, F.upper(v)).otherwise(F.concat(v, F.lit(" ")))
+
+    both = F.transform("authors", lambda v: F.array(spelling(v), F.when(F.col("seq") % 5 == 0, v)))
+    authors = F.array_distinct(F.filter(F.flatten(both), lambda v: v.isNotNull()))
+    return rows.select(F.when(F.col("seq") % 2 == 0, F.upper("source_id")).otherwise(F.col("source_id")).alias("source_id"), "seq", authors.alias("authors"))
+
+
+def _dim_collated(spark, folder):
+    """Authors by collation key: those of one batch, then what another one adds."""
+    rows = _spelled(spark, folder)
+    one, two = (ops.keyed_dimension(rows.where((F.col("seq") % 4 == 0) == first), "authors") for first in (True, False))
+    merged = ops.merge_keyed(one, two, ["source_id_key", "value_key"])
+    return merged.select("source_id_key", "value_key", "source_id", "value")
+
+
+def _incremental_collated(spark, folder):
+    """Counters by collation key over two batches: ids of the first are not counted again, however they are spelled."""
+    rows = _spelled(spark, folder)
+    one = ops.first_events_keyed(rows.where(F.col("seq") % 4 == 0))
+    two = ops.first_events_keyed(rows.where(F.col("seq") % 4 != 0)).join(one.select("source_id_key"), "source_id_key", "left_anti")
+    merged = ops.merge_keyed(ops.keyed_deltas(one, "authors"), ops.keyed_deltas(two, "authors"), ["value_key"])
+    return merged.select("value_key", "value", "paper_count")
+
+
 def _rebuild_from_messages(spark, folder):
     """Counters recomputed after all events: they differ from the incremental ones."""
     rows = valid(spark, folder)
@@ -239,6 +270,43 @@ def _stored(spark, folder):
     return stored_tables(tables)
 
 
+def _summary_sketched(spark, folder):
+    """Totals over stored tables of two batches from sketches and counters."""
+    tables = BatchTables(pin_session(spark), shared_dir(spark, "sketched"))
+    rows = messages(spark, folder)
+    for batch in range(2):
+        load_batch(tables, rows.where(F.col("seq") % 2 == batch), "job", batch, LOADED_AT)
+    return tables.summary()
+
+
+def _cycle_counts_by_year(spark, folder):
+    """Papers of each year, loaded year by year; one year breaks and takes no other along."""
+    papers = event_rows(read_table(pin_session(spark), folder, "events")).select("seq", "source_id", "year")
+
+    def load(year):
+        rows = papers.where(F.col("year") == year)
+        return rows.withColumn("source_id", F.raise_error(F.lit("no such page")).cast("string")) if year == BROKEN_YEAR else rows
+
+    found, outcome = cycles.crawl_years(spark, list(range(2000, 2007)), load)
+    watched, counts = cycles.observe_years(found)
+    watched.write.format("noop").mode("overwrite").save()
+    seen = spark.createDataFrame(list(cycles.per_year(counts.get).items()), "seen_year int, papers_seen bigint")
+    return outcome.join(seen, F.col("year") == F.col("seen_year"), "left").select(
+        "year", "papers", F.coalesce("papers_seen", F.lit(0)).cast("bigint").alias("papers_seen"), F.col("error").isNotNull().alias("failed"))
+
+
+def _watch_cycle(spark, folder):
+    """Two cycles: in the first some records can't be sent, the second sends them with what is new."""
+    e = event_rows(read_table(pin_session(spark), folder, "events"))
+    found = e.select("source_id", F.col("event_type").alias("value"), "seq")
+    outbox = cycles.Outbox(spark, shared_dir(spark, "outbox"))
+    ok = F.substr("source_id", F.lit(2)).cast("bigint") % 5 != 0
+    outbox.cycle(found.where(F.col("seq") % 2 == 0), lambda due: due.select("source_id", ok.alias("ok")), ["seq"])
+    outbox.cycle(found, lambda due: None, ["seq"])
+    tries = outbox.tables.read("outbox").groupBy("source_id").agg(F.count("*").alias("tries"))
+    return outbox.states().join(tries, "source_id").select("source_id", "value", "state", "cycle", "tries")
+
+
 def _ranked(field):
     def run(spark, folder):
         stored = _stored(spark, folder)
@@ -340,6 +408,11 @@ QUERIES = {
     "stats_incremental_institutions": _incremental("institutions"),
     "stats_incremental_keywords": _incremental("keywords"),
     "stats_incremental_merged": _incremental_merged,
+    "dim_authors_collated": _dim_collated,
+    "stats_incremental_collated": _incremental_collated,
+    "summary_sketched": _summary_sketched,
+    "cycle_counts_by_year": _cycle_counts_by_year,
+    "watch_cycle": _watch_cycle,
     "rebuild_yearly_messages": _rebuild_from_messages,
     "ingest_atomic": _ingest_atomic,
     "stream_source": _stream_source,
@@ -388,6 +461,14 @@ def _dim_sql(field, source="good"):
     return f"SELECT DISTINCT source_id, unnest(string_split({field}, '|')) AS value FROM {source}"
 
 
+_SPELLED = _M + """, lists AS (SELECT CASE WHEN seq % 2 = 0 THEN upper(source_id) ELSE source_id END AS source_id, seq, unnest(string_split(authors, '|')) AS v FROM good),
+    spelled AS (SELECT *, CASE WHEN seq % 3 = 0 THEN replace(v, 'a', 'á') ELSE v END AS w FROM lists),
+    listed AS (SELECT DISTINCT source_id, seq, value FROM (
+        SELECT source_id, seq, CASE WHEN seq % 2 = 0 THEN upper(w) ELSE w || ' ' END AS value FROM spelled
+        UNION ALL SELECT source_id, seq, v FROM spelled WHERE seq % 5 = 0)),
+    keyed AS (SELECT *, lower(source_id) AS source_id_key, strip_accents(lower(rtrim(value))) AS value_key,
+        CASE WHEN seq % 5 = 0 AND value = strip_accents(lower(value)) AND value = rtrim(value) THEN 1 ELSE 0 END AS pos FROM listed)"""
+
 _ALL_COUNTERS = _M + _FIRSTS + " UNION ALL ".join(
     ["SELECT 'yearly' AS counter, CAST(year AS VARCHAR) AS name, count(*) AS paper_count FROM firsts GROUP BY 2"]
     + [f"""SELECT '{f}' AS counter, value AS name, count(*) AS paper_count FROM (
@@ -434,6 +515,22 @@ ORACLE = {
     "stats_incremental_authors": _delta_sql("authors"),
     "stats_incremental_institutions": _delta_sql("institutions"),
     "stats_incremental_keywords": _delta_sql("keywords"),
+    "dim_authors_collated": _SPELLED + """SELECT source_id_key, value_key, arg_min(source_id, seq) AS source_id, arg_min(value, (seq, pos)) AS value FROM keyed GROUP BY ALL""",
+    "stats_incremental_collated": _SPELLED + """, firsts AS (SELECT source_id_key, coalesce(min(seq) FILTER (seq % 4 = 0), min(seq)) AS seq FROM keyed GROUP BY 1)
+        SELECT value_key, arg_min(value, (seq, source_pos)) AS value, count(*) AS paper_count FROM (
+            SELECT k.value_key, k.value, k.seq, k.pos AS source_pos FROM keyed k JOIN firsts f ON k.source_id_key = f.source_id_key AND k.seq = f.seq) GROUP BY 1""",
+    "summary_sketched": _M + f"""SELECT (SELECT count(DISTINCT source_id) FROM good)::BIGINT AS papers, (SELECT count(DISTINCT year) FROM (
+            SELECT arg_min(year, seq) AS year FROM good WHERE seq % 2 = 0 GROUP BY source_id UNION ALL SELECT arg_min(year, seq) FROM good WHERE seq % 2 = 1 GROUP BY source_id)) AS years,
+        (SELECT count(DISTINCT v) FROM (SELECT unnest(string_split(keywords, '|')) AS v FROM good) WHERE lower(v) NOT IN ({STOP_LIST})) AS keywords,
+        (SELECT count(DISTINCT v) FROM (SELECT unnest(string_split(authors, '|')) AS v FROM good)) AS authors,
+        (SELECT count(DISTINCT institutions) FROM good) AS institutions""",
+    "cycle_counts_by_year": _E + f"""SELECT CAST(y.year AS INT) AS year, CASE WHEN y.year = {BROKEN_YEAR} THEN 0 ELSE count(ev.seq) END AS papers,
+        CASE WHEN y.year = {BROKEN_YEAR} THEN 0 ELSE count(ev.seq) END AS papers_seen, y.year = {BROKEN_YEAR} AS failed
+        FROM (SELECT unnest(range(2000, 2007)) AS year) y LEFT JOIN ev USING (year) GROUP BY y.year""",
+    "watch_cycle": _E + """, one AS (SELECT source_id, min(user_id) AS user_id, arg_min(event_type, seq) AS value FROM ev WHERE seq % 2 = 0 GROUP BY 1),
+        two AS (SELECT source_id, arg_min(event_type, seq) AS value FROM ev GROUP BY 1)
+        SELECT source_id, coalesce(one.value, two.value) AS value, 'emitted' AS state, CASE WHEN one.source_id IS NULL OR user_id % 5 = 0 THEN 1 ELSE 0 END AS cycle,
+            CASE WHEN user_id % 5 = 0 THEN 2 ELSE 1 END AS tries FROM two LEFT JOIN one USING (source_id)""",
     "stats_incremental_merged": _M + """, one AS (SELECT source_id, arg_min(keywords, seq) AS keywords FROM good WHERE seq % 3 = 0 GROUP BY 1),
         two AS (SELECT source_id, arg_min(keywords, seq) AS keywords FROM good WHERE seq % 3 <> 0
             AND source_id NOT IN (SELECT source_id FROM one) GROUP BY 1)

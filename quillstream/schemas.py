@@ -72,6 +72,11 @@ COUNTER_DELTA = T.StructType([
     T.StructField("paper_count", T.LongType()),
 ])
 
+SKETCH = T.StructType([
+    T.StructField("name", T.StringType()),
+    T.StructField("sketch", T.BinaryType()),
+])
+
 QUARANTINE = T.StructType([
     T.StructField("seq", T.LongType()),
     T.StructField("value", T.StringType()),

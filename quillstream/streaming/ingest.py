@@ -33,9 +33,11 @@ def batch_frames(events: DataFrame, ledger: StoredLedger, now: Column, strict_in
     ).select("source_id", "_new.*", "first_seq", "last_seq", now.alias("created_at"), now.alias("loaded_at"))
     firsts = ops.first_events(events.select("source_id", "seq", "year", *LIST_FIELDS)).persist(StorageLevel.MEMORY_AND_DISK)
     new = ledger.unseen(firsts)
+    dimensions = ops.all_dimension_rows(events)
     frames = {
         "papers": papers,
-        "dimensions": ops.all_dimension_rows(events),
+        "dimensions": dimensions,
+        "sketches": ops.sketches(dimensions, firsts),
         "ledger": new.select("source_id", F.col("seq").alias("first_seq"), now.alias("first_seen_at")),
         "counters": ops.all_deltas(new),
     }

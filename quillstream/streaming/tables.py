@@ -27,6 +27,7 @@ TABLES = {
     "ledger_base": schemas.LEDGER_BASE,
     "ledger_filters": schemas.LEDGER_FILTER,
     "counters": schemas.COUNTER_DELTA,
+    "sketches": schemas.SKETCH,
     "quarantine": schemas.QUARANTINE,
 }
 
@@ -166,6 +167,17 @@ class BatchTables:
         deltas = self.read("counters").where(F.col("counter") == name)
         return deltas.groupBy("value").agg(F.sum("paper_count").alias("paper_count"))
 
+    def united_sketches(self) -> DataFrame:
+        return self.read("sketches").groupBy("name").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+    def summary(self) -> DataFrame:
+        """Totals in one row without reading a record: papers from the counters, distinct
+        numbers from sketches, a few rows a batch. Years are those of first events."""
+        counted = self.read("counters").where(F.col("counter") == "yearly").agg(F.coalesce(F.sum("paper_count"), F.lit(0)).alias("n"))
+        united = self.united_sketches()
+        numbers = [F.coalesce(F.max(F.when(F.col("name") == n, F.hll_sketch_estimate("sketch"))), F.lit(0)).alias(n) for n in ("years", "keywords", "authors", "institutions")]
+        return united.agg(*numbers).select(counted.scalar().alias("papers"), "years", "keywords", "authors", "institutions")
+
     def quarantine(self) -> DataFrame:
         return self.read("quarantine").select("seq", "value", "reason")
 
@@ -184,6 +196,7 @@ class BatchTables:
             "ledger_base": lambda: based(self.ledger()),
             "ledger_filters": lambda: filters(self.ledger()),
             "counters": self.all_counters,
+            "sketches": self.united_sketches,
             "quarantine": self.quarantine,
         }
         given = folded or {}
