@@ -29,6 +29,11 @@ class Catalog:
     def _table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
 
+    def records(self) -> DataFrame:
+        """The papers without their texts: orders alone, as each has a customer."""
+        return self._table("orders").select(
+            F.col("o_orderkey").alias("id"), F.concat(F.lit("order-"), "o_orderkey").alias("source_id"), F.year("o_orderdate").alias("year"), F.col("o_orderdate").alias("updated_at"))
+
     def papers(self) -> DataFrame:
         orders, customer = self._table("orders"), self._table("customer")
         joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))

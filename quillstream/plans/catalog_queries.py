@@ -37,22 +37,22 @@ def _rebuild(name):
     def run(spark, folder):
         c = Catalog(spark, folder)
         dims = {} if name == "yearly" else {name: getattr(c, name)()}
-        return stats.rebuild_counters(c.papers(), dims)[name]
+        return stats.rebuild_counters(c.records(), dims)[name]
     return run
 
 
 def _summary(spark, folder):
     c = Catalog(spark, folder)
-    return stats.summary(c.papers(), c.keywords(), c.authors(), c.institutions())
+    return stats.summary(c.records(), c.keywords(), c.authors(), c.institutions())
 
 
 def _kpis(spark, folder):
     c = Catalog(spark, folder)
-    return stats.dashboard_kpis(stats.yearly_counts(c.papers()), _summary(spark, folder))
+    return stats.dashboard_kpis(stats.yearly_counts(c.records()), _summary(spark, folder))
 
 
 def _yearly_fallback(spark, folder):
-    papers = Catalog(spark, folder).papers()
+    papers = Catalog(spark, folder).records()
     empty = stats.yearly_counts(papers).where(F.col("year") < 0)
     return stats.with_fallback(empty, stats.yearly_counts(papers)).orderBy("year")
 
@@ -60,7 +60,7 @@ def _yearly_fallback(spark, folder):
 def _yearly_stored(spark, folder):
     events = event_rows(read_table(pin_session(spark), folder, "events"))
     stored = stats.yearly_counts(first_events(events.select("source_id", "seq", "year")))
-    return stats.with_fallback(stored, stats.yearly_counts(Catalog(spark, folder).papers()), probe=True).orderBy("year")
+    return stats.with_fallback(stored, stats.yearly_counts(Catalog(spark, folder).records()), probe=True).orderBy("year")
 
 
 def _top_keywords(spark, folder):
@@ -112,8 +112,8 @@ def _count_collated(spark, folder):
 
 
 QUERIES = {
-    "yearly": lambda s, d: stats.yearly_counts(Catalog(s, d).papers()).orderBy("year"),
-    "years": lambda s, d: stats.years(Catalog(s, d).papers()),
+    "yearly": lambda s, d: stats.yearly_counts(Catalog(s, d).records()).orderBy("year"),
+    "years": lambda s, d: stats.years(Catalog(s, d).records()),
     "count_by_author": _count_by("author"),
     "count_by_institution": _count_by("institution"),
     "count_by_keyword": _count_by("keyword"),
@@ -133,7 +133,7 @@ QUERIES = {
     "rebuild_authors": _rebuild("authors"),
     "rebuild_institutions": _rebuild("institutions"),
     "rebuild_keywords": _rebuild("keywords"),
-    "rebuild_ledger": lambda s, d: stats.rebuild_ledger(Catalog(s, d).papers()),
+    "rebuild_ledger": lambda s, d: stats.rebuild_ledger(Catalog(s, d).records()),
     "dim_authors": lambda s, d: Catalog(s, d).authors(),
     "dim_institutions": lambda s, d: Catalog(s, d).institutions(),
     "dim_keywords": lambda s, d: keyword_dimension(s, d),

@@ -25,7 +25,6 @@ from quillstream.streaming.ingest import load_batch, start_ingest
 from quillstream.streaming.tables import BatchTables
 
 LOADED_AT = datetime(2026, 1, 1, tzinfo=timezone.utc)
-SPLIT_SEQ = 5000
 BROKEN_YEAR = 2003
 ONCE = {"availableNow": True}
 
@@ -44,12 +43,11 @@ def valid(spark, folder):
 
 
 def _parse_events(spark, folder):
-    parsed = _parsed(spark, folder).where(F.col("reason").isNull())
-    return flat_events(parsed).withColumn("crawled_at", F.substring("crawled_at", 1, 19))
+    return flat_events(_parsed(spark, folder).where(F.col("reason").isNull()))
 
 
 def _valid_events(spark, folder):
-    return flat_events(valid(spark, folder)).withColumn("crawled_at", F.substring("crawled_at", 1, 19))
+    return flat_events(valid(spark, folder))
 
 
 def _quarantine(spark, folder):
@@ -78,10 +76,15 @@ def _first(spark, folder):
 _PAYLOAD = ["year", "title"]
 
 
+def _later(events):
+    """Whether an event is in the later half of all."""
+    return F.col("seq") >= events.agg(F.median("seq")).scalar()
+
+
 def _merge(spark, folder):
     """Later half of the events merged over the state of the first half."""
     e = event_rows(read_table(pin_session(spark), folder, "events")).select("source_id", "seq", "year", F.col("event_type").alias("title"))
-    early, late = e.where(F.col("seq") < SPLIT_SEQ), e.where(F.col("seq") >= SPLIT_SEQ)
+    early, late = e.where(~_later(e)), e.where(_later(e))
     loaded = F.lit("2025-01-01 00:00:00").cast("timestamp")
     stored = ops.latest_events(early).select(F.col("seq").alias("id"), "source_id", *_PAYLOAD,
                                              loaded.alias("created_at"), loaded.alias("updated_at"))
@@ -97,8 +100,9 @@ def _dimension(field):
 def _insert_absent(spark, folder):
     """Authors of the first half, plus those the second half adds."""
     rows = valid(spark, folder)
-    first = ops.dimension_rows(rows.where(F.col("seq") < SPLIT_SEQ), "authors")
-    return insert_absent(first, ops.dimension_rows(rows.where(F.col("seq") >= SPLIT_SEQ), "authors"), ["source_id", "value"])
+    events = messages(spark, folder)
+    first = ops.dimension_rows(rows.where(~_later(events)), "authors")
+    return insert_absent(first, ops.dimension_rows(rows.where(_later(events)), "authors"), ["source_id", "value"])
 
 
 def _incremental(field):
@@ -163,8 +167,8 @@ def _ingest_atomic(spark, folder):
     """Two batches, then the second one replayed and re-sent: counters stay."""
     tables = BatchTables(pin_session(spark), shared_dir(spark, "atomic"))
     rows = messages(spark, folder)
-    late = rows.where(F.col("seq") >= SPLIT_SEQ)
-    load_batch(tables, rows.where(F.col("seq") < SPLIT_SEQ), "job", 0, LOADED_AT)
+    late = rows.where(_later(rows))
+    load_batch(tables, rows.where(~_later(rows)), "job", 0, LOADED_AT)
     load_batch(tables, late, "job", 1, LOADED_AT)
     load_batch(tables, late, "job", 1, LOADED_AT)
     load_batch(tables, late, "other job", 0, LOADED_AT)
@@ -239,11 +243,12 @@ def _stream_first_seen(spark, folder):
 
 
 def _listed(e):
-    return e.select(F.concat(F.lit("m"), "seq").alias("source_id"), F.array("event_type", F.concat(F.lit("k"), F.col("k") % 20)).alias("values"))
+    """Ids that many events share, with one list each."""
+    return e.select(F.concat("event_type", F.lit("-"), "k").alias("source_id"), F.array("event_type", F.concat(F.lit("k"), F.col("k") % 20)).alias("values"))
 
 
 def _stream_counts(spark, folder):
-    """Every event is its own record here, counted once per listed value."""
+    """Records per listed value: an id counts once, however many events repeat it."""
     counts = state.running_counts(_listed(event_rows(_event_stream(spark, folder))), "values")
     return state.current_state(_finish(spark, shared_dir(spark, "counts"), counts), ["value"])
 
@@ -443,7 +448,7 @@ QUERIES = {
 _M = with_sql(MESSAGES_SQL)
 _E = with_sql(EVENTS_SQL)
 _EVENT_SELECT = """SELECT seq, source_id, year, title, authors, institutions, abstract, keywords, paper_url, pdf_url,
-    strftime(crawled_at, '%Y-%m-%dT%H:%M:%S') AS crawled_at FROM """
+    strftime(crawled_at, '%Y-%m-%dT%H:%M:%SZ') AS crawled_at FROM """
 _FIRSTS = """, firsts AS (SELECT source_id, min(seq) AS seq, arg_min(year, seq) AS year, arg_min(authors, seq) AS authors,
     arg_min(institutions, seq) AS institutions, arg_min(keywords, seq) AS keywords FROM good GROUP BY 1)"""
 
@@ -487,8 +492,8 @@ _CHANGE_EVENTS = "WITH " + CHANGES_SQL + """SELECT seq, concat('{"type":"paper.u
         '","pdf_url":"","created_at":"', strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z'), '","updated_at":"',
         strftime(updated_at, '%Y-%m-%dT%H:%M:%S.000Z'), '"}}') AS event FROM changed"""
 
-_COUNTS = _E + """SELECT value, count(*) AS paper_count FROM (SELECT event_type AS value FROM ev
-        UNION ALL SELECT concat('k', k % 20) FROM ev) GROUP BY 1"""
+_COUNTS = _E + """, ids AS (SELECT DISTINCT event_type, k FROM ev) SELECT value, count(*) AS paper_count FROM (SELECT event_type AS value FROM ids
+        UNION ALL SELECT concat('k', k % 20) FROM ids) GROUP BY 1"""
 
 ORACLE = {
     "parse_events": _M + _EVENT_SELECT + "parsed",
@@ -499,9 +504,9 @@ ORACLE = {
     "upsert_latest": _E + """SELECT source_id, max(seq) AS seq, arg_max(year, seq) AS year, arg_max(event_type, seq) AS title,
         arg_max(value, seq) AS value FROM ev GROUP BY 1""",
     "upsert_merge": _E + f""", stored AS (SELECT source_id, max(seq) AS id, arg_max(year, seq) AS year, arg_max(event_type, seq) AS title
-            FROM ev WHERE seq < {SPLIT_SEQ} GROUP BY 1),
+            FROM ev WHERE seq < (SELECT median(seq) FROM ev) GROUP BY 1),
         batch AS (SELECT source_id, max(seq) AS id, arg_max(year, seq) AS year, arg_max(event_type, seq) AS title
-            FROM ev WHERE seq >= {SPLIT_SEQ} GROUP BY 1)
+            FROM ev WHERE seq >= (SELECT median(seq) FROM ev) GROUP BY 1)
         SELECT coalesce(s.id, b.id) AS id, source_id, coalesce(b.year, s.year) AS year, coalesce(b.title, s.title) AS title,
             CASE WHEN s.id IS NULL THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '2025-01-01' END AS created_at,
             CASE WHEN b.id IS NOT NULL AND (s.id IS NULL OR s.year <> b.year OR s.title <> b.title) THEN TIMESTAMP '{NOW}'

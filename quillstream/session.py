@@ -36,9 +36,10 @@ def build_session(app: str = "quillstream", master: str | None = None, conf: dic
 
 
 def pin_session(spark: SparkSession) -> SparkSession:
-    """Set the runtime options the operators rely on in a session built elsewhere."""
-    for key, value in DEFAULTS.items():
-        spark.conf.set(key, value)
+    """Set what results depend on in a session built elsewhere, the time zone; the rest stays the caller's."""
+    zone = "spark.sql.session.timeZone"
+    if spark.conf.get(zone) != DEFAULTS[zone]:
+        spark.conf.set(zone, DEFAULTS[zone])
     return spark
 
 

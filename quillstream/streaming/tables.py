@@ -22,6 +22,7 @@ from quillstream.streaming.ledger import StoredLedger, based, filters
 
 TABLES = {
     "papers": schemas.PAPER_DELTA,
+    "papers_base": schemas.PAPER_DELTA,
     "dimensions": schemas.DIMENSION,
     "ledger": schemas.LEDGER,
     "ledger_base": schemas.LEDGER_BASE,
@@ -32,7 +33,7 @@ TABLES = {
 }
 
 # Tables whose readers want one kind of row: each kind is a folder of its own.
-_SPLIT_BY = {"dimensions": "dimension", "counters": "counter", "ledger_base": "bucket"}
+_SPLIT_BY = {"dimensions": "dimension", "counters": "counter", "ledger_base": "bucket", "papers_base": "year"}
 
 _COMMITS = "commits"
 _COMMIT_SCHEMA = T.StructType([
@@ -129,6 +130,22 @@ class BatchTables:
         return self._folded_papers().drop("last_seq")
 
     def _folded_papers(self) -> DataFrame:
+        """The base's records that no batch since has touched, as they are, and the others folded.
+
+        The base lies in a folder for each year, so a filter on the year prunes it;
+        only ids of recent batches are compared with it.
+        """
+        recent, base = self.read("papers"), self.read("papers_base")
+        if base.isEmpty():
+            return self._fold(recent)
+        touched = recent.select("source_id").distinct()
+        as_stored = base.join(touched, "source_id", "left_anti").withColumnsRenamed({"first_seq": "id", "loaded_at": "updated_at"})
+        before = base.join(touched, "source_id", "left_semi")
+        folded = self._fold(recent.drop("batch_id").unionByName(before.drop("batch_id")))
+        return as_stored.select(*folded.columns).unionByName(folded)
+
+    @staticmethod
+    def _fold(versions: DataFrame) -> DataFrame:
         """``id`` orders records by first arrival, ``created_at`` is the load time
         of the first version and ``updated_at`` that of the last version that
         changed a value. The window holds at most one row per batch and record.
@@ -137,7 +154,7 @@ class BatchTables:
         previous = [F.lag(c).over(history) for c in PAPER_PAYLOAD]
         first = F.row_number().over(history) == 1
         changed = first | any_differs([F.col(c) for c in PAPER_PAYLOAD], previous)
-        versions = self.read("papers").withColumn("_changed", changed)
+        versions = versions.withColumn("_changed", changed)
         newest = F.struct(*PAPER_PAYLOAD)
         folded = versions.groupBy("source_id").agg(
             F.min("first_seq").alias("id"),
@@ -189,7 +206,8 @@ class BatchTables:
         content of tables other than those of the ingest job.
         """
         folds = {
-            "papers": lambda: self._folded_papers().withColumnRenamed("id", "first_seq").withColumnRenamed("updated_at", "loaded_at"),
+            "papers": lambda: self.read("papers").limit(0),
+            "papers_base": lambda: self._folded_papers().withColumnsRenamed({"id": "first_seq", "updated_at": "loaded_at"}).repartition("year"),
             "dimensions": lambda: self.read("dimensions").select("dimension", "source_id", "value").distinct(),
             # all of it becomes the base
             "ledger": lambda: self.read("ledger").limit(0),

@@ -231,3 +231,26 @@ def test_filters_pass_what_they_hold_and_little_else(spark):
     others = spark.range(60_000).select(F.concat(F.lit("q"), F.col("id")).alias("source_id"))
     assert ledger.maybe_known(others, bloom, buckets=4).count() < 1_800
     bloom.unpersist()
+
+
+def test_folded_records_are_read_by_year_and_kept_current(spark, tmp_path):
+    def send(tables, rows, batch, day):
+        made = [(s, json.dumps({"source_id": k, "title": t, "year": y, "crawled_at": "2026-01-01T00:00:00Z"})) for s, k, t, y in rows]
+        load_batch(tables, spark.createDataFrame(made, "seq bigint, value string"), "job", batch, datetime(2026, 1, day, tzinfo=timezone.utc))
+
+    plain, folding = BatchTables(spark, str(tmp_path / "plain")), BatchTables(spark, str(tmp_path / "f0"))
+    batches = [[(i, f"p{i}", "t", 2000 + i % 4) for i in range(40)], [(100, "p1", "new", 2001), (101, "p2", "t", 2002), (102, "q", "t", 2001)],
+               [(200, "p1", "new", 2009), (201, "p5", "t", 2001)], [(300, "q", "late", None)]]
+    for k, rows in enumerate(batches):
+        for tables in (plain, folding):
+            send(tables, rows, k, k + 1)
+        got = folding.papers()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.papers().select(*got.columns).collect()))
+        if k < 3:
+            folding = folding.fold_into(str(tmp_path / f"f{k + 1}"))
+            assert folding.read("papers").count() == 0
+            got = folding.papers()
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.papers().select(*got.columns).collect()))
+    assert sorted(r["source_id"] for r in folding.papers().where("year = 2009").collect()) == ["p1"]
+    plan = folding.papers().where("year = 2001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*year#\d+ = 2001", plan)
