@@ -53,17 +53,20 @@ def cut(powers, texts: list[str], window: int, gram: int) -> list[tuple]:
 
 
 def sorted_rotations(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rotations in the order of their first symbols, at least ``least`` of them; ranks by the first seven)."""
+    """(rotations in the order of their first symbols, at least ``least`` of them; ranks by the first seven).
+
+    Rotations that are equal so far come in any order: intervals hold all of them or none.
+    """
     n = len(text)
     key = np.zeros(n, dtype=np.int64)
     for i in range(_PACKED):
         key = key << 9 | np.roll(text, -i)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     start = rank = _ranks(key, order)
     known = _PACKED
     while known < least and rank[order[-1]] < n - 1:
         key = rank * np.int64(n) + np.roll(rank, -known)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank, known = _ranks(key, order), known * 2
     return order, start
 
@@ -81,29 +84,30 @@ def repeated(strings: list[bytes], window: int) -> list[np.ndarray]:
     text = np.concatenate([np.append(np.frombuffer(s, dtype=np.uint8).astype(np.int64) + 1, 0) for s in strings])
     n = len(text)
     order, start_rank = sorted_rotations(text, window)
-    bwt = text[order - 1]
-    # Places of the transform by symbol, then place: a search in them is C[c] + rank(c, i).
-    by_symbol = np.sort(bwt * np.int64(n) + np.arange(n))
+    bwt = text[order - 1].astype(np.int16)
+    # Where a place's rotation goes when its symbol is put before it: within a symbol places keep their order.
+    before = np.empty(n, dtype=np.int32)
+    before[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     # Neighbours that differ in the first seven symbols are marked; from there on by length.
     line = start_rank[order]
     marked = np.concatenate([[True], line[1:] != line[:-1], [True]])
-    edge = np.flatnonzero(marked)
+    edge = np.flatnonzero(marked).astype(np.int32)
     low, high = edge[:-1], edge[1:]
     for _ in range(_PACKED, window):
         if not len(low):
             break
         size = high - low
         own = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + low[own]
-        pair = own * np.int64(512) + bwt[rows]
-        if len(pair) > len(low):
-            pair = np.unique(pair)
-        symbol, of = pair & 511, pair >> 9
-        after = np.searchsorted(by_symbol, symbol * np.int64(n) + high[of])
+        rows = np.arange(len(own)) + np.repeat(low - (np.cumsum(size) - size), size)
+        # Sorted by where they go, rows of one interval and symbol stand together: an interval of the longer string.
+        to, pair = before[rows], own << 9 | bwt[rows]
+        at = np.argsort(to)
+        to, pair = to[at], pair[at]
+        end = np.flatnonzero(np.append(pair[1:] != pair[:-1], True))
+        first, after = to[np.append(0, end[:-1] + 1)], to[end] + 1
         fresh = ~marked[after]
-        symbol, of, after = symbol[fresh], of[fresh], after[fresh]
-        marked[after] = True
-        low, high = np.searchsorted(by_symbol, symbol * np.int64(n) + low[of]), after
+        low, high = first[fresh], after[fresh]
+        marked[high] = True
     alike = ~marked[:-1] | ~marked[1:]  # with the one before, or the one behind
     place = np.zeros(n, dtype=bool)
     place[order] = alike
