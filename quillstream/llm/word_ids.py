@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import functools
 import os
+from operator import itemgetter
 
 import numpy as np
 
-#: Chunks remembered at most, those met lately and those met before them together.
-MAX_WORDS = 1_000_000
+#: Chunks remembered at most, those met lately and those met before them together; longer ones are not.
+MAX_WORDS = 2_000_000
+MAX_BYTES = 64
+#: ASCII punctuation that no token shares with a letter before it; not the apostrophe, nor what special strings are made of.
+TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<|>")
+_TAIL = TAIL.encode()
 
 
 class WordIds:
@@ -26,24 +31,47 @@ class WordIds:
         if self._ids("a b") != self._ids("a \t\n b ") or self._ids("a b") != self._ids("a") + self._ids("b"):
             raise ValueError("this tokenizer keeps white space")
         self.lowers = self._ids("Ab CD") == self._ids("ab cd")
+        #: Whether a letter and punctuation behind it are always apart.
+        self.cuts = all(self._ids(w + t + u) == self._ids(w) + self._ids(t + u) for w in ("ab", "thing", "É") for t in TAIL for u in ("", t, "."))
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, raw: list[bytes]) -> None:
+    def _learn(self, raw: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new chunks; a word and the punctuation behind it are learned apart, as many chunks share a word."""
+        if not self.cuts:
+            return self._asked(raw)
+        apart, parts, known, before = [], set(), self.known, self.before
+        for chunk in raw:
+            stem = chunk.rstrip(_TAIL)
+            if len(stem) < len(chunk) and stem and (stem[-1:].isalpha() or stem[-1] > 127 and stem.decode()[-1].isalpha()):
+                tail = chunk[len(stem):]
+                apart.append((chunk, stem, tail))
+                if stem not in known and stem not in before:
+                    parts.add(stem)
+                if tail not in known:
+                    parts.add(tail)
+            else:
+                parts.add(chunk)
+        found = self._asked(list(parts))
+        for chunk, stem, tail in apart:
+            found[chunk] = (found.get(stem) or known.get(stem) or before[stem]) + (found.get(tail) or known[tail])
+        return found
+
+    def _asked(self, raw: list[bytes]) -> dict[bytes, bytes]:
+        """Ids by the library."""
+        if not raw:
+            return {}
         chunks = [c.decode() for c in raw]
-        sizes = np.fromiter((len(c) + 1 for c in chunks), dtype=np.int64, count=len(chunks))
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) + 1
         starts = np.cumsum(sizes) - sizes
         found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
         ids = np.array(found.ids, dtype="<u4")
-        owner = np.searchsorted(starts, np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(ids)), "right") - 1
-        packed, ends = ids.tobytes(), np.searchsorted(owner, np.arange(len(chunks)), "right") * 4
-        begin = 0
-        for chunk, end in zip(raw, ends.tolist()):
-            self.known[chunk] = packed[begin:end]
-            begin = end
+        owner = np.searchsorted(starts, np.fromiter(map(itemgetter(0), found.offsets), dtype=np.int64, count=len(ids)), "right") - 1
+        packed, ends = ids.tobytes(), (np.searchsorted(owner, np.arange(len(chunks)), "right") * 4).tolist()
+        return {chunk: packed[a:b] for chunk, a, b in zip(raw, [0, *ends], ends)}
 
     def _chunks(self, text: bytes) -> list[bytes]:
         """ASCII-blank separated; the library lower-cases, so ASCII texts may be lowered before they are looked up."""
@@ -60,9 +88,13 @@ class WordIds:
             self.known.update((chunk, self.before[chunk]) for chunk in again)
             new = list(new - again)
             for i in range(0, len(new), 20_000):
-                self._learn(new[i:i + 20_000])
+                self.known.update(self._learn(new[i:i + 20_000]))
         look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        out = [b"".join(map(look, words)) for words in split]
+        for chunk in new:
+            if len(chunk) > MAX_BYTES:
+                del self.known[chunk]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
