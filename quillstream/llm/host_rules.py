@@ -4,6 +4,7 @@ Every document is measured and tested against a few rules. A host's failure rate
 under a rule is shrunk towards the rate of all hosts by an empirical beta prior,
 so a host with few documents is not condemned by one of them, and a host whose
 shrunk rate under any rule exceeds ``limit`` is rejected with all its documents.
+What chance alone makes rates differ by is no sign that hosts do.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from quillstream.llm.common import BLANKS, written
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
-#: The prior's strength in documents, where the hosts' rates vary too little or too much to tell.
+#: Bounds of the prior's strength in documents: hosts that differ as much as can be, and no more than by chance.
 STRENGTH = (1.0, 1000.0)
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -75,16 +76,22 @@ def measured(docs: DataFrame) -> DataFrame:
 def host_verdicts(rows: DataFrame, limit: float = 0.5, host: str = "source") -> DataFrame:
     """(host column, n_docs, rate_<rule>..., host_rejected) from measured rows; null is a host of its own.
 
-    The prior of a rule is the beta distribution with the mean of all documents and
-    the variance of the hosts' rates.
+    The prior of a rule is a beta distribution with the mean of all documents. Its
+    strength is fitted by moments: hosts weighted by their documents vary by chance,
+    as their sizes say, and by the correlation within hosts, which is what is left.
+    The correlation is one over the strength plus one.
     """
     failures = {f"f_{r}": F.sum(F.expr(f"CASE WHEN {rule} THEN 1 ELSE 0 END")) for r, rule in RULES.items()}
     hosts = written(rows.groupBy(host).agg(F.count("*").alias("n_docs"), *[v.alias(k) for k, v in failures.items()]), "hosts")
     rates = {}
     for rule in RULES:
-        mean = F.sum(f"f_{rule}") / F.sum("n_docs")
-        spread = F.var_pop(F.col(f"f_{rule}") / F.col("n_docs"))
-        strength = F.when(spread > 0, F.least(F.greatest(mean * (1 - mean) / spread - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))).otherwise(F.lit(STRENGTH[1]))
+        failed, n = F.col(f"f_{rule}"), F.col("n_docs")
+        mean, free = F.sum(failed) / F.sum(n), F.count("*") - 1
+        spread = F.sum(failed * failed / n) - F.sum(failed) * mean
+        # hosts of one document each tell nothing about hosts
+        telling = F.sum(n) - F.sum(n * n) / F.sum(n) - free
+        correlation = F.when((mean > 0) & (mean < 1) & (telling > 0), (spread / (mean * (1 - mean)) - free) / telling)
+        strength = F.when(correlation > 0, F.least(F.greatest(1 / correlation - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))).otherwise(F.lit(STRENGTH[1]))
         prior = hosts.agg(F.struct(mean.alias("mean"), strength.alias("strength"))).scalar()
         rates[f"rate_{rule}"] = (F.col(f"f_{rule}") + prior["mean"] * prior["strength"]) / (F.col("n_docs") + prior["strength"])
     rejected = F.greatest(*[F.col(r) for r in rates]) > limit
