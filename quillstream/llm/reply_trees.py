@@ -22,8 +22,6 @@ LEARNED = "assistant"
 #: Turns that are put together in one step before their conversation is.
 BLOCK = 256
 
-_ROUNDS = 40
-
 
 def escaped(text: str) -> str:
     """No control string is left in the result; ``unescaped`` undoes it."""
@@ -54,6 +52,12 @@ def chains(rows: DataFrame, tree: str, order: str) -> DataFrame:
     return placed.withColumn("_node", node).withColumn("_parent", F.when(node > 0, node - 1)).drop("_part", "_in", "_before")
 
 
+def _goes_on(jumps: DataFrame) -> bool:
+    """Whether the last round settled some messages and left others."""
+    state = jumps.agg(F.bool_or(F.col("_up").isNull()).alias("settled"), F.bool_or(F.col("_up").isNotNull()).alias("left")).first()
+    return bool(state["settled"] and state["left"])
+
+
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(_tree, _path, _node, _depth): the messages of the ``branches`` best root-to-leaf paths of every tree.
 
@@ -68,7 +72,9 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         "_tree", "_node", F.when(F.col("_there"), F.col("_parent")).alias("_up"), score.alias("_sum"), F.lit(1).cast("bigint").alias("_steps"))
     # A message that has reached its root is settled: later rounds look it up but don't carry it along.
     jumps, settled = [written(first, "reply-jumps")], []
-    while jumps[-1].where(F.col("_up").isNotNull()).limit(1).count() and len(jumps) < _ROUNDS:
+    # A tree has messages at every depth up to its own, so each round settles some of every unfinished one:
+    # where a round settled none, what is left lies on cycles or behind them.
+    while _goes_on(jumps[-1]):
         a, b = jumps[-1].where(F.col("_up").isNotNull()).alias("a"), reduce(DataFrame.unionByName, settled, jumps[-1]).alias("b")
         doubled = a.join(b, (F.col("a._tree") == F.col("b._tree")) & (F.col("a._up") == F.col("b._node")))
         settled.append(jumps[-1].where(F.col("_up").isNull()))

@@ -15,6 +15,7 @@ from quillstream.llm import (
     bwt_dedup, hilbert_search, host_rules, packing, recompression, repair_output, reply_trees, sentencepiece_wfst, simhash, spans,
     token_counts,
 )
+from quillstream.llm.common import written as common_written
 from quillstream.llm.pieces import PieceModel
 from quillstream.llm.word_ids import WordIds
 
@@ -115,6 +116,34 @@ def test_substring_dedup(docs, rows, none):
     assert recompression.digests(none).count() == 0
 
 
+def test_hosts_of_one_document_are_not_condemned_by_it(spark):
+    good, symbols = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}#*" for i in range(40))
+
+    def kept(hosts):
+        table = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(hosts)], "doc_id bigint, text string, source string")
+        return {r["source"]: r["count"] for r in host_rules.judged(table).where("kept").groupBy("source").count().collect()}
+
+    single = [(f"h{i}", symbols if i % 10 < 3 else good) for i in range(500)]
+    assert len(kept(single)) == 500
+    # hosts that do differ: the bad one goes, and a small one is still given the benefit of the doubt
+    differing = [("bad", symbols)] * 90 + [("bad", good)] * 10 + [(f"g{k}", good) for k in range(20) for _ in range(50)] + [("tiny", symbols)]
+    left = kept(differing)
+    assert "bad" not in left and left["g3"] == 50
+
+
+def test_cycles_end_the_walk(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(reply_trees, "written", lambda df, purpose: made.append(purpose) or common_written(df, purpose))
+    rows = [("t", 1, 2), ("t", 2, 1), ("t", 3, 1), ("t", 4, 4), ("u", 1, None)] + [("u", i, i - 1) for i in range(2, 40)] + [("v", 1, 2), ("v", 2, 1)]
+    nodes = spark.createDataFrame([(t, n, p, 1.0) for t, n, p in rows], "_tree string, _node bigint, _parent bigint, _score double")
+    got = reply_trees.paths(nodes).collect()
+    assert {r["_tree"] for r in got} == {"u"} and sorted(r["_node"] for r in got) == list(range(1, 40))
+    assert made.count("reply-jumps") < 9
+    made.clear()
+    only = nodes.where("_tree = 'v'")
+    assert reply_trees.paths(only).count() == 0 and made.count("reply-jumps") == 1
+
+
 def test_simhash(docs, rows, none):
     prints = []
     for _, t, _ in rows:
