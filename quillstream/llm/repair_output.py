@@ -33,12 +33,10 @@ from quillstream.llm.word_ids import remembered
 from quillstream.session import shared_dir
 
 SHARD_IDS = 1 << 21
-#: Rounds of replacement, pairs replaced in a round at most, and how often a pair must occur to be worth a rule.
-ROUNDS = 6
-PAIRS_A_ROUND = 8192
-LEAST = 12
+#: A pair is frequent, and worth a rule, from this many times in a shard; rounds go on until none is.
+LEAST = 24
 
-_HASH_BITS = 19
+_HASH_BITS = 20
 _SHARD = """part int, number int, first_symbol bigint, n_ids bigint, rules binary, lengths binary, low binary, high binary,
     doc_ids array<bigint>, ends array<bigint>"""
 
@@ -53,9 +51,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.n
     last = np.zeros(len(seq), dtype=bool)
     last[ends[ends > 0] - 1] = True
     rules, lengths = np.empty((0, 2), dtype=np.uint32), np.empty(0, dtype=np.uint32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         slot = _slot(key)
         # Pairs across the end of a document go to a slot of their own, behind all others.
@@ -67,8 +63,6 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.n
         often = np.flatnonzero(count >= LEAST)
         if not len(often):
             break
-        if len(often) > PAIRS_A_ROUND:
-            often = often[np.argpartition(-count[often], PAIRS_A_ROUND)[:PAIRS_A_ROUND]]
         chosen = holder[often]
         table = np.full((1 << _HASH_BITS) + 1, -1, dtype=np.int32)
         table[often] = np.arange(len(often))
@@ -108,7 +102,7 @@ class Shard:
         self.laid: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _expanded(self, symbols: np.ndarray) -> np.ndarray:
-        """Rules made in later rounds use earlier ones only, so expansion ends after at most ROUNDS steps."""
+        """Rules made in later rounds use earlier ones only, so expansion ends after as many steps as there were rounds."""
         while len(at := np.flatnonzero(symbols >= self.first)):
             wide = np.ones(len(symbols), dtype=np.int64)
             wide[at] = 2
