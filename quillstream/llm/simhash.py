@@ -233,14 +233,18 @@ def links(prints: DataFrame, n_blocks: int, budget: int) -> DataFrame:
 
 
 def crossing(prints: DataFrame, n_blocks: int, budget: int) -> DataFrame:
-    """(a, b), a < b: every pair of nodes of different trees in ``prints`` (view, key, node, tree) that share a block and
+    """(a, b, crowd): the pairs of nodes of different trees in ``prints`` (view, key, node, tree) that share a block and
     differ in few bits.
 
-    Unlike ``links`` it lists pairs, for those who measure by something else than
-    bits. Rows of a block value are dealt out by pairs of parts, so that none but
-    two parts of about ``PART_ROWS`` meet in a task; values of one tree are left out.
+    Unlike ``links`` it keeps every pair, for those who measure by something else
+    than bits; but where a block value has more than ``CROWDED`` of them for each of
+    its rows they aren't listed. Its nodes that have one are a crowd then: rows with
+    the crowd's name, the node as a and no b. Rows of a block value are dealt out by
+    pairs of parts, so that none but two parts of about ``PART_ROWS`` meet in a task
+    or a crowd; values of one tree are left out.
     """
-    kinds = arrow_schema("a bigint, b bigint")
+    schema = "a bigint, b bigint, crowd bigint"
+    kinds = arrow_schema(schema)
     kind = [("g", np.int64), ("side", np.int64), ("key", np.int64), ("node", np.int64), ("tree", np.int64)]
 
     def spread(low: np.ndarray, count: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -273,14 +277,30 @@ def crossing(prints: DataFrame, n_blocks: int, budget: int) -> DataFrame:
                 for i, j, _ in trie_links(keys, groups, budget, tree):
                     yield i, j
 
+            # Pairs are counted by block value; those of a crowded one are dropped, its nodes with pairs marked.
+            begin = np.flatnonzero(np.concatenate([[True], rows["g"][1:] != rows["g"][:-1]]))
+            value = np.cumsum(np.concatenate([[0], (rows["g"][1:] != rows["g"][:-1]).astype(np.int64)]))
+            most = CROWDED * np.diff(np.concatenate([begin, [len(rows)]]))
+            pairs, met, kept = np.zeros(len(begin), dtype=np.int64), np.zeros(len(rows), dtype=bool), []
             for i, j in found():
                 for x, other in spread(first[i], count[i], j):
                     for y, x in spread(first[other], count[other], x):
                         r, t = rows[x], rows[y]
                         keep = (r["tree"] != t["tree"]) & ((r["side"] < 0) | (r["side"] != t["side"])) & ((i is not j) | (x < y))
-                        a, b = r["node"][keep], t["node"][keep]
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=kinds)
+                        x, y = x[keep], y[keep]
+                        pairs += np.bincount(value[x], minlength=len(pairs))
+                        met[x] = met[y] = True
+                        listed = pairs[value[x]] <= most[value[x]]
+                        kept.append((x[listed], y[listed]))
+            crowded = pairs > most
+            for x, y in kept:
+                listed = ~crowded[value[x]]
+                a, b = rows["node"][x[listed]], rows["node"][y[listed]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], schema=kinds)
+            crowd = np.flatnonzero(met & crowded[value])
+            if len(crowd):
+                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][crowd]), pa.nulls(len(crowd), pa.int64()), pa.array(rows["g"][crowd])], schema=kinds)
 
         for batch in batches:
             rows = np.empty(batch.num_rows, dtype=kind)
@@ -304,7 +324,7 @@ def crossing(prints: DataFrame, n_blocks: int, budget: int) -> DataFrame:
     # Two groups of the same hash would only be walked together.
     dealt = rows.select(F.xxhash64("g", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
                         F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part")).alias("side"), "key", "node", "tree")
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema).distinct()
 
 
 # Components -------------------------------------------------------------------
@@ -371,6 +391,8 @@ VIEWS, VIEW_BLOCKS, VIEW_BUDGET = 16, 4, 10
 LOOSE = 0.875
 #: Nearest links of a node that are compared first; what they connect isn't compared again.
 NEAREST = 4
+#: Pairs a block value may have for each of its rows and still have them listed.
+CROWDED = 8
 #: Rows of a block value that meet in one task when all pairs are wanted; more are dealt out by pairs of parts.
 PART_ROWS = 8192
 #: Shingles, and a row's own weight in shingles, of documents that are compared in one task.
@@ -463,6 +485,33 @@ def _across(groups: DataFrame, similarity: float, views: int) -> DataFrame:
     return rows.groupBy("root", "tile_s", "tile_t").applyInArrow(compare, "a bigint, b bigint")
 
 
+def _within_crowds(crowds: DataFrame, known: DataFrame, trees: DataFrame, similarity: float, views: int) -> DataFrame:
+    """(a, b): pairs that may reach ``similarity``, as ``_close`` tells, between trees of each crowd (node, crowd), as many
+    as connect what all such pairs connect."""
+    rows = crowds.join(known.select("node", "size", "sketch"), "node").join(trees, "node")
+    kinds = arrow_schema("a bigint, b bigint")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, label, size = (table.column(c).to_numpy().copy() for c in ("node", "tree", "size"))
+        told = np.array(table.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(-1, views)
+        a, b = [], []
+        for i in range(len(node) - 1):
+            rest = np.arange(i + 1, len(node))
+            rest = rest[(label[rest] != label[i]) & (np.minimum(size[rest], size[i]) / np.maximum(size[rest], size[i]) >= similarity)]
+            bits = np.bitwise_count(told[rest] ^ told[i]).sum(1, dtype=np.int64)
+            overlap = np.cos(bits * (np.pi / (views * BITS))) * np.sqrt(size[rest] * float(size[i]))
+            rest = rest[overlap / (size[rest] + size[i] - overlap) >= LOOSE * similarity]
+            if len(rest):
+                # one of each tree will do
+                rest = rest[np.unique(label[rest], return_index=True)[1]]
+                a += np.minimum(node[rest], node[i]).tolist()
+                b += np.maximum(node[rest], node[i]).tolist()
+                label[np.isin(label, label[rest])] = label[i]
+        return pa.Table.from_arrays([pa.array(x, type=pa.int64()) for x in (a, b)], schema=kinds)
+
+    return rows.groupBy("crowd").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def _linked(keys: DataFrame, known: DataFrame, rows: DataFrame, shingle: int, similarity: float, views: int) -> DataFrame:
     """(node, root) of nodes that links of ``similarity`` connect.
 
@@ -478,7 +527,10 @@ def _linked(keys: DataFrame, known: DataFrame, rows: DataFrame, shingle: int, si
     sets = written(_sets(rows, ends, shingle), "shingles")
     found = components(_reaching(_nearest(close, NEAREST), sets, similarity))
     trees = written(ends.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("tree")), "trees")
-    rest = written(_close(crossing(keys.join(trees, "node"), VIEW_BLOCKS, VIEW_BUDGET), known, similarity, views).select("a", "b"), "crossing")
+    met = written(crossing(keys.join(trees, "node"), VIEW_BLOCKS, VIEW_BUDGET), "crossing")
+    few = _close(met.where("crowd IS NULL").select("a", "b").distinct(), known, similarity, views).select("a", "b")
+    many = _within_crowds(met.where("crowd IS NOT NULL").select(F.col("a").alias("node"), "crowd"), known, trees, similarity, views)
+    rest = written(few.unionByName(many).distinct(), "rest")
     if rest.isEmpty():
         return found
     apart = components(rest)

@@ -242,7 +242,7 @@ def test_representatives_of_one_template(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.representatives(table).select("doc_id").collect()) == expected
 
 
-def test_crossing(spark):
+def test_crossing(spark, monkeypatch):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(3)]
     keys = [base[i % 3] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for i in range(200)] + [base[0]] * 5
@@ -250,7 +250,50 @@ def test_crossing(spark):
     block = lambda k: {(n, k >> 16 * n & 0xFFFF) for n in range(4)}
     expected = {(i, j) for j in range(len(keys)) for i in range(j) if i % 7 != j % 7 and (keys[i] ^ keys[j]).bit_count() <= 6 and block(keys[i]) & block(keys[j])}
     table = spark.createDataFrame(rows, "view int, key bigint, node bigint, tree bigint")
-    assert sorted(map(tuple, simhash.crossing(table, 4, 6).collect())) == sorted(expected)
+    monkeypatch.setattr(simhash, "CROWDED", 1000)
+    assert sorted(map(tuple, simhash.crossing(table, 4, 6).collect())) == sorted((a, b, None) for a, b in expected)
+    # crowds name the nodes that have a pair, and hold both ends of each
+    for crowded, parts in ((0, 8192), (0, 20), (5, 8192)):
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        monkeypatch.setattr(simhash, "PART_ROWS", parts)
+        crowds, listed = {}, set()
+        for a, b, crowd in simhash.crossing(table, 4, 6).collect():
+            if crowd is None:
+                listed.add((a, b))
+            else:
+                crowds.setdefault(crowd, set()).add(a)
+        assert crowds and listed <= expected and (crowded or not listed)
+        assert {n for c in crowds.values() for n in c} | {n for p in listed for n in p} == {n for p in expected for n in p}
+        assert all((a, b) in listed or any(a in c and b in c for c in crowds.values()) for a, b in expected)
+
+
+def test_within_crowds(spark):
+    """What sketches tell of all pairs of a crowd and what the few pairs tell connect the same."""
+    rng = np.random.default_rng(4)
+    n, views = 120, 16
+    base = rng.integers(0, 1 << 63, (5, views), dtype=np.uint64)
+    sketches = base[rng.integers(0, 5, n)]
+    for k in range(n):
+        for v in range(views):
+            for bit in rng.choice(64, rng.integers(0, 14), replace=False):
+                sketches[k, v] ^= np.uint64(1) << np.uint64(bit)
+    size, tree = rng.integers(80, 100, n), rng.integers(0, 60, n)
+    known = spark.createDataFrame([(k, int(size[k]), [simhash.signed(int(x)) for x in sketches[k]]) for k in range(n)], "node bigint, size bigint, sketch array<bigint>")
+    trees = spark.createDataFrame([(k, int(tree[k])) for k in range(n)], "node bigint, tree bigint")
+    crowds = spark.createDataFrame([(k, k % 2) for k in range(n)], "node bigint, crowd bigint")
+    pairs = spark.createDataFrame([(i, j) for j in range(n) for i in range(j) if i % 2 == j % 2 and tree[i] != tree[j]], "a bigint, b bigint")
+    every = {(r["a"], r["b"]) for r in simhash._close(pairs, known, 0.8, views).collect()}
+    few = {(r["a"], r["b"]) for r in simhash._within_crowds(crowds, known, trees, 0.8, views).collect()}
+    assert few <= every and 0 < len(few) < len(every)
+
+    def groups(links):
+        root = list(range(n + 60))
+        for a, b in [*links, *((k, n + int(tree[k])) for k in range(n))]:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    assert groups(few) == groups(every)
 
 
 def test_host_rules(spark, docs, rows, none):
