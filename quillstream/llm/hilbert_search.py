@@ -150,14 +150,14 @@ def _copies(good: DataFrame, is_query, k: int) -> tuple[DataFrame, DataFrame]:
 
     def queries():
         def work(c):
-            asked = [i for i, vec_id in enumerate(c["vec_id"]) if vec_id is not None and is_query(vec_id)]
+            asked = [i for i, vec_id in enumerate(c["vec_id"]) if is_query(vec_id)]
             return {"query_id": [c["vec_id"][i] for i in asked], "v": [c["v"][i] for i in asked]}
         return work
 
     asked = map_rows(good, queries, "query_id bigint, v binary").distinct()
     asked = asked.join(first.select(F.col("vec_id").alias("query_id"), "v"), ["query_id", "v"], "left_anti")
     near = asked.join(first.where(F.col("_rank") <= k), "v")
-    return first.drop("_rank"), near.select("query_id", F.coalesce("vec_id", F.lit(-1)).alias("vec_id"), F.lit(0.0).alias("score"))
+    return first.drop("_rank"), near.select("query_id", "vec_id", F.lit(0.0).alias("score"))
 
 
 def nearest(vectors: DataFrame, dims: int, is_query, k: int = 10, vec: str = "embedding") -> DataFrame:
@@ -165,11 +165,13 @@ def nearest(vectors: DataFrame, dims: int, is_query, k: int = 10, vec: str = "em
 
     ``is_query`` is a condition on vec_id. A query isn't its own neighbour, but
     other rows with its vec_id are. Vectors that are null, zero, of another length or not finite
-    take no part; without queries there are no rows. Ties go to the smaller vec_id.
+    take no part, nor do rows without a vec_id, which can't be named; without queries
+    there are no rows. Equal rows are one candidate. Ties go to the smaller vec_id.
+    Other columns are ignored.
     """
     spark = vectors.sparkSession
     kind = precision(vectors, vec)
-    good = written(usable(vectors, dims, vec), "vectors")
+    good = written(usable(vectors, dims, vec).where(F.col("vec_id").isNotNull()), "vectors")
     copies = None
     if not good.groupBy(F.xxhash64("v")).count().where(F.col("count") > k + 1).isEmpty():
         good, copies = _copies(good, is_query, k)
@@ -189,7 +191,7 @@ def nearest(vectors: DataFrame, dims: int, is_query, k: int = 10, vec: str = "em
             out = {k: [] for k in ("curve", "part", "number", "query_id", "q")}
             for curve, part, number, ids, vs in zip(*[c[n] for n in ("curve", "part", "number", "vec_ids", "vs")]):
                 for i, vec_id in enumerate(ids):
-                    if vec_id is not None and is_query(vec_id):
+                    if is_query(vec_id):
                         for name, value in zip(out, (curve, part, number, vec_id, vs[kind.itemsize * dims * i:kind.itemsize * dims * (i + 1)])):
                             out[name].append(value)
             return out
@@ -205,7 +207,7 @@ def nearest(vectors: DataFrame, dims: int, is_query, k: int = 10, vec: str = "em
             out = {name: [] for name in ("query_id", "vec_id", "score")}
             for asked, ids, vs in zip(c["asked"], c["vec_ids"], c["vs"]):
                 x = np.frombuffer(vs, dtype=kind).reshape(-1, dims).astype(float)
-                known = np.array([-1 if i is None else i for i in ids], dtype=np.int64)
+                known = np.array(ids, dtype=np.int64)
                 for query in asked:
                     q = np.frombuffer(query["q"], dtype=kind).astype(float)
                     far = np.sqrt(((x - q) ** 2).sum(1))

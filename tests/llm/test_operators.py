@@ -375,6 +375,16 @@ def test_nearest(spark):
     assert hilbert_search.nearest(table.limit(0), 8, lambda i: True).count() == 0
 
 
+def test_nearest_without_ids_and_with_repeated_ones(spark):
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.1]), (-1, [1.0, 0.2]), (0, [1.0, 0.0]), (0, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0])]
+    table = spark.createDataFrame([(*r, 1, "q", 2, 3.0) for r in rows], "vec_id bigint, embedding array<float>, curve int, query_id string, rank int, score double")
+    got = [tuple(r) for r in hilbert_search.nearest(table, 2, lambda i: i in (0, 3)).orderBy("query_id", "rank").collect()]
+    assert [(g[0], g[1], g[2]) for g in got] == [(0, 1, 7), (0, 2, -1)] and got[0][3] == 0.0 and abs(got[1][3] - 0.2) < 1e-6
+    # of rows with one id the nearest stands for it
+    got = hilbert_search.nearest(table, 2, lambda i: i == -1).collect()
+    assert {(r["vec_id"], round(r["score"], 6)) for r in got} == {(0, 0.2), (7, 0.2)}
+
+
 def test_nearest_in_a_tight_group(spark, monkeypatch):
     monkeypatch.setattr(hilbert_search, "LEAST", 64)
     monkeypatch.setattr(hilbert_search, "BLOCK_ROWS", 64)
