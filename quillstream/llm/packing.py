@@ -121,7 +121,8 @@ def pack(found: DataFrame, capacity: int, block: int = BINS_PER_ROW) -> DataFram
     if max(counts) > capacity or min(counts) < 1:
         raise ValueError(f"lengths must be 1 to {capacity}")
     local = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_row")) - 1
-    ranked = rows.withColumn("_local", local).join(before.drop("_n"), ["length", "_part"])
+    # Counts grow with tasks, so they are merged with rows already dealt out by their keys, not broadcast.
+    ranked = rows.withColumn("_local", local).join(before.drop("_n").hint("merge"), ["length", "_part"])
     ranked = ranked.withColumn("_rank", F.col("_local") + F.col("_before")).withColumn("_block", F.floor(F.col("_rank") / block))
     runs = _places(spark, counts, capacity, block).withColumnsRenamed({c: f"_{c}" for c in ("first", "size", "sequence", "uses", "at", "block")})
     inside = (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_size"))
