@@ -65,14 +65,19 @@ class ChangeReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"updated_at": self.after, "id": (1 << 63) - 1, "source_id": ""}
 
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        """The file system that holds the table, and its folder there."""
+        if self.path.startswith("file:"):
+            return fs.LocalFileSystem(), "/" + self.path.removeprefix("file:").lstrip("/")
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+
     def _files(self) -> list[str]:
-        system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        system, root = self._store()
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
         return sorted(f.path for f in found if f.is_file and f.base_name.endswith(".parquet") and not f.base_name.startswith(("_", ".")))
 
     def _open(self, path: str) -> pq.ParquetFile:
-        system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
-        return pq.ParquetFile(path, filesystem=system)
+        return pq.ParquetFile(path, filesystem=self._store()[0])
 
     def _groups(self, path: str) -> list[tuple[int, int] | None]:
         """First and last time of each row group, from its statistics or else its column; None where it has no time."""

@@ -105,6 +105,8 @@ def test_offsets_and_parts(spark, tmp_path):
     assert end == {"updated_at": int(T0.timestamp() + 1) * 10**6, "id": 2, "source_id": "b-2"}
     got = [r for p in reader.partitions(start, end) for b in reader.read(p) for r in b.to_pylist()]
     assert len(got) == 14 and {r["source_id"] for r in got} == {f"{k}-{n}" for k in "ab" for n in range(3)} | {None}
+    for path in (f"file://{folder}", f"file:{folder}"):
+        assert ChangeReader(reader.columns, dict(options, path=path)).latestOffset() == end
     # between two places of one time, and nothing behind the last
     middle = dict(end, id=1, source_id="a-1")
     between = [r["source_id"] for p in reader.partitions(middle, end) for b in reader.read(p) for r in b.to_pylist()]
