@@ -13,7 +13,7 @@ from quillstream.plans import registry
 FOLDER = "/root/testdata/sf0.001"
 WRITES = {"ingest_atomic", "json_file_scan"}
 LAZY = sorted(n for n in registry.QUERIES if not n.startswith("stream_") and n not in WRITES)
-ENTITIES = {"clean_html", "detail_fields", "listing_papers", "resolve_links", "resolve_links_relative"}
+ENTITIES = {"clean_html", "detail_fields", "detail_nested", "listing_papers", "listing_authors", "listing_author_values", "resolve_links", "resolve_links_relative"}
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
