@@ -534,8 +534,8 @@ ORACLE = {
         FROM (SELECT unnest(range(2000, 2007)) AS year) y LEFT JOIN ev USING (year) GROUP BY y.year""",
     "watch_cycle": _E + """, one AS (SELECT source_id, min(user_id) AS user_id, arg_min(event_type, seq) AS value FROM ev WHERE seq % 2 = 0 GROUP BY 1),
         two AS (SELECT source_id, arg_min(event_type, seq) AS value FROM ev GROUP BY 1)
-        SELECT source_id, coalesce(one.value, two.value) AS value, 'emitted' AS state, CASE WHEN one.source_id IS NULL OR user_id % 5 = 0 THEN 1 ELSE 0 END AS cycle,
-            CASE WHEN user_id % 5 = 0 THEN 2 ELSE 1 END AS tries FROM two LEFT JOIN one USING (source_id)""",
+        SELECT source_id, coalesce(one.value, two.value) AS value, 'emitted' AS state, CAST(CASE WHEN one.source_id IS NULL OR user_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS cycle,
+            CAST(CASE WHEN user_id % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS tries FROM two LEFT JOIN one USING (source_id)""",
     "stats_incremental_merged": _M + """, one AS (SELECT source_id, arg_min(keywords, seq) AS keywords FROM good WHERE seq % 3 = 0 GROUP BY 1),
         two AS (SELECT source_id, arg_min(keywords, seq) AS keywords FROM good WHERE seq % 3 <> 0
             AND source_id NOT IN (SELECT source_id FROM one) GROUP BY 1)
