@@ -392,7 +392,7 @@ LOOSE = 0.875
 #: Nearest links of a node that are compared first; what they connect isn't compared again.
 NEAREST = 4
 #: Pairs a block value may have for each of its rows and still have them listed.
-CROWDED = 8
+CROWDED = 2
 #: Rows of a block value that meet in one task when all pairs are wanted; more are dealt out by pairs of parts.
 PART_ROWS = 8192
 #: Shingles, and a row's own weight in shingles, of documents that are compared in one task.
