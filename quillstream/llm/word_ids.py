@@ -9,7 +9,7 @@ from operator import itemgetter
 import numpy as np
 
 #: Chunks remembered at most, those met lately and those met before them together; longer ones are not.
-MAX_WORDS = 1_200_000
+MAX_WORDS = 1_600_000
 MAX_BYTES = 64
 #: ASCII punctuation that no token shares with a letter before it; not the apostrophe, nor what special strings are made of.
 TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<|>")
