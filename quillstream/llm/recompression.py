@@ -5,8 +5,10 @@ renamed. A name is computed from the parts it stands for, so every task gives
 equal parts equal names without a dictionary. What a round decides about a symbol
 depends on its neighbours only; each symbol carries the range of words its
 existence depends on, and a symbol whose range lies inside a window appears in
-every copy of the window. The smallest such name is the window's key; a window
-with none, inside a long run, is its own key.
+every copy of the window. Beside its name, which stands for its own words, it has a
+sealed name, made in the same rounds from the sealed names of its parts and of the
+neighbours that decided about it, which stands for the whole range. The smallest
+sealed name is the window's key; a window with none, inside a long run, is its own key.
 
 Windows of keys that only one document has are unique. Equal stretches of windows
 settle the rest, and where a key is met in different stretches the windows
@@ -27,6 +29,8 @@ ROUNDS = 3
 
 _U64 = np.uint64
 _FAR = 1 << 40
+#: Odd multipliers that tell a member of a run, what is before and what is behind apart in a sealed name.
+_SEALS = (_U64(0xA24BAED4963EE407), _U64(0x9FB21C651E98DF25), _U64(0xD6E8FEB86659FD93))
 #: Low bits that hold a symbol's place while names are compared.
 _PLACE = _U64((1 << 22) - 1)
 
@@ -37,16 +41,20 @@ def word_names(words: list[bytes]) -> np.ndarray:
 
 
 def recompressed(names: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, low, high) of the symbols after ``rounds``: each depends on words low to high alone."""
+    """(sealed name, low, high) of the symbols after ``rounds``: each depends on words low to high alone."""
     n = len(names)
-    name, low, high = names, np.arange(n), np.arange(n) + 1
+    name, seal, low, high = names, names, np.arange(n), np.arange(n) + 1
     for level in range(rounds):
         # Runs: a run ends where its neighbours differ, so it depends on them.
         edge = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
         start, length = edge[:-1], np.diff(edge)
+        last = len(name) - 1
         before = np.where(start > 0, low[start - 1], -_FAR)
-        after = np.where(edge[1:] < len(name), high[np.minimum(edge[1:], len(name) - 1)], _FAR)
+        after = np.where(edge[1:] <= last, high[np.minimum(edge[1:], last)], _FAR)
         name = np.where(length > 1, spans.mixed(name[start] + length.astype(_U64) * _U64(0x9E3779B97F4A7C15)), name[start])
+        within = spans.mixed(seal + (np.arange(last + 1) - np.repeat(start, length)).astype(_U64) * _SEALS[0])
+        inside = np.add.reduceat(within, start) if len(start) else within
+        seal = spans.mixed(seal[start - 1] * _SEALS[1] + inside + seal[np.minimum(edge[1:], last)] * _SEALS[2] + name) if len(start) else seal
         low, high = before, after
         # Pairs: names are dealt into left and right ones; a left one and a right one behind it become one.
         side = (spans.mixed(name + _U64(level + 1)) & _U64(1)).astype(bool)
@@ -56,26 +64,27 @@ def recompressed(names: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, n
         seen_low = np.where(side & ~right, np.concatenate([[-_FAR], low[:-1]]), low)
         seen_high = np.where(~side & ~left, np.concatenate([high[1:], [_FAR]]), high)
         joint = np.flatnonzero(left)
+        # a right one that stays alone was told by the one before it, a left one by the one behind it
+        seal = spans.mixed(np.where(side, np.roll(seal, 1) * _SEALS[1] + seal, seal * _SEALS[2] + np.roll(seal, -1)) + left.astype(_U64))
         name = name.copy()
         name[joint] = spans.mixed(name[joint] * _U64(0x2545F4914F6CDD1D) + name[joint + 1] + _U64(level))
         seen_low[joint] = np.minimum(low[joint], low[joint + 1])
         seen_high[joint] = np.maximum(high[joint], high[joint + 1])
         keep = ~right
-        name, low, high = name[keep], seen_low[keep], seen_high[keep]
-    return name, low, high
+        name, seal, low, high = name[keep], seal[keep], seen_low[keep], seen_high[keep]
+    return seal, low, high
 
 
 def window_keys(values: np.ndarray, hashes: spans.Hashes, window: int = WINDOW, rounds: int = ROUNDS):
     """For every window its owner, and a function from owners to keys.
 
-    The owner is the symbol whose words, with those it depends on, hash smallest
-    among the symbols that depend on the window alone; or -1 less the window.
+    The owner is the symbol of the smallest sealed name among those that depend on
+    the window alone, and that name the key; or -1 less the window, keyed by its words.
     """
     n = len(values) - window + 1
-    _, low, high = recompressed(values, rounds)
+    name, low, high = recompressed(values, rounds)
     inner = (low >= 0) & (high <= len(values)) & (high - low <= window)
-    low, high = low[inner], high[inner]
-    name = hashes.of(0, low, high)
+    name, low, high = name[inner], low[inner], high[inner]
     first = np.searchsorted(low, np.arange(n), "left")
     after = np.searchsorted(high, np.arange(n) + window, "right")
     # Smallest name of a range of symbols, from two minima over a power of two; the place breaks ties.
@@ -88,7 +97,16 @@ def window_keys(values: np.ndarray, hashes: spans.Hashes, window: int = WINDOW,
         at = some[level == k]
         owner[at] = (np.minimum(minima[first[at]], minima[after[at] - (1 << k)]) & _PLACE).astype(np.int64)
         minima = np.minimum(minima[:-(1 << k)], minima[1 << k:])
-    return owner, lambda owners, windows: np.where(owners >= 0, name[np.maximum(owners, 0)] if len(name) else _U64(0), hashes.of(0, windows, windows + window))
+
+    def key_of(owners: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        alone = owners < 0
+        key = np.empty(len(owners), dtype=_U64)
+        key[~alone] = name[owners[~alone]]
+        if alone.any():
+            key[alone] = hashes.of(0, windows[alone], windows[alone] + window)
+        return key
+
+    return owner, key_of
 
 
 def cut(powers, texts: list[str], window: int = WINDOW) -> list[tuple]:

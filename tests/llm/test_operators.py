@@ -116,6 +116,30 @@ def test_substring_dedup(docs, rows, none):
     assert recompression.digests(none).count() == 0
 
 
+def test_keys_of_windows_are_names_made_in_the_rounds():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 40, 400).astype(np.uint64)
+    copied = np.concatenate([rng.integers(50, 90, 31).astype(np.uint64), words[100:300], rng.integers(50, 90, 7).astype(np.uint64)])
+    keys = []
+    for values in (words, copied):
+        # no hashes of ranges are needed where a symbol decides
+        owner, key_of = recompression.window_keys(spans.mixed(values), None, 50)
+        assert (owner >= 0).all()
+        keys.append(key_of(owner, np.arange(len(owner))))
+    # equal windows have equal keys, wherever they stand, and there are many keys
+    assert (keys[0][100:251] == keys[1][31:182]).all() and len(set(keys[0].tolist())) > 10
+    assert not set(keys[0][:50].tolist()) & set(keys[1].tolist())
+    # one word aside, all symbols that depend on it are named anew
+    other = words.copy()
+    other[200] = 1000
+    name, low, high = recompression.recompressed(spans.mixed(words))
+    again, low_, high_ = recompression.recompressed(spans.mixed(other))
+    known = {(n, a, b) for n, a, b in zip(again.tolist(), low_.tolist(), high_.tolist())}
+    for n, a, b in zip(name.tolist(), low.tolist(), high.tolist()):
+        assert ((n, a, b) in known) == (not a <= 200 < b)
+
+
+
 def test_hosts_of_one_document_are_not_condemned_by_it(spark):
     good, symbols = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}#*" for i in range(40))
 
