@@ -22,6 +22,8 @@ SAMPLE = 4096
 BOUNDS = 63
 #: Rows of a range that one task may rank.
 RANKED = 1 << 20
+#: Rows of a page whose keys one task may list; a longer page is cut out between two keys.
+LISTED = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -153,8 +155,38 @@ def first_n(df: DataFrame, group: list[str], order: list[By], n: int) -> DataFra
     return kept.unionByName(tied.where("wanted").select("row.*"))
 
 
+def _between(df: DataFrame, order: list[By], start: Row | None, end: Row | None) -> DataFrame:
+    """Rows behind ``start`` up to ``end``, in order; each a row of ``nth_keys``, or None for the first and the last row there is.
+
+    No task meets more of them than a range of a distributed sort, but for rows that share a bound that is split.
+    """
+    key = [F.col(o.name) for o in order]
+    inside, split = F.lit(True), F.lit(False)
+    wanted = F.lit(True)
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.struct(*df.columns))))
+    if start is not None:
+        first = [F.lit(start[o.name]).cast(df.schema[o.name].dataType) for o in order]
+        inside = inside & precedes(first, key, order)
+        if start["take"] < start["copies"]:
+            split = split | same(first, key)
+            wanted = wanted & (~same(first, key) | (number > start["take"]))
+    if end is not None:
+        last = [F.lit(end[o.name]).cast(df.schema[o.name].dataType) for o in order]
+        whole = end["take"] == end["copies"]
+        inside = inside & (precedes(key, last, order) | same(key, last) if whole else precedes(key, last, order))
+        if not whole:
+            split = split | same(key, last)
+            wanted = wanted & (~same(key, last) | (number <= end["take"]))
+        elif start is not None and all(start[o.name] == end[o.name] for o in order):
+            split, inside = same(key, last), F.lit(False)
+    rows = df.where(inside)
+    if (start is not None and start["take"] < start["copies"]) or (end is not None and end["take"] < end["copies"]):
+        rows = rows.unionByName(df.where(split).withColumn("_wanted", wanted).where("_wanted").drop("_wanted"))
+    return rows.orderBy(*[o.column() for o in order])
+
+
 def page(df: DataFrame, order: list[By], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset + 1`` to ``offset + limit`` in order, located on their keys; two reads of ``df``.
+    """Rows ``offset + 1`` to ``offset + limit`` in order, located on their keys; two reads of ``df``, three at a shared bound of a long page.
 
     Rows with equal keys are told apart by their content, so that pages neither
     lose nor repeat one.
@@ -163,10 +195,12 @@ def page(df: DataFrame, order: list[By], offset: int, limit: int) -> DataFrame:
     keys = stored(df.select(*names), "ranks-keys")
     key = [F.col(c) for c in names]
     beyond = keys.withColumn("_skip", F.lit(0).cast("bigint"))
+    start = nth_keys(keys, [], order, offset).first() if offset else None
+    if offset and start is None:
+        return df.limit(0)
+    if limit > LISTED:
+        return _between(df, order, start, nth_keys(keys, [], order, offset + limit).first())
     if offset:
-        start = nth_keys(keys, [], order, offset).first()
-        if start is None:
-            return df.limit(0)
         last = [F.lit(start[o.name]).cast(keys.schema[o.name].dataType) for o in order]
         beyond = keys.where(precedes(last, key, order) | same(key, last)).withColumn("_skip", F.when(same(key, last), F.lit(start["take"])).otherwise(F.lit(0)).cast("bigint"))
     counted = beyond.groupBy(*names).agg(F.count("*").alias("_copies"), F.max("_skip").alias("_skip")).where(F.col("_copies") > F.col("_skip"))

@@ -65,10 +65,11 @@ def _newest(papers: DataFrame) -> list[By]:
 
 
 def search_after(papers: DataFrame, after_year: int, after_id: int, q: str = "", year: int = 0,
-                 limit: int = lexicon.SEARCH_LIMIT, after_key: str | None = None, **options) -> DataFrame:
+                 limit: int = lexicon.SEARCH_LIMIT, after_key: str | None = None, deep_page: int = DEEP_PAGE, **options) -> DataFrame:
     """The page that follows ``(after_year, after_id)``: its cost does not grow with depth.
 
     Where ids repeat, ``after_key``, the source_id of the last row, tells them apart.
+    A page of more than ``deep_page`` rows is located on its keys, as in ``search_page``.
     """
     _check_paging(limit, 0)
     y, i = F.col("year"), F.col("id")
@@ -76,7 +77,10 @@ def search_after(papers: DataFrame, after_year: int, after_id: int, q: str = "",
     if after_key is not None:
         later = later | ((i == after_id) & (F.col("source_id") < after_key))
     beyond = (y <= after_year) & ((y < after_year) | later)
-    return papers.where(matches(q, year, **options) & beyond).orderBy(*[o.column() for o in _newest(papers)]).limit(limit)
+    found = papers.where(matches(q, year, **options) & beyond)
+    if limit > deep_page:
+        return page(found, _newest(found), 0, limit)
+    return found.orderBy(*[o.column() for o in _newest(found)]).limit(limit)
 
 
 def page_meta(total: DataFrame, limit: int, offset: int) -> DataFrame:

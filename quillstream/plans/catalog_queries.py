@@ -92,9 +92,10 @@ def _search_walk(deep_page):
         limit = -(-search.search_total(papers).head()["total"] // 9)
         if not limit:
             return papers.select(F.lit(0).alias("page"), "id", "source_id", "year")
-        pages = [search.search_page(papers, limit=limit, offset=k * limit, deep_page=deep_page).persist() for k in (0, 1)]
+        seen = lambda page: page.select("id", "source_id", "year").persist()
+        pages = [seen(search.search_page(papers, limit=limit, offset=k * limit, deep_page=deep_page)) for k in (0, 1)]
         while last := pages[-1].orderBy("year", "id", "source_id").head():
-            pages.append(search.search_after(papers, last["year"], last["id"], limit=limit, after_key=last["source_id"]).persist())
+            pages.append(seen(search.search_after(papers, last["year"], last["id"], limit=limit, after_key=last["source_id"], deep_page=deep_page)))
         parts = [p.select(F.lit(k).alias("page"), "id", "source_id", "year") for k, p in enumerate(pages)]
         return reduce(DataFrame.unionByName, parts)
     return run

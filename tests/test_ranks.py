@@ -105,3 +105,27 @@ def test_bounds(spark):
     nth = ranks.nth_keys(df, [], by("k"), 5).first()
     assert (nth["k"], nth["take"], nth["copies"]) == (4, 1, 1)
     assert df.where(ranks.precedes([F.col("k")], [F.lit(2)], by("k", descending=True))).count() == 2
+
+
+@pytest.mark.parametrize("listed", [0, 1 << 12])
+def test_long_pages_are_cut_out_between_keys(spark, monkeypatch, listed):
+    df, rows = table(spark, 400)
+    monkeypatch.setattr(ranks, "LISTED", listed)
+    for order in ([*by("small", descending=True), *by("g")], by("g"), by("n")):
+        seen = []
+        for offset in (0, 40, 130, 170, 390):
+            until = {0: 40, 40: 130, 130: 170, 170: 390, 390: 450}[offset]
+            got = [tuple(r) for r in ranks.page(df, order, offset, until - offset).collect()]
+            assert len(got) == min(until, 400) - offset
+            seen += got
+        assert sorted(seen, key=lambda r: r[0]) == rows
+
+
+def test_no_task_merges_a_long_page(spark, monkeypatch):
+    from quillstream.operators.search import search_after
+    monkeypatch.setattr(ranks, "LISTED", 50)
+    df = spark.range(3000).selectExpr("id", "cast(id % 3 as int) as year", "concat('s', id) as source_id")
+    found = search_after(df, 2, 10, limit=1200, after_key="s10")
+    assert "TakeOrderedAndProject" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "SinglePartition" not in plan
+    want = sorted(((i % 3, i) for i in range(3000) if (i % 3, i) < (2, 10)), reverse=True)[:1200]
+    assert [(r["year"], r["id"]) for r in found.collect()] == want
