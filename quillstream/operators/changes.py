@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillstream import lexicon
+from quillstream.operators.ranks import by, page
+from quillstream.operators.search import DEEP_PAGE
 
 # Position of each field in a logged row; the eighth column is not exposed.
 _POSITIONS = {
@@ -59,7 +61,8 @@ def updated_after(papers: DataFrame, after: Column, after_id: Column | None = No
     With ``after_id`` the cursor is the pair ``(updated_at, id)``, so rows that
     share the last timestamp are not skipped; without it rows at exactly
     ``after`` are left out. Where ids repeat, ``after_key``, the source_id of the
-    last row, tells them apart.
+    last row, tells them apart. More than ``DEEP_PAGE`` rows are located on their
+    keys, so that no task merges them all.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
@@ -72,7 +75,10 @@ def updated_after(papers: DataFrame, after: Column, after_id: Column | None = No
         if after_key is not None:
             later = later | ((F.col("id") == after_id) & (F.col("source_id") > after_key))
         beyond = (ts >= after) & ((ts > after) | later)
-    return papers.where(beyond).orderBy("updated_at", "id", *[c for c in ("source_id",) if c in papers.columns]).limit(limit)
+    order = by(*[c for c in ("updated_at", "id", "source_id") if c in papers.columns])
+    if limit > DEEP_PAGE:
+        return page(papers.where(beyond), order, 0, limit)
+    return papers.where(beyond).orderBy(*[o.column() for o in order]).limit(limit)
 
 
 def poll_cursor(pulled: DataFrame, after: Column, after_id: Column, after_key: Column | None = None) -> DataFrame:

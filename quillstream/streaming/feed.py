@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillstream import lexicon
 from quillstream.operators.changes import change_events, change_rows, project_images, updated_after
+from quillstream.operators.search import DEEP_PAGE
+from quillstream.session import stored
 from quillstream.streaming.tables import BatchTables
 
 # One row per notification; ``via`` is the way by which it came.
@@ -38,17 +40,21 @@ def log_events(log: DataFrame, schema: str, table: str, now, start: int = -1) ->
 def poll(papers: DataFrame, cursor: tuple, limit: int = lexicon.POLL_LIMIT) -> tuple[DataFrame, tuple]:
     """One poll: the events of at most ``limit`` changes, and the next cursor.
 
-    The changes of a poll, a page of at most ``limit`` rows, come to the driver, so
-    that cursor and events are of the same rows and nothing stays behind. The cursor
-    is (updated_at, id, source_id) where there are source_ids, as ids may repeat; a
-    pair, the initial cursor, is taken too.
+    The changes of a poll come to the driver, or are stored where ``limit`` is more
+    than ``DEEP_PAGE`` rows, so that cursor and events are of the same rows and
+    nothing stays behind. The cursor is (updated_at, id, source_id) where there are
+    source_ids, as ids may repeat; a pair, the initial cursor, is taken too.
     """
     after, after_id, *key = map(F.lit, cursor)
-    rows = updated_after(papers, after, after_id, limit, *key).collect()
-    pulled = papers.sparkSession.createDataFrame(rows, papers.schema)
-    if rows:
-        cursor = tuple(rows[-1][c] for c in ("updated_at", "id", "source_id") if c in papers.columns)
-    return change_events(pulled), cursor
+    at = [c for c in ("updated_at", "id", "source_id") if c in papers.columns]
+    found = updated_after(papers, after, after_id, limit, *key)
+    if limit > DEEP_PAGE:
+        pulled = stored(found, "poll")
+        last = pulled.select(*at).orderBy(*[F.desc(c) for c in at]).head()
+    else:
+        rows = found.collect()
+        pulled, last = papers.sparkSession.createDataFrame(rows, papers.schema), rows[-1] if rows else None
+    return change_events(pulled), cursor if last is None else tuple(last[c] for c in at)
 
 
 def initial_cursor(now: datetime) -> tuple[datetime, int]:

@@ -118,3 +118,20 @@ def test_pages_and_polls_over_one_id(spark):
         seen = [r["source_id"] for r in search_page(papers, limit=20, deep_page=deep).collect()]
         assert seen + [r["source_id"] for r in search_after(papers, 2024, 7, limit=50, after_key=seen[-1]).collect()] == expected
         assert [r["source_id"] for r in search_page(papers, limit=20, offset=20, deep_page=deep).collect()] == expected[20:40]
+
+
+def test_long_polls_are_not_brought_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr("quillstream.operators.ranks.LISTED", 100)
+    rows = spark.range(3000).select((F.col("id") % 2).alias("id"), F.concat(F.lit("s"), 10_000 + F.col("id")).alias("source_id"),
+                                    F.timestamp_seconds(F.lit(1_767_225_600) + F.floor(F.col("id") / 500)).alias("updated_at"))
+    cursor, got = (datetime(2025, 12, 31), -1), []
+    while True:
+        events, after = feed.poll(rows, cursor, 1300)
+        assert "LocalRelation" not in events._jdf.queryExecution().optimizedPlan().toString()
+        page = [json.loads(r["event"])["payload"]["source_id"] for r in events.collect()]
+        if after == cursor:
+            break
+        # nothing stays behind: all that is sent comes before what follows
+        assert len(page) == min(1300, 3000 - len(got))
+        got, cursor = got + page, after
+    assert not page and len(got) == 3000 == len(set(got))
