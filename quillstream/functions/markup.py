@@ -25,9 +25,9 @@ def _unescape_rare(values: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def _join_url(base: pd.Series, ref: pd.Series) -> pd.Series:
+def _join_url(base: pd.Series, ref: pd.Series, escaped: pd.Series) -> pd.Series:
     return pd.Series([
-        None if b is None or r is None else urljoin(b, r) for b, r in zip(base, ref)
+        None if b is None or r is None else urljoin(b, html.unescape(r) if e else r) for b, r, e in zip(base, ref, escaped)
     ], dtype=object)
 
 
@@ -41,10 +41,13 @@ def unescape(c: Column) -> Column:
 
     Rows the native branch covers send only a null across the Arrow boundary.
     """
-    native = c
+    return F.coalesce(_unescape_rare(F.when(c.rlike(_OTHER_ENTITY), c)), _unescape_common(c))
+
+
+def _unescape_common(c: Column) -> Column:
     for entity, char in _NATIVE_ENTITIES:
-        native = F.replace(native, F.lit(entity), F.lit(char))
-    return F.coalesce(_unescape_rare(F.when(c.rlike(_OTHER_ENTITY), c)), native)
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
 
 
 def clean_html(c: Column) -> Column:
@@ -91,14 +94,23 @@ def page_links(c: Column, pattern: str = lexicon.HREF) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
 
-def resolve_url(base: Column, ref: Column) -> Column:
-    """Absolute, root-relative and empty references natively, the rest by ``urljoin``."""
+def resolve_url(base: Column, ref: Column, escaped: bool = False) -> Column:
+    """Absolute, root-relative and empty references natively, the rest by ``urljoin``.
+
+    An ``escaped`` reference is unescaped first, where needed in the same Python
+    function: one that took the outcome of another would need a second worker for
+    each task.
+    """
+    rare = F.coalesce(ref.rlike(_OTHER_ENTITY), F.lit(False)) if escaped else F.lit(False)
+    if escaped:
+        ref = F.when(rare, ref).otherwise(_unescape_common(ref))
     # Dot segments, blanks and an empty query or fragment need the full rules.
     plain = ~ref.rlike(r"(^|/)\.\.?(/|[?#]|$)|[\x00-\x20]|[?#]$|[?]#")
     absolute = ref.rlike(r"^https?://[^/?#]+") & plain
     rooted = ref.rlike(r"^/([^/]|$)") & plain
     origin = F.regexp_extract(base, r"^https?://[^/?#]+", 0)
     native = F.when(ref == "", base).when(absolute, ref).when(rooted & (origin != ""), F.concat(origin, ref))
+    native = F.when(~rare, native)
     rest = native.isNull()
-    joined = _join_url(F.when(rest, base), F.when(rest, ref))
+    joined = _join_url(F.when(rest, base), F.when(rest, ref), rare)
     return F.coalesce(native, joined)

@@ -105,18 +105,15 @@ def listing_papers(pages: DataFrame, layout: ListingLayout = ListingLayout()) ->
     else:
         authors = parse_authors(clean_html(F.regexp_extract("block", layout.authors, 1)))
     pdf = _suffix_pdf(F.col("block")) if layout.pdf_rule == "suffix" else _nearby_pdf(F.col("anchors"), F.col("following"))
-    parts = blocks.select(*keep, "url", "pos", first.alias("_first"), authors.alias("authors"), pdf.alias("_pdf"))
-    named = parts.select(
-        *keep, "url", "pos", "authors",
-        clean_html(F.col("_first.body")).alias("title"),
-        unescape(F.col("_first.href")).alias("_href"),
-        unescape(F.col("_pdf")).alias("_pdf"),
-    ).where(F.col("title") != "")
-    return named.select(
-        *keep, "pos", "title", "authors",
-        resolve_url(F.col("url"), F.col("_href")).alias("paper_url"),
-        F.coalesce(resolve_url(F.col("url"), F.col("_pdf")), F.lit("")).alias("pdf_url"),
+    # All that may need Python is asked for side by side, so that a task has one worker; behind
+    # the generator the filter is not pushed below, which would ask for the title twice.
+    record = F.struct(
+        clean_html(first["body"]).alias("title"), authors.alias("authors"),
+        resolve_url(F.col("url"), first["href"], escaped=True).alias("paper_url"),
+        F.coalesce(resolve_url(F.col("url"), pdf, escaped=True), F.lit("")).alias("pdf_url"),
     )
+    named = blocks.select(*keep, "pos", record.alias("_r")).select(*keep, "pos", F.explode(F.array("_r")).alias("_r"))
+    return named.select(*keep, "pos", "_r.title", "_r.authors", "_r.paper_url", "_r.pdf_url").where(F.col("title") != "")
 
 
 def detail_fields(pages: DataFrame, layout: DetailLayout = DetailLayout()) -> DataFrame:
@@ -130,14 +127,10 @@ def detail_fields(pages: DataFrame, layout: DetailLayout = DetailLayout()) -> Da
         pdf = _suffix_pdf(F.col("html"))
     else:
         pdf = F.get(F.filter(anchors(F.col("html")), _is_pdf), F.lit(0))["href"]
-    parts = pages.select(
+    return pages.select(
         *keep, F.col("url").alias("paper_url"),
         F.trim(F.regexp_replace(body, label, "")).alias("abstract"),
-        unescape(pdf).alias("_pdf"),
-    )
-    return parts.select(
-        *keep, "paper_url", "abstract",
-        F.coalesce(resolve_url(F.col("paper_url"), F.col("_pdf")), F.lit("")).alias("pdf_url"),
+        F.coalesce(resolve_url(F.col("url"), pdf, escaped=True), F.lit("")).alias("pdf_url"),
     )
 
 

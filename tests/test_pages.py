@@ -158,3 +158,11 @@ def test_limit_per_year_zero_keeps_all(spark):
     df = spark.createDataFrame([(2020, i) for i in range(5)], "year int, pos int")
     assert records.limit_per_year(df, 0, ["pos"]).count() == 5
     assert sorted(r["pos"] for r in records.limit_per_year(df, 2, ["pos"]).collect()) == [0, 1]
+
+
+def test_escaped_links(spark):
+    from quillstream.functions.markup import resolve_url, unescape
+    refs = ["/a?x=1&amp;y=2", "&#47;b", "../c&ndash;d", "", "&amp;lt;", "https://o.example.org/&eacute;", "//h/p&quot;", "&bogus", "e&#46;&#46;/f", None]
+    rows = spark.createDataFrame([("http://h.example.org/x/y", r) for r in refs], "url string, ref string")
+    got = rows.select("ref", resolve_url(F.col("url"), F.col("ref"), escaped=True).alias("a"), resolve_url(F.col("url"), unescape(F.col("ref"))).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[0]["a"] == "http://h.example.org/a?x=1&y=2" and got[1]["a"] == "http://h.example.org/b"

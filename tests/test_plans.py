@@ -86,3 +86,9 @@ def test_hot_url_neither_multiplies_nor_loses_rows(spark):
     out = records.enrich_details(listing, details)
     assert out.count() == 3000
     assert out.where("abstract = 'body text'").count() == 1000
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["listing_papers", "listing_authors", "listing_author_values", "detail_fields", "detail_nested"])
+def test_a_task_has_one_python_worker(spark, name):
+    assert plan(registry.QUERIES[name](spark, FOLDER)).count("ArrowEvalPython") == 1
