@@ -118,7 +118,11 @@ def merge_keyed(stored: DataFrame, delta: DataFrame, keys: list[str]) -> DataFra
 
 
 def sketches(dimensions: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``(name, sketch)``: distinct-count sketches of a batch, to be united by readers. Keywords leave stopwords out."""
+    """``(name, sketch)``: distinct-count sketches of a batch, to be united by readers. Keywords leave stopwords out.
+
+    A sketch takes repeated values as one, so rows of ``dimensions`` may repeat, and
+    each task makes its own: only sketches are shuffled.
+    """
     kept = (F.col("dimension") != "keywords") | ~F.lower("value").isin(lexicon.STOPWORDS)
     values = dimensions.where(kept).select(F.col("dimension").alias("name"), "value")
     values = values.unionByName(firsts.select(F.explode(F.array(
@@ -146,10 +150,14 @@ def value_deltas(firsts: DataFrame, field: str, collation: str | None = None) ->
 
 def all_dimension_rows(events: DataFrame, key: str = "source_id") -> DataFrame:
     """Distinct ``(dimension, key, value)`` of all list columns, in one shuffle."""
+    return listed_values(events, [key]).distinct()
+
+
+def listed_values(events: DataFrame, keys: list[str]) -> DataFrame:
+    """``(dimension, *keys, value)`` of all list columns, repeats included, blanks dropped."""
     tagged = F.flatten(F.array(*[_tagged(name, F.col(name)) for name in LIST_FIELDS]))
-    rows = events.select(key, F.explode(tagged).alias("_t"))
-    return rows.select(F.col("_t.tag").alias("dimension"), key, F.col("_t.value").alias("value")).where(
-        ~is_blank(F.col("value"))).distinct()
+    rows = events.select(*keys, F.explode(tagged).alias("_t"))
+    return rows.select(F.col("_t.tag").alias("dimension"), *keys, F.col("_t.value").alias("value")).where(~is_blank(F.col("value")))
 
 
 def all_deltas(firsts: DataFrame) -> DataFrame:

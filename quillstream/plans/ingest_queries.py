@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quillstream import lexicon
 from quillstream.operators import changes, ingest as ops
 from quillstream.operators.perkey import insert_absent
+from quillstream.operators.ranks import by, nth_keys
 from quillstream.operators.stats import ranked_keywords, ranked_values, rebuild_counters
 from quillstream.plans.adapters import (CHANGES_SQL, EVENTS, EVENTS_SQL, MESSAGES_SQL, NOW, TEXT_SQL, change_log, change_rows, event_rows,
                                         message_rows, messages, now_column, papers_text, with_sql)
 from quillstream.plans.dashboard import dashboard, stored_tables
 from quillstream.plans.keyword_sql import STOP_LIST
 from quillstream.schemas import LIST_FIELDS, MESSAGE
-from quillstream.session import pin_session, shared_dir
+from quillstream.session import pin_session, shared_dir, stored
 from quillstream.sources.change_table import change_stream
 from quillstream.sources.files import read_table
 from quillstream.sources.messages import file_stream, numbered, text_stream
@@ -77,14 +78,20 @@ _PAYLOAD = ["year", "title"]
 
 
 def _later(events):
-    """Whether an event is in the later half of all."""
-    return F.col("seq") >= events.agg(F.median("seq")).scalar()
+    """Whether an event is in the later half of all: from the middle one on, or the upper one of two.
+
+    Located by rank, as an exact median is merged in one task.
+    """
+    keys = stored(events.select("seq").where(F.col("seq").isNotNull()), "halves")
+    middle = nth_keys(keys, [], by("seq"), keys.count() // 2 + 1).first()
+    return F.col("seq") >= F.lit(None if middle is None else middle["seq"]).cast("bigint")
 
 
 def _merge(spark, folder):
     """Later half of the events merged over the state of the first half."""
     e = event_rows(read_table(pin_session(spark), folder, "events")).select("source_id", "seq", "year", F.col("event_type").alias("title"))
-    early, late = e.where(~_later(e)), e.where(_later(e))
+    later = _later(e)
+    early, late = e.where(~later), e.where(later)
     loaded = F.lit("2025-01-01 00:00:00").cast("timestamp")
     stored = ops.latest_events(early).select(F.col("seq").alias("id"), "source_id", *_PAYLOAD,
                                              loaded.alias("created_at"), loaded.alias("updated_at"))
@@ -100,9 +107,9 @@ def _dimension(field):
 def _insert_absent(spark, folder):
     """Authors of the first half, plus those the second half adds."""
     rows = valid(spark, folder)
-    events = messages(spark, folder)
-    first = ops.dimension_rows(rows.where(~_later(events)), "authors")
-    return insert_absent(first, ops.dimension_rows(rows.where(_later(events)), "authors"), ["source_id", "value"])
+    later = _later(messages(spark, folder))
+    first = ops.dimension_rows(rows.where(~later), "authors")
+    return insert_absent(first, ops.dimension_rows(rows.where(later), "authors"), ["source_id", "value"])
 
 
 def _incremental(field):
@@ -167,8 +174,9 @@ def _ingest_atomic(spark, folder):
     """Two batches, then the second one replayed and re-sent: counters stay."""
     tables = BatchTables(pin_session(spark), shared_dir(spark, "atomic"))
     rows = messages(spark, folder)
-    late = rows.where(_later(rows))
-    load_batch(tables, rows.where(~_later(rows)), "job", 0, LOADED_AT)
+    later = _later(rows)
+    late = rows.where(later)
+    load_batch(tables, rows.where(~later), "job", 0, LOADED_AT)
     load_batch(tables, late, "job", 1, LOADED_AT)
     load_batch(tables, late, "job", 1, LOADED_AT)
     load_batch(tables, late, "other job", 0, LOADED_AT)

@@ -33,11 +33,10 @@ def batch_frames(events: DataFrame, ledger: StoredLedger, now: Column, strict_in
     ).select("source_id", "_new.*", "first_seq", "last_seq", now.alias("created_at"), now.alias("loaded_at"))
     firsts = ops.first_events(events.select("source_id", "seq", "year", *LIST_FIELDS)).persist(StorageLevel.MEMORY_AND_DISK)
     new = ledger.unseen(firsts)
-    dimensions = ops.all_dimension_rows(events)
     frames = {
         "papers": papers,
-        "dimensions": dimensions,
-        "sketches": ops.sketches(dimensions, firsts),
+        "dimensions": ops.all_dimension_rows(events),
+        "sketches": ops.sketches(ops.listed_values(events, []), firsts),
         "ledger": new.select("source_id", F.col("seq").alias("first_seq"), now.alias("first_seen_at")),
         "counters": ops.all_deltas(new),
     }
@@ -54,7 +53,9 @@ def load_batch(tables: BatchTables, messages: DataFrame, source: str, source_bat
     if tables.is_loaded(source, source_batch):
         return False
     stamp = F.lit(now or datetime.now(timezone.utc)).cast("timestamp")
-    parsed = ops.check_lengths(ops.parse_events(messages), limits or {}).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = ops.check_lengths(ops.parse_events(messages), limits or {})
+    # the text is only wanted of what goes to quarantine
+    parsed = parsed.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value"))).persist(StorageLevel.MEMORY_AND_DISK)
     frames, firsts = batch_frames(ops.valid_events(parsed), tables.stored_ledger(), stamp, strict_instant)
     frames["quarantine"] = ops.quarantined(parsed, fail_fast).select("seq", "value", "reason")
     try:

@@ -99,3 +99,27 @@ def test_insert_absent(spark):
     old = spark.createDataFrame([("a", "x")], "source_id string, value string")
     new = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y")], "source_id string, value string")
     assert sorted(tuple(r) for r in insert_absent(old, new, ["source_id", "value"]).collect()) == [("a", "x"), ("a", "y")]
+
+
+def test_halves_are_not_merged_in_one_task(spark):
+    from quillstream.plans.ingest_queries import _later
+    for seqs in ([5, 1, 9, 7], [3, 1, 2], [4, 4, 1, 4], [8], []):
+        df = spark.createDataFrame([(s,) for s in seqs], "seq bigint")
+        found = df.where(_later(df))
+        assert "median" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "percentile" not in plan
+        middle = df.agg(F.median("seq")).first()[0]
+        assert sorted(r["seq"] for r in found.collect()) == sorted(s for s in seqs if s >= middle)
+
+
+def test_sketches_of_a_batch_need_no_distinct_rows(spark, tmp_path, monkeypatch):
+    from quillstream.streaming import ingest
+    from quillstream.streaming.tables import BatchTables
+    frames = {}
+    original = BatchTables.publish
+    monkeypatch.setattr(BatchTables, "publish", lambda self, source, batch, made: (frames.update(made), original(self, source, batch, made))[1])
+    rows = [(i, '{"source_id": "s%d", "title": "t", "year": 2001, "authors": ["a%d"]}' % (i % 7, i % 5)) for i in range(40)] + [(40, "{broken")]
+    tables = BatchTables(spark, str(tmp_path))
+    ingest.load_batch(tables, spark.createDataFrame(rows, "seq bigint, value string"), "job", 0)
+    plan = frames["sketches"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [dimension" not in plan and "Generate" in plan
+    assert tables.summary().first()["authors"] == 5 and [tuple(r) for r in tables.quarantine().collect()] == [(40, "{broken", "malformed")]
