@@ -92,3 +92,14 @@ def test_hot_url_neither_multiplies_nor_loses_rows(spark):
 @pytest.mark.parametrize("name", ["listing_papers", "listing_authors", "listing_author_values", "detail_fields", "detail_nested"])
 def test_a_task_has_one_python_worker(spark, name):
     assert plan(registry.QUERIES[name](spark, FOLDER)).count("ArrowEvalPython") == 1
+
+
+@needs_data
+def test_words_are_counted_without_a_shuffle_of_their_rows(spark, tmp_path):
+    df = registry.QUERIES["top_words_exact"](spark, FOLDER)
+    assert "array_distinct" in (text := plan(df)) and not any("source_id" in line for line in text.splitlines() if "Exchange hashpartitioning" in line)
+    # rows that share an id count once
+    docs = [(1, "s", "alpha beta alpha"), (1, "s", "alpha gamma"), (2, "s", "beta"), (None, None, "delta"), (None, None, "delta")]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in registry.QUERIES["top_words_exact"](spark, str(tmp_path)).collect()}
+    assert got == {("alpha", 1), ("beta", 2), ("gamma", 1), ("delta", 1)}
