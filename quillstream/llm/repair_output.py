@@ -50,41 +50,45 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> tuple[np.n
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), dtype=bool)
     last[ends[ends > 0] - 1] = True
-    rules, lengths = np.empty((0, 2), dtype=np.uint32), np.empty(0, dtype=np.uint32)
-    while len(seq) > 1:
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    last[-1:] = True
+    rules, size, made = [np.empty((0, 2), dtype=np.uint32)], np.ones(first_symbol, dtype=np.uint32), 0
+    # A pair met too rarely never gets frequent: all its places were there when its symbols were. So after the first
+    # round only places with a new symbol are counted, and those whose slot is frequent and stands for another pair.
+    open_at = np.flatnonzero(~last)
+    while len(open_at):
+        key = seq[open_at].astype(np.uint64) << np.uint64(32) | seq[open_at + 1]
         slot = _slot(key)
-        # Pairs across the end of a document go to a slot of their own, behind all others.
-        slot[last[:-1]] = 1 << _HASH_BITS
         # Pairs are counted by slot; a slot stands for one of its pairs, the others wait for the next round.
-        count = np.bincount(slot, minlength=(1 << _HASH_BITS) + 1)[:-1]
-        holder = np.zeros((1 << _HASH_BITS) + 1, dtype=np.uint64)
-        holder[slot] = key
-        often = np.flatnonzero(count >= LEAST)
+        often = np.flatnonzero(np.bincount(slot, minlength=1 << _HASH_BITS) >= LEAST)
         if not len(often):
             break
-        chosen = holder[often]
-        table = np.full((1 << _HASH_BITS) + 1, -1, dtype=np.int32)
+        table = np.full(1 << _HASH_BITS, -1, dtype=np.int32)
         table[often] = np.arange(len(often))
         rule = table[slot]
         at = np.flatnonzero(rule >= 0)
-        at = at[holder[slot[at]] == key[at]]
-        rule = rule[at]
+        at, rule, key = open_at[at], rule[at], key[at]
+        chosen = np.zeros(len(often), dtype=np.uint64)
+        chosen[rule] = key
+        own = chosen[rule] == key
+        waiting, at, rule = at[~own], at[own], rule[own]
         # Of overlapping places every second one counts, from the left.
         fresh = np.concatenate([[True], np.diff(at) != 1])
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         taken = (np.arange(len(at)) - begin) % 2 == 0
         at, rule = at[taken], rule[taken]
-        symbols = rule.astype(np.uint32) + np.uint32(first_symbol + len(rules))
         new = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        size = np.concatenate([np.ones(first_symbol, dtype=np.uint32), lengths])
-        lengths = np.concatenate([lengths, size[new[:, 0]] + size[new[:, 1]]])
-        rules = np.concatenate([rules, new])
-        seq[at], last[at] = symbols, last[at + 1]
+        size = np.concatenate([size, size[new[:, 0]] + size[new[:, 1]]])
+        rules.append(new)
+        seq[at], last[at] = rule.astype(np.uint32) + np.uint32(first_symbol + made), last[at + 1]
+        made += len(new)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-    return seq, rules, lengths
+        before = at[at > 0] - 1
+        again = np.zeros(len(seq), dtype=bool)
+        again[waiting] = again[at] = again[before - ~keep[before]] = True
+        seq, last, again = seq[keep], last[keep], again[keep]
+        open_at = np.flatnonzero(again & ~last)
+    return seq, np.concatenate(rules), size[first_symbol:]
 
 
 class Shard:
@@ -159,15 +163,13 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_id
             return pa.RecordBatch.from_pylist([row], schema=kinds)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, ids in zip(some.column("doc_id").to_pylist(), tokenizer.packed(some.column("text").to_pylist())):
-                    held.append(ids + end)
-                    names.append(doc)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_ids:
-                        yield shard()
-                        number, held, names, size = number + 1, [], [], 0
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.packed(batch.column("text"))):
+                held.append(ids + end)
+                names.append(doc)
+                size += len(ids) // 4 + 1
+                if size >= shard_ids:
+                    yield shard()
+                    number, held, names, size = number + 1, [], [], 0
         if held:
             yield shard()
 

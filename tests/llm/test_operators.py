@@ -515,3 +515,34 @@ def test_random_access():
     shard = repair_output.Shard({"first_symbol": 50, "rules": rules.tobytes(), "lengths": lengths.tobytes(), "low": (seq & 65535).astype("<u2").tobytes(), "high": (seq >> 16).astype("u1").tobytes()})
     for a, b in [(0, len(ids)), (0, 0), (99, 102), (700, 701), (3, 1500)]:
         assert (shard.ids(a, b) == ids[a:b]).all()
+
+
+def test_rare_pairs_are_counted_once(monkeypatch):
+    counted, slot = [], repair_output._slot
+    monkeypatch.setattr(repair_output, "_slot", lambda key: counted.append(len(key)) or slot(key))
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([np.tile(rng.integers(0, 50, 300), 40), rng.integers(0, 40_000, 60_000)]).astype("<u4")
+    seq, rules, lengths = repair_output.compress(ids, np.array([len(ids)]), 40_000)
+    assert len(counted) > 2 and sum(counted) < 2 * len(ids)
+    shard = repair_output.Shard({"first_symbol": 40_000, "rules": rules.tobytes(), "lengths": lengths.tobytes(), "low": (seq & 65535).astype("<u2").tobytes(), "high": (seq >> 16).astype("u1").tobytes()})
+    assert (shard.ids(0, len(ids)) == ids).all()
+    pairs = Counter(zip(seq.tolist(), seq[1:].tolist()))
+    assert max(pairs.values()) < repair_output.LEAST
+
+
+def test_a_word_is_looked_up_once_a_batch():
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *key):
+            Counted.looks += 1
+            return dict.get(self, *key)
+
+        def __getitem__(self, key):
+            Counted.looks += 1
+            return dict.__getitem__(self, key)
+
+    words, texts = WordIds(WORDS), ["Ab, cd 'S <|endoftext|> É \x0b\x1c H̱ ab"] * 500 + [None, "", " \t"]
+    words.known = Counted()
+    assert [np.frombuffer(p, "<u4").tolist() for p in words.packed(texts)] == [words._ids(t or "") for t in texts]
+    assert Counted.looks < 200
