@@ -546,3 +546,20 @@ def test_a_word_is_looked_up_once_a_batch():
     words.known = Counted()
     assert [np.frombuffer(p, "<u4").tolist() for p in words.packed(texts)] == [words._ids(t or "") for t in texts]
     assert Counted.looks < 200
+
+
+def test_short_windows_and_settled_rotations(monkeypatch):
+    rng, pool = random.Random(11), [0, 9, 65, 255]
+    for _ in range(200):
+        window, symbols = rng.choice([1, 2, 5, 8, 40]), rng.sample(pool, rng.randint(1, 4))
+        strings = [bytes(rng.choice(symbols) for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(1, 5))]
+        strings += strings[:rng.randint(0, 2)]
+        seen = Counter(s[i:i + window] for s in strings for i in range(len(s) - window + 1))
+        assert [p.tolist() for p in bwt_dedup.repeated(strings, window)] == [[i for i in range(len(s) - window + 1) if seen[s[i:i + window]] > 1] for s in strings]
+    sizes, plain = [], bwt_dedup._sorted
+    monkeypatch.setattr(bwt_dedup, "_sorted", lambda key, *rest: sizes.append(len(key)) or plain(key, *rest))
+    order, _, known = bwt_dedup.sorted_rotations(np.random.default_rng(0).integers(0, 256, 10_000), 400)
+    assert known > 1 and sizes == [10_000] and sorted(order.tolist()) == list(range(10_000))
+    for fits in (True, False):
+        line, rows = plain(np.array([3, 1, 2], dtype=np.uint64), np.array([0, 1, 2]), 2, fits)
+        assert line.tolist() == [1, 2, 3] and rows.tolist() == [1, 2, 0]
