@@ -28,10 +28,17 @@ def tokens(c: Column) -> Column:
 
 
 def phrase_hits(c: Column, phrases: list[str] | None = None) -> Column:
-    """Phrases the text contains, each once, in dictionary order."""
+    """Phrases the text contains, each once, in dictionary order.
+
+    The clean-up of ``keyword_text`` never joins or changes what it leaves between
+    spaces, so a text without a phrase's longest word is not cleaned for it.
+    """
     phrases = lexicon.PHRASES if phrases is None else phrases
     listed = F.array(*[F.lit(p) for p in phrases]).cast("array<string>")
-    return bind(keyword_text(c), lambda text: F.filter(listed, lambda p: F.contains(text, p)))
+    longest = F.array(*[F.lit(max(p.split(" "), key=len)) for p in phrases]).cast("array<string>")
+    possible = bind(F.lower(text_or_empty(c)), lambda text: F.filter(listed, lambda _, i: F.contains(text, F.get(longest, i))))
+    return bind(possible, lambda some: F.when(F.size(some) == 0, some).otherwise(
+        bind(keyword_text(c), lambda text: F.filter(some, lambda p: F.contains(text, p)))))
 
 
 def term_scores(

@@ -151,3 +151,15 @@ def test_like_without_accents(spark):
     # a pattern of many pieces does not go back over a long text
     long = spark.range(1).select(F.repeat(F.lit("ab"), 200_000).alias("t"))
     assert long.where(F.col("t").rlike(contains_pattern("a%b%a%b%a%b%a%c"))).count() == 0
+
+
+def test_only_texts_with_a_phrase_word_are_cleaned(spark):
+    rng = random.Random(5)
+    parts = ["few", "shot", "Few-Shot", "few_shot", "object", "detection", " ", "  ", "-", "/", "é", "\x1c", "\n", "İ", "x"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(400)]
+    phrases = ["few shot", "object detection", "shot", "é", "few  shot", "few-shot", ""]
+    table = spark.createDataFrame([(v,) for v in values], "v string")
+    found = table.select(keywords.phrase_hits(F.col("v"), phrases).alias("hits"), keywords.keyword_text(F.col("v")).alias("clean"))
+    assert all(r["hits"] == [p for p in phrases if p in r["clean"]] for r in found.collect())
+    shown = table.select(keywords.phrase_hits(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.index("CASE WHEN") < shown.index("regexp_replace")
