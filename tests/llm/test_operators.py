@@ -563,3 +563,33 @@ def test_short_windows_and_settled_rotations(monkeypatch):
     for fits in (True, False):
         line, rows = plain(np.array([3, 1, 2], dtype=np.uint64), np.array([0, 1, 2]), 2, fits)
         assert line.tolist() == [1, 2, 3] and rows.tolist() == [1, 2, 0]
+
+
+def test_a_transform_takes_bounded_memory():
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    passage = rng.integers(97, 101, 3000).astype(np.uint8).tobytes()
+    strings = [rng.integers(97, 123, 2000).astype(np.uint8).tobytes() + passage[i % 7:] for i in range(60)]
+    tracemalloc.start()
+    try:
+        found = bwt_dedup.repeated(strings, 400)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    seen = Counter(hash(s[i:i + 400]) for s in strings for i in range(len(s) - 399))
+    assert [p.tolist() for p in found] == [[i for i in range(len(s) - 399) if seen[hash(s[i:i + 400])] > 1] for s in strings]
+    assert most < 64 * sum(len(s) + 1 for s in strings)  # bytes a symbol
+
+
+def test_transforms_are_made_of_whole_keys_up_to_a_size(monkeypatch):
+    import pyarrow as pa
+    schema = pa.schema([("name", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("only", pa.bool_()), ("bytes", pa.binary())])
+    keys = [1] * 6 + [2] * 3 + [3] * 5 + [4] * 25 + [5] + [6] * 2
+    slices = [(k, i, 0, True, bytes([k]) * 10) for i, k in enumerate(keys)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, s)) for s in slices[i:i + 4]], schema=schema) for i in range(0, len(slices), 4)]
+    made = []
+    monkeypatch.setattr(bwt_dedup, "TRANSFORM", 100)
+    monkeypatch.setattr(bwt_dedup, "repeated", lambda strings, window: made.append([s[0] for s in strings]) or [np.arange(1)] * len(strings))
+    out = list(bwt_dedup._expanded(batches, 10, pa.schema([("row", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])))
+    assert made == [[1] * 6 + [2] * 3, [3] * 5, [4] * 25, [5] + [6] * 2]
+    assert [r for b in out for r in b["row"].to_pylist()] == list(range(len(keys)))
